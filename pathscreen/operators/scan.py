@@ -29,8 +29,8 @@ def time_chunk(ts, unit: str) -> Column:
     return F.date_trunc(unit, F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, chunk: str = CHUNK,
-            counts: bool = False, sums: dict | None = None, maxes: dict | None = None,
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, chunk: str | Column = CHUNK,
+            keep_chunk: bool = False, counts: bool = False, sums: dict | None = None, maxes: dict | None = None,
             lags: dict | None = None, compound: str | None = None) -> DataFrame:
     """Add running columns to every row, ordered by ``order`` within ``keys``.
 
@@ -39,7 +39,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, chunk:
     maxes     -> {out: column} inclusive running maximum
     lags      -> {out: column} value of the previous row (null on the first)
     compound  -> growth factors of this return column: equity, peak (both starting at 1), dd
-    order[0] must be a timestamp; further columns break ties.
+    order[0] is a timestamp unless ``chunk`` is a column of its own; further columns break ties.
+    keep_chunk leaves the hashed ``_chunk`` column in place for a following co-located step.
     """
     keys, sums, maxes, lags = list(keys), sums or {}, maxes or {}, lags or {}
     part = [*keys, "_chunk"]
@@ -47,7 +48,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, chunk:
     upto, before = w.rowsBetween(*_UPTO), Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*_BEFORE)
     over_chunks = Window.partitionBy(*keys).orderBy("_chunk")
 
-    rows = df.withColumn("_chunk", time_chunk(order[0], chunk)).withColumn("_i", F.row_number().over(w))
+    unit = time_chunk(order[0], chunk) if isinstance(chunk, str) else chunk
+    rows = df.withColumn("_chunk", unit).withColumn("_i", F.row_number().over(w))
     for out, src in sums.items():
         rows = rows.withColumn(f"_s_{out}", F.sum(src).over(upto))
     for out, src in maxes.items():
@@ -93,8 +95,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, chunk:
                   .withColumn("peak", F.greatest(F.col("_bp"), F.col("_bg") * F.col("_h")))
                   .withColumn("dd", F.col("equity") / F.col("peak") - d(1)))
     made = (["idx", "n"] if counts else []) + [*sums, *maxes, *lags] + (["equity", "peak", "dd"] if compound else [])
-    kept = [c for c in df.columns if c not in made]
-    return out.select(*kept, *made)
+    kept = [c for c in df.columns if c not in made and c != "_chunk"]
+    return out.select(*kept, *made, *(["_chunk"] if keep_chunk else []))
 
 
 # --- drawdown without carrying rows -----------------------------------------------
