@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pathscreen.catalog.registry import pick, query, r, rounded, stream_sql, uniform_sql
 from pathscreen.catalog.views import benchmark_map, ctes, path_sql, v_beta, v_px, v_ret, v_trd
+from pathscreen.staging import stage
 from pathscreen.operators import benchmark as B, metrics as M, resample as R, scan
 
 ID = M.ID
@@ -34,12 +35,12 @@ def fold_sql(src: str, keys: str = "strategy_id", order: str = "ts") -> str:
    JOIN (SELECT strategy_id, count(*) s_rows FROM ss GROUP BY 1) USING (strategy_id) JOIN (SELECT strategy_id, count(*) a_rows FROM aa GROUP BY 1) USING (strategy_id)
    WHERE s_rows>=3 AND a_rows>=2""")
 def join_overlap_window(spark, folder):
-    out = B.overlap_rows(B.one_return_per_time(v_beta(spark, folder)), v_px(spark, folder), benchmark_map(spark, folder))
+    out = B.overlap_rows(stage(B.one_return_per_time(v_beta(spark, folder))), stage(v_px(spark, folder)), benchmark_map(spark, folder))
     return pick(out, [ID, "asset_key", "lo", "hi"], ["overlap_days"], ["partial", "s_rows", "a_rows"], 4)
 
 
 def _joined(spark, folder):
-    px, s, m = v_px(spark, folder), B.one_return_per_time(v_beta(spark, folder)), benchmark_map(spark, folder)
+    px, s, m = stage(v_px(spark, folder)), stage(B.one_return_per_time(v_beta(spark, folder))), benchmark_map(spark, folder)
     return B.bar_returns(s, B.asset_bars(px), B.overlap_windows(s, px, m))
 
 
@@ -56,7 +57,7 @@ def beta_corr(spark, folder):
 CMP = """SELECT *, strat_calmar-bnh_calmar cal_alpha, strat_total/nullif(bnh_total,0) ret_capture,
   CASE WHEN bnh_mdd<0 THEN (abs(bnh_mdd)-abs(strat_mdd))/abs(bnh_mdd) ELSE 0 END dd_reduction FROM (
   SELECT *, CASE WHEN strat_mdd<0 THEN strat_cagr/abs(strat_mdd) ELSE 0 END strat_calmar, CASE WHEN bnh_mdd<0 THEN bnh_cagr/abs(bnh_mdd) ELSE 0 END bnh_calmar FROM (
-  SELECT win.*, overlap_days/365.25::DOUBLE years, s.growth-1 strat_total, a.growth-1 bnh_total, s.mdd strat_mdd, a.mdd bnh_mdd,
+  SELECT win.*, overlap_days/365.25::DOUBLE AS years, s.growth-1 strat_total, a.growth-1 bnh_total, s.mdd strat_mdd, a.mdd bnh_mdd,
   pow(s.growth, 365.25::DOUBLE/overlap_days)-1 strat_cagr, pow(a.growth, 365.25::DOUBLE/overlap_days)-1 bnh_cagr
   FROM win JOIN sfold s USING (strategy_id) JOIN afold a USING (strategy_id) WHERE s.n>=3 AND a.n>=2))"""
 _CMP_COLS = ["years", "strat_total", "strat_cagr", "strat_mdd", "strat_calmar", "bnh_total", "bnh_cagr", "bnh_mdd", "bnh_calmar",
@@ -69,14 +70,14 @@ def cmp_sql(src: str = "v_beta") -> str:
 
 @query("benchmark_stats", cmp_sql() + " SELECT strategy_id, asset_key, partial, " + ", ".join(r(c) for c in _CMP_COLS) + " FROM cmp")
 def benchmark_stats(spark, folder):
-    out = B.compare(v_beta(spark, folder), v_px(spark, folder), benchmark_map(spark, folder))
+    out = B.compare(stage(v_beta(spark, folder)), stage(v_px(spark, folder)), benchmark_map(spark, folder))
     return pick(out, [ID, "asset_key", "partial"], _CMP_COLS)
 
 
 @query("benchmark_curves", frame() + f""", sp AS ({path_sql('ss')}), ap AS ({path_sql('aa')})
    SELECT strategy_id, ts, 'strategy' side, {r('equity')} FROM sp UNION ALL SELECT strategy_id, ts, 'hold', {r('equity')} FROM ap""")
 def benchmark_curves(spark, folder):
-    return pick(B.curves(v_beta(spark, folder), v_px(spark, folder), benchmark_map(spark, folder)), [ID, "ts", "side"], ["equity"])
+    return pick(B.curves(stage(v_beta(spark, folder)), stage(v_px(spark, folder)), benchmark_map(spark, folder)), [ID, "ts", "side"], ["equity"])
 
 
 # --- resampling ---------------------------------------------------------------------------------
@@ -121,7 +122,7 @@ def monte_carlo(spark, folder):
     return pick(R.monte_carlo(M.path(v_ret(spark, folder))), [ID, "n_sims"], _MC_COLS)
 
 
-@query("mc_bands", MC.rstrip() + f""", m AS (SELECT strategy_id, step, quantile_cont(equity,0.05) lo, quantile_cont(equity,0.5) AS mid, quantile_cont(equity,0.95) hi FROM sp GROUP BY 1,2
+@query("mc_bands", MC.rstrip() + f""", m AS (SELECT strategy_id, step, q[1] lo, q[2] AS mid, q[3] hi FROM (SELECT strategy_id, step, quantile_cont(equity, [0.05, 0.5, 0.95]) q FROM sp GROUP BY 1,2)
    UNION ALL SELECT strategy_id, 0, 1, 1, 1 FROM sz) SELECT strategy_id, step, {r('lo')}, {r('mid')}, {r('hi')} FROM m""")
 def mc_bands(spark, folder):
     return pick(R.mc_bands(M.path(v_ret(spark, folder))), [ID, "step"], ["lo", "mid", "hi"])
@@ -187,7 +188,7 @@ def event_frame() -> str:
 @query("random_control_events", event_frame().replace("tm.n", "tm.n") + " SELECT es.strategy_id, random_sims, events AS random_events, " + ", ".join(r(c) for c in _RC_COLS) +
        " FROM es JOIN (SELECT strategy_id, max(events) events FROM tf GROUP BY 1) USING (strategy_id)")
 def random_control_events(spark, folder):
-    t, px, m = v_trd(spark, folder), v_px(spark, folder), benchmark_map(spark, folder)
+    t, px, m = stage(v_trd(spark, folder)), stage(v_px(spark, folder)), benchmark_map(spark, folder)
     rows = t.select(ID, F.col("exit_ts").alias("ts"), "ret")
     s = B.one_return_per_time(rows)
     w = B.overlap_windows(s, px, m)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 INF = float("inf")
 NAN = float("nan")
@@ -167,27 +167,29 @@ def trial_budget(margin: Column) -> Column:
 _M32 = 4294967296
 
 
-def mix32(x: Column) -> Column:
-    """32-bit integer finalizer (two xor-shift-multiply rounds) in exact bigint arithmetic."""
-    def half(v):
-        return (v.bitwiseXOR(F.shiftright(v, 16)) * F.lit(73244475)) % F.lit(_M32)
-
-    y = half(half(x))
-    return y.bitwiseXOR(F.shiftright(y, 16))
-
-
 def stream_key(key: Column, seed: int, salt: int) -> Column:
     """One md5 per strategy gives the 32-bit start of its own random stream."""
     text = F.concat_ws(":", F.lit(str(seed)), F.lit(str(salt)), key.cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def hashed_uniform(stream: Column, *parts: Column) -> Column:
-    """Uniform in [0, 1) from a stream key and integer coordinates; no state, no order."""
-    h = stream
-    for p in parts:
-        h = mix32((h + (p.cast("long") % F.lit(2147483648)) * F.lit(2654435761)) % F.lit(_M32))
-    return h.cast("double") / d(_M32)
+def with_hash(df: DataFrame, out: str, state: str | Column, part: Column) -> DataFrame:
+    """Add ``out``: the hash state advanced by one integer coordinate.
+
+    Every xor-shift round reads its input twice, so each round is a projection of its own; one nested
+    expression would grow eightfold per coordinate.
+    """
+    state = F.col(state) if isinstance(state, str) else state
+    m32, mult = F.lit(_M32), F.lit(73244475)
+    df = df.withColumn(out, (state + (part.cast("long") % F.lit(2147483648)) * F.lit(2654435761)) % m32)
+    for _ in range(2):
+        df = df.withColumn(out, (F.col(out).bitwiseXOR(F.shiftright(out, 16)) * mult) % m32)
+    return df.withColumn(out, F.col(out).bitwiseXOR(F.shiftright(out, 16)))
+
+
+def as_uniform(state: str) -> Column:
+    """Uniform in [0, 1) of a 32-bit hash state."""
+    return F.col(state).cast("double") / d(_M32)
 
 
 # --- time ---------------------------------------------------------------------

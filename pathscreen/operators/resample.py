@@ -12,9 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathscreen.functions.exprs import clip, d, finite, hashed_uniform, micros, stream_key
+from pathscreen.functions.exprs import as_uniform, clip, d, stream_key, with_hash
 from pathscreen.operators import scan
 from pathscreen.operators.benchmark import ASSET
+from pathscreen.staging import stage
 from pathscreen.operators.metrics import ID, cagr_expr, calmar_expr, path, ppy_expr
 
 SEED = 12345
@@ -94,11 +95,12 @@ def _draws(sizes: DataFrame, sims: Column, seed: int, salt: int) -> DataFrame:
     out = sizes.withColumn("b", b).withColumn("blocks", F.ceil(F.col("n") / F.col("b")))
     out = out.withColumn("_key", stream_key(F.col(ID), seed, salt))
     out = out.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), sims - 1)))
+    out = with_hash(out, "_h", "_key", F.col("sim"))
     out = out.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    u = hashed_uniform(F.col("_key"), F.col("sim"), F.col("j"))
-    out = out.withColumn("start", F.floor(u * (F.col("n") - F.col("b") + 1)))
+    out = with_hash(out, "_h", "_h", F.col("j"))
+    out = out.withColumn("start", F.floor(as_uniform("_h") * (F.col("n") - F.col("b") + 1)))
     length = F.when(F.col("j") == F.col("blocks") - 1, F.col("n") - (F.col("blocks") - 1) * F.col("b")).otherwise(F.col("b"))
-    return out.withColumn("len", length).drop("_key")
+    return out.withColumn("len", length).drop("_key", "_h")
 
 
 def _bootstrap_long(rows: DataFrame, sims: int, seed: int) -> DataFrame:
@@ -249,9 +251,11 @@ def positions(joined: DataFrame, sims: int = 128, seed: int = SEED, cost_bps: fl
     spine = rows.select(ID, "_chunk").distinct().join(stats, ID)  # one row per strategy and month
     rows = rows.join(spine, [ID, "_chunk"]).withColumn("_key", stream_key(F.col(ID), seed, SALT_BARS))
     rows = rows.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))))
-    pos = (hashed_uniform(F.col("_key"), F.col("sim"), F.col("idx")) < F.col("exposure")).cast("double")
-    prev = F.when(F.col("idx") > 1, (hashed_uniform(F.col("_key"), F.col("sim"), F.col("idx") - 1) < F.col("exposure")).cast("double")).otherwise(d(0))
-    rows = rows.withColumn("pos", pos).withColumn("prev_pos", prev)
+    rows = with_hash(rows, "_sim", "_key", F.col("sim"))
+    rows = with_hash(with_hash(rows, "_now", "_sim", F.col("idx")), "_last", "_sim", F.col("idx") - 1)
+    rows = rows.withColumn("pos", (as_uniform("_now") < F.col("exposure")).cast("double"))
+    rows = rows.withColumn("prev_pos", F.when(F.col("idx") > 1, (as_uniform("_last") < F.col("exposure")).cast("double")).otherwise(d(0)))
+    rows = rows.drop("_key", "_sim", "_now", "_last")
     rows = rows.withColumn("turnover", F.abs(F.col("pos") - F.col("prev_pos")))
     return rows.withColumn("sim_ret", F.col("prev_pos") * F.col("aret") - F.col("turnover") * d(cost_bps / 10000.0))
 
@@ -259,6 +263,7 @@ def positions(joined: DataFrame, sims: int = 128, seed: int = SEED, cost_bps: fl
 def random_control_bars(joined: DataFrame, sims: int = 128, seed: int = SEED, cost_bps: float = 2.0,
                         chunk: str = scan.CHUNK) -> DataFrame:
     """Strategy Calmar against random long/flat exposure to the same asset bars."""
+    joined = stage(joined)  # read by the exposure, by the simulations and by the strategy's own path
     pos = positions(joined, sims, seed, cost_bps, chunk)
     folds = scan.chunk_folds(pos.drop("ret").withColumnRenamed("sim_ret", "ret"), [ID, "sim"], ["ts"], "ret", F.col("_chunk"))
     rand = scan.fold_path(folds, [ID, "sim"])
@@ -287,17 +292,17 @@ def event_draws(trades: DataFrame, bars: DataFrame, sims: int = 128, seed: int =
     ends = bars.groupBy(ID).agg(F.max("ts").alias("last_ts"), F.max("bars").alias("bars"), F.max_by("close", "bar").alias("last_close"))
     t = valid.join(enough.join(ends, ID), ID)
     t = t.withColumn("_after", F.col("last_ts") - F.col("hold") + F.expr("INTERVAL '0.000001' SECOND"))
-    t = scan.first_at_or_after(t, bars, ID, "_after", "ts", ["bar"], chunk)
+    t = stage(scan.first_at_or_after(stage(t), bars, ID, "_after", "ts", ["bar"], chunk))
     room = clip((F.coalesce(F.col("bar.bar") - 1, F.col("bars"))).cast("double"), d(1), (F.col("bars") - 1).cast("double"))
     t = t.withColumn("room", room).drop("bar", "_after").withColumn("_key", stream_key(F.col(ID), seed, SALT_EVENTS))
     t = t.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))))
-    u = hashed_uniform(F.col("_key"), F.col("sim"), F.col("trade_no"))
-    t = t.withColumn("bar", (F.floor(u * F.col("room")) + 1).cast("long")).drop("_key", "room")
+    t = with_hash(with_hash(t, "_h", "_key", F.col("sim")), "_h", "_h", F.col("trade_no"))
+    t = t.withColumn("bar", (F.floor(as_uniform("_h") * F.col("room")) + 1).cast("long")).drop("_key", "_h", "room")
     b = bars.select(ID, F.col("bar").cast("long").alias("bar"), F.col("ts").alias("start_ts"), F.col("close").alias("start_close"))
     t = t.join(b, [ID, "bar"]).drop("bar")
     # a later bar than the start one, even for a zero holding time
     t = t.withColumn("_target", F.greatest(F.col("start_ts") + F.col("hold"), F.col("start_ts") + F.expr("INTERVAL '0.000001' SECOND")))
-    t = scan.first_at_or_after(t, bars, ID, "_target", "ts", ["close"], chunk)
+    t = scan.first_at_or_after(stage(t), bars, ID, "_target", "ts", ["close"], chunk)
     end_close = F.coalesce(F.col("bar.close"), F.col("last_close"))
     return t.select(ID, "sim", "trade_no", "exit_ts", "events", (end_close / F.col("start_close") - d(1)).alias("ret"))
 
@@ -309,7 +314,8 @@ def random_control_events(trades: DataFrame, strategy_rows: DataFrame, asset_row
     trades: (strategy_id, trade_no, entry_ts, exit_ts); strategy_rows and asset_rows: both sides inside
     the benchmark window; ppy: (strategy_id, ppy) of the trade log.
     """
-    draws = event_draws(trades, event_bars(asset_rows, chunk), sims, seed, chunk)
+    bars = stage(event_bars(asset_rows, chunk))
+    draws = stage(event_draws(trades, bars, sims, seed, chunk))
     events = draws.where("sim = 0").groupBy(ID).agg(F.max("events").alias("events"))
     folds = scan.chunk_folds(draws, [ID, "sim"], ["exit_ts", "trade_no"], "ret", chunk)
     rand = scan.fold_path(folds, [ID, "sim"]).join(ppy, ID).select(

@@ -212,6 +212,7 @@ def first_at_or_after(targets: DataFrame, bars: DataFrame, key: str, target_ts:
 
     Targets and bars meet in (key, chunk); a target with no later bar in its chunk takes the first bar
     of the next chunk that has one. ``bar_cols`` come back as a struct column ``bar`` (null if none).
+    Both inputs are read twice: pass tables (or staged rows), not long derivations.
     """
     tcols = [c for c in targets.columns if c not in (key,)]
     bar = F.struct(F.col(bar_ts).alias("ts"), *[F.col(c).alias(c) for c in bar_cols])
@@ -219,12 +220,12 @@ def first_at_or_after(targets: DataFrame, bars: DataFrame, key: str, target_ts:
                        F.lit(0).alias("_kind"))
     b = bars.select(F.col(key), F.col(bar_ts).alias("_ts"), bar.alias("_bar"), F.lit(1).alias("_kind"))
     rows = t.unionByName(b, allowMissingColumns=True).withColumn("_chunk", time_chunk("_ts", chunk))
-    ahead = (Window.partitionBy(key, "_chunk").orderBy("_ts", "_kind")
-             .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = rows.withColumn("_hit", F.first("_bar", ignorenulls=True).over(ahead))
+    # latest first, so that "the next bar" is the last one seen: a running window, linear in the rows
+    ahead = Window.partitionBy(key, "_chunk").orderBy(F.desc("_ts"), F.desc("_kind")).rowsBetween(*_UPTO)
+    rows = rows.withColumn("_hit", F.last("_bar", ignorenulls=True).over(ahead))
     firsts = rows.groupBy(key, "_chunk").agg(F.min_by("_bar", F.when(F.col("_kind") == 1, F.col("_ts"))).alias("_fb"))
-    later = (Window.partitionBy(key).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing))
+    later = Window.partitionBy(key).orderBy(F.desc("_chunk")).rowsBetween(*_BEFORE)
     nxt = firsts.select(F.col(key).alias("_k"), F.col("_chunk").alias("_kc"),
-                        F.first("_fb", ignorenulls=True).over(later).alias("_next"))
+                        F.last("_fb", ignorenulls=True).over(later).alias("_next"))
     out = rows.where("_kind = 0").join(nxt, (F.col(key) == F.col("_k")) & (F.col("_chunk") == F.col("_kc")))
     return out.select(key, "_t.*", F.coalesce("_hit", "_next").alias("bar"))
