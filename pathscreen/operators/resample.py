@@ -98,7 +98,8 @@ def _draws(sizes: DataFrame, sims: Column, seed: int, salt: int) -> DataFrame:
     out = with_hash(out, "_h", "_key", F.col("sim"))
     out = out.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     out = with_hash(out, "_h", "_h", F.col("j"))
-    out = out.withColumn("start", F.floor(as_uniform("_h") * (F.col("n") - F.col("b") + 1)))
+    # never null, so no join on it pushes a null check (with the whole hash inlined) below the projections
+    out = out.withColumn("start", F.coalesce(F.floor(as_uniform("_h") * (F.col("n") - F.col("b") + 1)), F.lit(0)))
     length = F.when(F.col("j") == F.col("blocks") - 1, F.col("n") - (F.col("blocks") - 1) * F.col("b")).otherwise(F.col("b"))
     return out.withColumn("len", length).drop("_key", "_h")
 
@@ -297,7 +298,7 @@ def event_draws(trades: DataFrame, bars: DataFrame, sims: int = 128, seed: int =
     t = t.withColumn("room", room).drop("bar", "_after").withColumn("_key", stream_key(F.col(ID), seed, SALT_EVENTS))
     t = t.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))))
     t = with_hash(with_hash(t, "_h", "_key", F.col("sim")), "_h", "_h", F.col("trade_no"))
-    t = t.withColumn("bar", (F.floor(as_uniform("_h") * F.col("room")) + 1).cast("long")).drop("_key", "_h", "room")
+    t = t.withColumn("bar", F.coalesce(F.floor(as_uniform("_h") * F.col("room")) + 1, F.lit(1)).cast("long")).drop("_key", "_h", "room")
     b = bars.select(ID, F.col("bar").cast("long").alias("bar"), F.col("ts").alias("start_ts"), F.col("close").alias("start_close"))
     t = t.join(b, [ID, "bar"]).drop("bar")
     # a later bar than the start one, even for a zero holding time
