@@ -31,18 +31,20 @@ def time_chunk(ts, unit: str) -> Column:
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, chunk: str | Column = CHUNK,
             keep_chunk: bool = False, counts: bool = False, sums: dict | None = None, maxes: dict | None = None,
-            lags: dict | None = None, compound: str | None = None) -> DataFrame:
+            maxes_before: dict | None = None, lags: dict | None = None, compound: str | None = None) -> DataFrame:
     """Add running columns to every row, ordered by ``order`` within ``keys``.
 
     counts    -> idx (1-based row number), n (rows of the group)
     sums      -> {out: column} inclusive running sum
     maxes     -> {out: column} inclusive running maximum
+    maxes_before -> {out: column} maximum of the earlier rows only (null on the first)
     lags      -> {out: column} value of the previous row (null on the first)
     compound  -> growth factors of this return column: equity, peak (both starting at 1), dd
     order[0] is a timestamp unless ``chunk`` is a column of its own; further columns break ties.
     keep_chunk leaves the hashed ``_chunk`` column in place for a following co-located step.
     """
-    keys, sums, maxes, lags = list(keys), sums or {}, maxes or {}, lags or {}
+    keys, sums, lags, earlier = list(keys), sums or {}, lags or {}, maxes_before or {}
+    maxes = {**(maxes or {}), **earlier}
     part = [*keys, "_chunk"]
     w = Window.partitionBy(*part).orderBy(*order)
     upto, before = w.rowsBetween(*_UPTO), Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*_BEFORE)
@@ -53,7 +55,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, chunk:
     for out, src in sums.items():
         rows = rows.withColumn(f"_s_{out}", F.sum(src).over(upto))
     for out, src in maxes.items():
-        rows = rows.withColumn(f"_m_{out}", F.max(src).over(upto))
+        rows = rows.withColumn(f"_m_{out}", F.max(src).over(w.rowsBetween(*_BEFORE) if out in earlier else upto))
     for out, src in lags.items():
         rows = rows.withColumn(f"_l_{out}", F.lag(src).over(w))
     if compound:
