@@ -82,18 +82,18 @@ def v_mix(spark, folder):
     return v_trd(spark, folder).select(*cols).unionByName(v_seq(spark, folder).select(*cols))
 
 
-OV = """SELECT strategy_id, count(*) trades, sum((entry_ts < mx)::BIGINT)::BIGINT overlaps FROM (SELECT *, max(exit_ts) OVER (PARTITION BY strategy_id ORDER BY entry_ts, exit_ts, trade_no
+OV = """SELECT strategy_id, count(*) trades, sum((entry_ts < mx)::BIGINT)::BIGINT overlap_count FROM (SELECT *, max(exit_ts) OVER (PARTITION BY strategy_id ORDER BY entry_ts, exit_ts, trade_no
    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) mx FROM mx0) GROUP BY 1"""
 
 
-@query("overlap_reject", ctes("v_trd", "v_ret", sq=SEQ, mx0=MIX, ov=OV) + "SELECT strategy_id, trades, coalesce(overlaps,0) overlaps, coalesce(overlaps,0)>0 rejected FROM ov")
+@query("overlap_reject", ctes("v_trd", "v_ret", sq=SEQ, mx0=MIX, ov=OV) + "SELECT strategy_id, trades, coalesce(overlap_count,0) overlap_count, coalesce(overlap_count,0)>0 rejected FROM ov")
 def overlap_reject(spark, folder):
     return T.overlap_check(v_mix(spark, folder))
 
 
 DAILY = """SELECT strategy_id, day, coalesce(g,1)-1 ret FROM (SELECT strategy_id, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day FROM (SELECT strategy_id, min(entry_ts::DATE) a, max(exit_ts::DATE) b FROM us GROUP BY 1))
    LEFT JOIN (SELECT strategy_id, day, product(f) g FROM (SELECT strategy_id, pow(1+greatest(ret,-0.999::DOUBLE), 1.0::DOUBLE/(date_diff('day', entry_ts::DATE, exit_ts::DATE)+1)) f, unnest(generate_series(entry_ts::DATE, exit_ts::DATE, INTERVAL 1 DAY))::DATE AS day FROM us) GROUP BY 1,2) USING (strategy_id, day)"""
-DAILY_SQL = ctes("v_trd", "v_ret", sq=SEQ, mx0=MIX, ov=OV, us="SELECT mx0.* FROM mx0 JOIN ov USING (strategy_id) WHERE coalesce(overlaps,0)=0 AND trades>=3", dl=DAILY)
+DAILY_SQL = ctes("v_trd", "v_ret", sq=SEQ, mx0=MIX, ov=OV, us="SELECT mx0.* FROM mx0 JOIN ov USING (strategy_id) WHERE coalesce(overlap_count,0)=0 AND trades>=3", dl=DAILY)
 
 
 @query("trades_to_daily", DAILY_SQL + f"SELECT strategy_id, day, {r('ret')} FROM dl")

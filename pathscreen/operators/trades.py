@@ -77,7 +77,7 @@ def overlap_check(trades: DataFrame, chunk: str = scan.CHUNK) -> DataFrame:
     rows = scan.running(trades.select(ID, "trade_no", "entry_ts", "exit_ts"), [ID], ["entry_ts", "exit_ts", "trade_no"],
                         chunk=chunk, maxes_before={"latest_end": "exit_ts"})
     hit = F.coalesce(F.col("entry_ts") < F.col("latest_end"), F.lit(False))
-    return rows.groupBy(ID).agg(F.count(F.lit(1)).alias("trades"), F.sum(hit.cast("long")).alias("overlaps"),
+    return rows.groupBy(ID).agg(F.count(F.lit(1)).alias("trades"), F.sum(hit.cast("long")).alias("overlap_count"),
                                 F.bool_or(hit).alias("rejected"))
 
 
