@@ -106,20 +106,17 @@ def derive_base(df: DataFrame, ppy: Column | None = None) -> DataFrame:
     out = df.withColumn("span_years", span_years_expr("start", "end"))
     out = out.withColumn("ppy", F.coalesce(ppy, ppy_expr(n, "start", "end")) if ppy is not None
                          else ppy_expr(n, "start", "end"))
-    flat = F.col("m2") == 0
+    flat, ppy = F.col("m2") == 0, F.col("ppy")
+    out = out.withColumns({
+        "cagr": cagr_expr(F.col("growth"), n, ppy), "sharpe": sharpe_expr(F.col("mean"), F.col("sd"), n, ppy),
+        "sortino": sortino_expr(F.col("mean"), F.col("downside_sq"), n, ppy),
+        "profit_factor": profit_factor_expr(F.col("gains"), F.col("losses")),
+        "sr": per_period_sharpe(F.col("mean"), F.col("sd"), n),
+        "skew": F.when(flat, d(0)).otherwise(F.col("skew0")), "kurt": F.when(flat, d(3)).otherwise(F.col("kurt0") + d(3)),
+        "eff_n": F.when(F.col("log_sum") > 0, F.try_divide(F.col("log_sum") * F.col("log_sum"), F.col("log_sq"))).otherwise(d(1)),
+        "top1_share": F.when(F.col("log_sum") > 0, F.try_divide(F.col("log_max"), F.col("log_sum"))).otherwise(d(1))})
     return (
-        out.withColumn("cagr", cagr_expr(F.col("growth"), n, F.col("ppy")))
-        .withColumn("sharpe", sharpe_expr(F.col("mean"), F.col("sd"), n, F.col("ppy")))
-        .withColumn("sortino", sortino_expr(F.col("mean"), F.col("downside_sq"), n, F.col("ppy")))
-        .withColumn("profit_factor", profit_factor_expr(F.col("gains"), F.col("losses")))
-        .withColumn("sr", per_period_sharpe(F.col("mean"), F.col("sd"), n))
-        .withColumn("se", sharpe_se_expr(F.col("sr"), F.col("sd"), n))
-        .withColumn("skew", F.when(flat, d(0)).otherwise(F.col("skew0")))
-        .withColumn("kurt", F.when(flat, d(3)).otherwise(F.col("kurt0") + d(3)))
-        .withColumn("eff_n", F.when(F.col("log_sum") > 0, F.try_divide(F.col("log_sum") * F.col("log_sum"), F.col("log_sq")))
-                    .otherwise(d(1)))
-        .withColumn("top1_share", F.when(F.col("log_sum") > 0, F.try_divide(F.col("log_max"), F.col("log_sum")))
-                    .otherwise(d(1)))
+        out.withColumn("se", sharpe_se_expr(F.col("sr"), F.col("sd"), n))
         .drop("skew0", "kurt0", "m2", "log_sum", "log_sq", "log_max")
     )
 

@@ -7,6 +7,7 @@ from pathscreen.functions.exprs import clip, d, display_score, first_when, lin,
 from pathscreen.operators import metrics as M, resample, scan
 from pathscreen.operators.metrics import ID
 from pathscreen.plans import dims
+from pathscreen.staging import stage
 
 # Thresholds of the public rules.
 MIN_SPLIT_ROWS = 150
@@ -82,43 +83,42 @@ def with_pillars(f: DataFrame) -> DataFrame:
     degr = first_when((overfit, F.greatest(d(0), d(1) - (c("z") - d(1.64)) / d(3))),
                       (decayed, F.greatest(d(0.5), d(1) - (c("z") - d(1.64)) / d(6))), (None, d(1)))
     split = c("n") >= MIN_SPLIT_ROWS
-    f = f.withColumn("consistency", F.when(split, d(50) * c("block_pos_frac") + d(50) * degr))
-    f = f.withColumn("overfit_suspect", F.coalesce(split & overfit, F.lit(False)))
-    f = f.withColumn("subscore_flags", F.array_compact(F.array(
-        F.when((c("top_block_share") > 0.6) & (c("recurrence") < 0.25), F.lit("ONE_OFF_EDGE")),
-        F.when(~split, F.lit("INSUFFICIENT_FOR_SPLIT")), F.when(c("overfit_suspect"), F.lit("OVERFIT_SUSPECT_HOLDOUT")),
-        F.when(c("eff_n") < MIN_EFF_N, F.lit("EDGE_FROM_FEW_TRADES")))))
-    # plausibility
-    f = f.withColumn("too_good_codes", F.array_compact(F.array(
+    f = f.withColumns({"consistency": F.when(split, d(50) * c("block_pos_frac") + d(50) * degr),
+                       "overfit_suspect": F.coalesce(split & overfit, F.lit(False)), "too_good_codes": F.array_compact(F.array(
         F.when(~c("is_trade_log") & (c("autocorr") > 0.30), F.lit("STALE_OR_INTERPOLATED")),
         F.when(c("sharpe") > c("sharpe_absurd"), F.lit("SHARPE_TOO_GOOD")),
-        F.when((c("win_rate") > 0.90) & (F.abs("mdd") < 0.03), F.lit("NEAR_MONOTONIC")))))
-    f = f.withColumn("background_codes", F.array_compact(F.array(
+        F.when((c("win_rate") > 0.90) & (F.abs("mdd") < 0.03), F.lit("NEAR_MONOTONIC")))),
+        "background_codes": F.array_compact(F.array(
         F.when((c("span_years") >= 1.5) & (c("cagr") > 1), F.lit("BACKGROUND_CAGR")),
         F.when(c("calmar") > 10, F.lit("BACKGROUND_CALMAR")),
         F.when(c("growth") > 50, F.lit("BACKGROUND_GROWTH")),
-        F.when(c("max_month") > 1, F.lit("BACKGROUND_EXTREME_MONTH")))))
+        F.when(c("max_month") > 1, F.lit("BACKGROUND_EXTREME_MONTH"))))})
     k = F.size("too_good_codes")
-    f = f.withColumn("too_good", k > 0)
-    f = f.withColumn("plausibility", F.when(k == 0, d(99)).otherwise(F.greatest(d(5), d(100) - d(35) * k)))
+    f = f.withColumns({"too_good": k > 0, "plausibility": F.when(k == 0, d(99)).otherwise(F.greatest(d(5), d(100) - d(35) * k)),
+                       "subscore_flags": F.array_compact(F.array(
+        F.when((c("top_block_share") > 0.6) & (c("recurrence") < 0.25), F.lit("ONE_OFF_EDGE")),
+        F.when(~split, F.lit("INSUFFICIENT_FOR_SPLIT")), F.when(c("overfit_suspect"), F.lit("OVERFIT_SUSPECT_HOLDOUT")),
+        F.when(c("eff_n") < MIN_EFF_N, F.lit("EDGE_FROM_FEW_TRADES"))))})
     weight = F.when(c("consistency").isNull(), d(0.65)).otherwise(d(1))
     cred = (d(0.45) * c("robustness") + d(0.20) * c("plausibility") + d(0.35) * F.coalesce("consistency", d(0))) / weight
     rq = d(65) * sat(c("sharpe"), c("sharpe50")) + d(35) * sat(c("sortino"), c("sortino50"))
     recovery = F.when(c("mdd") < 0, F.try_divide(c("growth") - d(1), F.abs("mdd"))).otherwise(d(0))
     risk = (d(50) * (d(1) - sat(F.abs("mdd"), c("mdd50"))) + d(30) * sat(recovery, c("rec50"))
             + d(20) * (d(1) - sat(F.abs("cvar"), c("cvar50"))))
-    f = f.withColumn("return_quality_raw", rq).withColumn("credibility_raw", cred).withColumn("risk_raw", risk)
+    f = f.withColumns({"return_quality_raw": rq, "credibility_raw": cred, "risk_raw": risk})
+    shown = {}
     for name, cap in (("return_quality", 50), ("credibility", 28), ("risk", 99)):
         capped = F.when(c("too_good"), F.least(c(f"{name}_raw"), d(cap))).otherwise(c(f"{name}_raw"))
-        f = f.withColumn(name, display_score(F.least(capped, d(99))))
+        shown[name] = F.least(capped, d(99))
+    f = f.withColumns({f"_{name}": x for name, x in shown.items()})
+    f = f.withColumns({name: display_score(c(f"_{name}")) for name in shown}).drop(*[f"_{name}" for name in shown])
     bp5 = F.when(c("bootstrap_p5").isNull() | F.isnan("bootstrap_p5"), d(0.5)).when(c("bootstrap_p5") > 0, d(1)).otherwise(lin(c("bootstrap_p5"), -0.2, 0))
     n_min = c("n_min").cast("double")
     stat = (d(40) * F.coalesce("psr", d(0.5)) + d(25) * bp5 + d(20) * lin(c("eff_n"), 3, 20)
             + d(15) * lin(c("n").cast("double"), n_min, n_min * d(4)))
-    f = f.withColumn("statistical_confidence", stat)
     ddr = clip(c("dd_reduction"), -1, 1)
     edge = d(60) * (d(0.5) + d(0.5) * F.tanh(c("cal_alpha") / d(2))) + d(40) * (d(0.5) + d(0.5) * ddr)
-    return f.withColumn("edge_score", F.when(c("cal_alpha").isNotNull(), edge)).drop("_pen")
+    return f.withColumns({"statistical_confidence": stat, "edge_score": F.when(c("cal_alpha").isNotNull(), edge)}).drop("_pen")
 
 
 def score_unified(features: DataFrame, meta: DataFrame, profiles: DataFrame, benchmark: DataFrame | None = None,
@@ -135,20 +135,21 @@ def score_unified(features: DataFrame, meta: DataFrame, profiles: DataFrame, ben
         f = f.join(benchmark.select(ID, "cal_alpha", "dd_reduction", "ret_capture", F.col("partial").alias("bench_partial"),
                                     F.col("strat_calmar").alias("window_calmar"), "bnh_calmar"), ID, "left")
     else:
-        for name in ("cal_alpha", "dd_reduction", "ret_capture", "window_calmar", "bnh_calmar"):
-            f = f.withColumn(name, F.lit(None).cast("double"))
+        f = f.withColumns({name: F.lit(None).cast("double") for name in (
+            "cal_alpha", "dd_reduction", "ret_capture", "window_calmar", "bnh_calmar")})
         f = f.withColumn("bench_partial", F.lit(None).cast("boolean"))
     if control is not None:
         f = f.join(control.select(ID, "random_p", "random_sims", "random_events", F.col("method").alias("random_method")), ID, "left")
     else:
-        f = f.withColumn("random_p", F.lit(None).cast("double")).withColumn("random_sims", F.lit(None).cast("long"))
-        f = f.withColumn("random_events", F.lit(None).cast("long")).withColumn("random_method", F.lit(None).cast("string"))
-    f = f.withColumn("is_trade_log", F.coalesce(c("caliber") == "closed_trade", F.lit(False)))
-    f = f.withColumn("n_trials", F.greatest(F.coalesce("n_trials", F.lit(1)), F.lit(1)))
+        f = f.withColumns({"random_p": F.lit(None).cast("double"), "random_sims": F.lit(None).cast("long"),
+                           "random_events": F.lit(None).cast("long"), "random_method": F.lit(None).cast("string")})
+    f = f.withColumns({"is_trade_log": F.coalesce(c("caliber") == "closed_trade", F.lit(False)),
+                       "n_trials": F.greatest(F.coalesce("n_trials", F.lit(1)), F.lit(1))})
+    f = stage(f)  # one row per strategy: the rules below plan over a plain scan
     f = with_pillars(dims.join_profile(f, profiles))
     f = M.with_dsr(f, c("n_trials"))
     f = f.withColumn("effective_n", F.bround("eff_n", 1))
-    return _verdict(_gates(f))
+    return stage(_verdict(_gates(f)))  # consumers explode and filter plain columns
 
 
 def _gates(f: DataFrame) -> DataFrame:
@@ -156,18 +157,18 @@ def _gates(f: DataFrame) -> DataFrame:
     searched = c("n_trials") > 1
     overall = d(0.35) * c("return_quality") + d(0.40) * c("credibility") + d(0.25) * c("risk")
     penalty = F.when(searched, F.least(d(18), d(3) * F.log10(c("n_trials").cast("double")))).otherwise(d(0))
-    f = f.withColumn("uncapped", F.bround(clip(overall - penalty, 0, 99), 1))
     thin = (c("span_years") < 1) | (c("effective_n") < MIN_EFF_N)
-    f = f.withColumn("sample_hard", F.coalesce(F.when(c("is_trade_log"), thin).otherwise(thin | (c("n") < c("n_min"))), F.lit(False)))
     per_year = F.when(c("span_years") > 0, c("n") / c("span_years")).otherwise(c("n").cast("double"))
-    f = f.withColumn("low_frequency", c("is_trade_log") & ((c("n") < 100) | (per_year < 50)))
     has_bench, has_rc = c("edge_score").isNotNull(), c("random_p").isNotNull() & c("edge_score").isNotNull()
-    f = f.withColumn("benchmark_available", has_bench).withColumn("random_available", has_rc)
     luck = F.coalesce(c("psr") < PSR_FLOOR, F.lit(False)) | F.coalesce(c("bootstrap_p5") < 0, F.lit(False))
-    f = f.withColumn("edge_light", first_when(
+    f = f.withColumns({
+        "uncapped": F.bround(clip(overall - penalty, 0, 99), 1),
+        "sample_hard": F.coalesce(F.when(c("is_trade_log"), thin).otherwise(thin | (c("n") < c("n_min"))), F.lit(False)),
+        "low_frequency": c("is_trade_log") & ((c("n") < 100) | (per_year < 50)),
+        "benchmark_available": has_bench, "random_available": has_rc, "edge_light": first_when(
         (~has_bench & luck, "luck_unclear"), (~has_bench, "not_evaluated"), (c("edge_score") < BENCH_LOST, "lost"),
         (c("random_p") > RANDOM_HARD_P, "random_fail"), (~has_rc, "hold_only"),
-        ((c("edge_score") < BENCH_MATCH) | (c("random_p") > RANDOM_SOFT_P), "marginal"), (None, "beat")))
+        ((c("edge_score") < BENCH_MATCH) | (c("random_p") > RANDOM_SOFT_P), "marginal"), (None, "beat"))})
     light = c("edge_light")
     oos_lost = F.coalesce(c("oos_cagr") <= 0, F.lit(False))
     dsr_fail = searched & F.coalesce(c("dsr") < 0.5, F.lit(False))
@@ -175,21 +176,19 @@ def _gates(f: DataFrame) -> DataFrame:
     seasoned = (c("cagr") > 0) & ~c("sample_hard")
     short = seasoned & (c("span_years") < MIN_YEARS)
     few = seasoned & ~(c("span_years") < MIN_YEARS) & F.coalesce(c("effective_n") < MIN_EFF_N_TIER, F.lit(False))
-    f = f.withColumn("oos_lost", oos_lost).withColumn("dsr_fail", dsr_fail).withColumn("dsr_soft", dsr_soft)
-    f = f.withColumn("short_record", short).withColumn("few_effective", few)
+    f = f.withColumns({"oos_lost": oos_lost, "dsr_fail": dsr_fail, "dsr_soft": dsr_soft, "short_record": short, "few_effective": few})
 
     def codes(*pairs):
         return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for cond, code in pairs]))
 
-    f = f.withColumn("hard", codes(
+    return f.withColumns({"hard": codes(
         (c("forward_looking"), "FORWARD_LOOKING_INPUT"), (c("cagr") <= 0, "NEGATIVE_RETURN"), (c("sample_hard"), "INSUFFICIENT_SAMPLE"),
         (c("oos_lost"), "OOS_NEGATIVE_RETURN"), (light == "lost", "UNDERPERFORMS_HOLD_RISKADJ"),
-        (light == "random_fail", "RANDOM_CONTROL_NOT_BEATEN"), (c("dsr_fail"), "DSR_FAIL")))
-    f = f.withColumn("soft", codes(
+        (light == "random_fail", "RANDOM_CONTROL_NOT_BEATEN"), (c("dsr_fail"), "DSR_FAIL")), "soft": codes(
         (light == "marginal", "RANDOM_CONTROL_WEAK_EDGE"), (light == "hold_only", "RANDOM_CONTROL_UNAVAILABLE"),
         (light == "luck_unclear", "EDGE_HARD_TO_DISTINGUISH_FROM_LUCK"), (light == "not_evaluated", "EDGE_NOT_EVALUATED"),
-        (c("dsr_soft"), "DSR_OVERFIT_RISK")))
-    return f.withColumn("experience", codes((c("short_record"), "SHORT_TRACK_RECORD"), (c("few_effective"), "LOW_EFFECTIVE_SAMPLE")))
+        (c("dsr_soft"), "DSR_OVERFIT_RISK")),
+        "experience": codes((c("short_record"), "SHORT_TRACK_RECORD"), (c("few_effective"), "LOW_EFFECTIVE_SAMPLE"))})
 
 
 def _flags() -> Column:
