@@ -37,6 +37,24 @@ def scored(spark, folder):
     return score, joined, p
 
 
+_SCORED: dict = {}
+
+
+def score_tables(spark, folder):
+    """The staged score table of a folder, written once per application: reports read it many times.
+
+    ``pillar_scores``, ``score_unified`` and ``score_batch`` compute it afresh.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SCORED:
+        _SCORED[key] = scored(spark, folder)
+    return _SCORED[key]
+
+
+def score_rows(spark, folder):
+    return score_tables(spark, folder)[0]
+
+
 # --- SQL side ---------------------------------------------------------------------------------
 def on(sql: str, src: str) -> str:
     return re.sub(r"\bv_ret\b", src, sql)
@@ -140,7 +158,7 @@ def pillar_scores(spark, folder):
 @query("plausibility_flags", SCORE + f"""SELECT strategy_id, {names_sql(('ac>0.30::DOUBLE', 'STALE_OR_INTERPOLATED'), ('sharpe>absurd', 'SHARPE_TOO_GOOD'), ('win_rate>0.9::DOUBLE AND abs(mdd)<0.03::DOUBLE', 'NEAR_MONOTONIC'))} too_good,
   {names_sql(('span_years>=1.5 AND cagr>1', 'BACKGROUND_CAGR'), ('calmar>10', 'BACKGROUND_CALMAR'), ('growth>50', 'BACKGROUND_GROWTH'), ('max_month>1', 'BACKGROUND_EXTREME_MONTH'))} background, plaus::DOUBLE AS plausibility FROM sx""")
 def plausibility_flags(spark, folder):
-    s, _, _ = scored(spark, folder)
+    s, _, _ = score_tables(spark, folder)
     return s.select(ID, F.array_join("too_good_codes", "|").alias("too_good"), F.array_join("background_codes", "|").alias("background"), "plausibility")
 
 
@@ -162,7 +180,7 @@ TRI = SCORE + f""", dp AS (SELECT strategy_id, corr(ret,aret) corr, covar_samp(r
 
 
 def _triaged(spark, folder):
-    s, joined, p = scored(spark, folder)
+    s, joined, p = score_tables(spark, folder)
     return T.triage(s, T.dependency(B.dependency_stats(joined))), p
 
 
@@ -208,13 +226,13 @@ FL = ", fl AS (SELECT strategy_id, judgement, grade, unnest(string_split(flags,'
    SELECT sx.strategy_id, sx.grade, CASE WHEN judgement='OK' AND sx.strategy_id IN (SELECT strategy_id FROM rk WHERE code IN ({_SOFT})) THEN 'OK_SOFT' ELSE judgement END tone,
    coalesce((SELECT string_agg(code, '|' ORDER BY rn) FROM rk WHERE rk.strategy_id=sx.strategy_id AND rn<=3), '') issues FROM sx""")
 def coaching_top3(spark, folder):
-    s, _, _ = scored(spark, folder)
+    s, _, _ = score_tables(spark, folder)
     c = T.coaching(stage(s.select(ID, "grade", "judgement", "flags")), dims.advice(spark))
     return c.select(ID, "grade", "tone", F.array_join("issues.code", "|").alias("issues"))
 
 
 def _flag_rows(spark, folder):
-    s, _, _ = scored(spark, folder)
+    s, _, _ = score_tables(spark, folder)
     return s.select(ID, F.explode("flags").alias("f")).select(ID, "f.*")
 
 

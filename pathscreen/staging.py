@@ -18,3 +18,9 @@ def stage(df: DataFrame) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast hint only after counting: a table beyond ``max_rows`` is left to the planner's joins."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
