@@ -18,11 +18,11 @@ def names(spark, folder):
     ids = table(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias(ID))
     file = (F.when(n % 3 == 0, F.concat(F.lit("runs/B"), (n + 1).cast("string"), F.lit("USDT_4h_swing.csv")))
             .when(n % 3 == 1, F.lit("swing-test 4H.csv")).otherwise(F.concat(F.lit("B"), (n + 3).cast("string"), F.lit("7H vs B"), (n + 1).cast("string"), F.lit("1D.tsv"))))
-    return ids.withColumn("file_name", file).withColumn("symbol", F.when(n % 7 == 3, F.concat(F.lit("B"), (n + 2).cast("string"), F.lit("/USDT"))))
+    return ids.withColumn("file_name", file).withColumn("symbol", F.when(n % 7 == 3, F.concat(F.lit("B"), (n + 2).cast("string"), F.lit("-USDT"))))
 
 
 NAMES = """SELECT n_nationkey::BIGINT strategy_id, CASE n_nationkey%3 WHEN 0 THEN 'runs/B'||(n_nationkey+1)||'USDT_4h_swing.csv' WHEN 1 THEN 'swing-test 4H.csv' ELSE 'B'||(n_nationkey+3)||'7H vs B'||(n_nationkey+1)||'1D.tsv' END file_name,
-   CASE WHEN n_nationkey%7=3 THEN 'B'||(n_nationkey+2)||'/USDT' END symbol FROM nation"""
+   CASE WHEN n_nationkey%7=3 THEN 'B'||(n_nationkey+2)||'-USDT' END symbol FROM nation"""
 
 
 def aliases(spark, folder):
@@ -61,7 +61,6 @@ def join_alias_tokens(spark, folder):
 @query("semi_available", ctes("v_dayret", **NK) + "SELECT strategy_id, asset_key FROM sk WHERE asset_key IN (SELECT asset_key FROM v_dayret)")
 def semi_available(spark, folder):
     n = names(spark, folder).where("symbol IS NOT NULL")
-    # the pair separator of a symbol splits it into tokens, the path separator does not occur in it
     return A.semi_available(A.key_from_name(n, "symbol", aliases(spark, folder)), v_dayret(spark, folder)).select(ID, "asset_key")
 
 
@@ -131,7 +130,7 @@ def profile_from_name(spark, folder):
 _PV = ", ".join(str(p).replace('"', "'") for p in dims.PROFILES)
 
 
-@query("join_profile", f"SELECT user_id, event_id, mdd50, n_min::BIGINT AS n_min FROM (SELECT *, CASE WHEN event_type IN ('click','view') THEN 'crypto' WHEN event_type='error' THEN 'altcoin' ELSE event_type END p0 FROM events) JOIN (SELECT * FROM (VALUES {_PV}) t(profile,a,b,mdd50,c,e,n_min,f,g)) pf ON pf.profile=CASE WHEN p0 IN ('crypto','altcoin') THEN p0 ELSE 'other' END")
+@query("join_profile", f"SELECT user_id, event_id, mdd50::DOUBLE AS mdd50, n_min::BIGINT AS n_min FROM (SELECT *, CASE WHEN event_type IN ('click','view') THEN 'crypto' WHEN event_type='error' THEN 'altcoin' ELSE event_type END p0 FROM events) JOIN (SELECT * FROM (VALUES {_PV}) t(profile,a,b,mdd50,c,e,n_min,f,g)) pf ON pf.profile=CASE WHEN p0 IN ('crypto','altcoin') THEN p0 ELSE 'other' END")
 def join_profile(spark, folder):
     e = table(spark, folder, "events")
     e = e.withColumn("profile", F.when(F.col("event_type").isin("click", "view"), "crypto").when(F.col("event_type") == "error", "altcoin").otherwise(F.col("event_type")))
@@ -140,7 +139,7 @@ def join_profile(spark, folder):
 
 # --- batch ---------------------------------------------------------------------------------------
 _DIMS = ["source", "profile", "grade", "judgement", "edge_light", "evidence_status"]
-BAT = SQ.SCORE.rstrip() + ", ba AS (SELECT *, 'desk'||(strategy_id%4) AS source, ['crypto','stock_index','altcoin','other','unlisted'][1+strategy_id%5] AS prof FROM sx) "
+BAT = SQ.SCORE.rstrip() + ", ba AS MATERIALIZED (SELECT *, 'desk'||(strategy_id%4) AS source, ['crypto','stock_index','altcoin','other','unlisted'][1+strategy_id%5] AS prof FROM sx) "
 
 
 @query("score_batch", BAT + "SELECT strategy_id, source, prof AS profile, n, display, grade, judgement FROM ba")
