@@ -41,7 +41,7 @@ def write_audit(rows: DataFrame, path: str, fmt: str = "csv", mode: str = "error
 
 def number_text(x: Column, digits: int = 10) -> Column:
     """Plain decimal text with a fixed number of digits, trailing zeros removed."""
-    text = x.cast(f"decimal(38,{digits})").cast("string")
+    text = F.format_string(f"%.{digits}f", x)
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
