@@ -36,7 +36,7 @@ def text_files(spark, folder):
     return agg.select(F.concat(F.lit("file"), F.col("f").cast("string")).alias("path"), body.alias("content"))
 
 
-@query("scan_delimited", """SELECT 'file'||(event_id//100) path, (row_number() OVER (PARTITION BY event_id//100 ORDER BY event_id))::BIGINT row_no, c col_no, CASE c WHEN 0 THEN strftime(ts,'%Y-%m-%d %H:%M:%S') ELSE CAST(CAST((value-45)/1000 AS DECIMAL(12,5)) AS VARCHAR) END txt FROM events, (VALUES (0),(1)) t(c)
+@query("scan_delimited", """SELECT 'file'||(event_id//100) path, (row_number() OVER (PARTITION BY event_id//100, c ORDER BY event_id))::BIGINT row_no, c col_no, CASE c WHEN 0 THEN strftime(ts,'%Y-%m-%d %H:%M:%S') ELSE CAST(CAST((value-45)/1000 AS DECIMAL(12,5)) AS VARCHAR) END txt FROM events, (VALUES (0),(1)) t(c)
    UNION ALL SELECT DISTINCT 'file'||(event_id//100), 0, c, CASE c WHEN 0 THEN 'date' ELSE 'ret' END FROM events, (VALUES (0),(1)) t(c)""")
 def scan_delimited(spark, folder):
     return FI.scan_delimited(text_files(spark, folder))
@@ -55,7 +55,7 @@ def sheet_cells(spark, folder):
     """Sheets with a title block above the header for some files, then the events of the file."""
     h = headers(spark, folder).withColumn("base", F.when(F.col("u") % 3 == 0, F.lit(2)).otherwise(F.lit(0)))
     head = h.select("file", F.col("base").cast("long").alias("row_no"), "col_no", F.col("name").alias("txt"))
-    title = h.where("base = 2").select("file", F.explode(F.array(F.lit(0), F.lit(1))).cast("long").alias("row_no"), "col_no",
+    title = h.where("base = 2").select("file", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("row_no"), "col_no",
                                        F.when(F.col("col_no") == 0, "Report").otherwise("").alias("txt"))
     e = table(spark, folder, "events").select(F.col("user_id").alias("u"), "event_id", "value")
     num = scan.running(e.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")), ["u"], ["ts", "event_id"], counts=True)
