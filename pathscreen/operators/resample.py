@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathscreen.functions.exprs import as_uniform, clip, d, stream_key, with_hash
+from pathscreen.functions.exprs import as_uniform, clip, d, micros, stream_key, with_hash
 from pathscreen.operators import scan
 from pathscreen.operators.benchmark import ASSET
 from pathscreen.staging import stage
@@ -31,10 +31,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(16))
 
 
-def _uniforms(stream: int, sims: int, draws: int) -> np.ndarray:
+def _uniforms(stream: int, sims: int, draws: np.ndarray) -> np.ndarray:
+    """(sims, draws) uniforms of the coordinates (simulation, draw)."""
     mask, gold = np.uint64(0xFFFFFFFF), np.uint64(2654435761)
     h = _mix((np.uint64(stream) + np.arange(sims, dtype=np.uint64) * gold) & mask)
-    j = (np.arange(draws, dtype=np.uint64) * gold) & mask
+    j = (draws.astype(np.uint64) * gold) & mask
     return _mix((h[:, None] + j[None, :]) & mask) / 4294967296.0
 
 
@@ -49,10 +50,17 @@ def block_length(n: Column) -> Column:
 def _starts(key, n: int, sims: int, seed: int, salt: int) -> tuple[np.ndarray, int]:
     block = max(1, int(round(math.sqrt(n))))
     blocks = -(-n // block)
-    u = _uniforms(_stream(key, seed, salt), sims, blocks)
+    u = _uniforms(_stream(key, seed, salt), sims, np.arange(blocks))
     return np.floor(u * (n - block + 1)).astype(np.int64), block
 
 
+def _fold(growths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Final growth and maximum drawdown of each row of return factors."""
+    eq = np.cumprod(growths, axis=1)
+    peak = np.maximum(np.maximum.accumulate(eq, axis=1), 1.0)
+    return eq[:, -1], np.minimum((eq / peak - 1.0).min(axis=1), 0.0)
+
+
 def _id_type(df: DataFrame) -> str:
     return df.schema[ID].dataType.simpleString()
 
@@ -135,12 +143,12 @@ def sim_count(n: Column, n_sims: int) -> Column:
     return F.least(F.lit(n_sims), F.greatest(F.lit(300), F.floor(F.lit(4_000_000) / n))).cast("long")
 
 
-def _paths(key, arr: np.ndarray, n_sims: int, seed: int) -> np.ndarray:
+def _factors(key, arr: np.ndarray, n_sims: int, seed: int) -> np.ndarray:
     n = len(arr)
     sims = int(min(n_sims, max(300, 4_000_000 // n)))
     starts, block = _starts(key, n, sims, seed, SALT_PATH)
     idx = (starts[:, :, None] + np.arange(block)).reshape(sims, -1)[:, :n]
-    return np.cumprod(1.0 + arr[idx], axis=1)
+    return 1.0 + arr[idx]
 
 
 def monte_carlo_sims(p: DataFrame, n_sims: int = 2000, seed: int = SEED, array_max: int = ARRAY_MAX) -> DataFrame:
@@ -151,10 +159,8 @@ def monte_carlo_sims(p: DataFrame, n_sims: int = 2000, seed: int = SEED, array_m
     def small(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         key = pdf[ID].iloc[0]
-        eq = _paths(key, pdf["ret"].to_numpy(), n_sims, seed)
-        peak = np.maximum(np.maximum.accumulate(eq, axis=1), 1.0)
-        mdd = np.minimum((eq / peak - 1.0).min(axis=1), 0.0)
-        return pd.DataFrame({ID: key, "n": len(pdf), "sim": np.arange(len(eq)), "growth": eq[:, -1], "mdd": mdd})
+        growth, mdd = _fold(_factors(key, pdf["ret"].to_numpy(), n_sims, seed))
+        return pd.DataFrame({ID: key, "n": len(pdf), "sim": np.arange(len(growth)), "growth": growth, "mdd": mdd})
 
     quick = rows.where(F.col("n") <= array_max).groupBy(ID).applyInPandas(small, schema)
     steps = _long_steps(rows.where(F.col("n") > array_max), n_sims, seed)
@@ -197,7 +203,7 @@ def mc_bands(p: DataFrame, n_sims: int = 2000, seed: int = SEED, array_max: int
     def small(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         key = pdf[ID].iloc[0]
-        eq = _paths(key, pdf["ret"].to_numpy(), n_sims, seed)
+        eq = np.cumprod(_factors(key, pdf["ret"].to_numpy(), n_sims, seed), axis=1)
         lo, mid, hi = np.percentile(eq, [5, 50, 95], axis=0)
         one = [1.0]
         return pd.DataFrame({ID: key, "step": np.arange(len(pdf) + 1), "lo": np.concatenate([one, lo]),
@@ -261,14 +267,37 @@ def positions(joined: DataFrame, sims: int = 128, seed: int = SEED, cost_bps: fl
     return rows.withColumn("sim_ret", F.col("prev_pos") * F.col("aret") - F.col("turnover") * d(cost_bps / 10000.0))
 
 
+def _bar_sims_quick(rows: DataFrame, stats: DataFrame, sims: int, seed: int, cost_bps: float) -> DataFrame:
+    """Simulations of strategies that fit one task: (strategy, sim, n, growth, mdd)."""
+    def small(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        key, n = pdf[ID].iloc[0], len(pdf)
+        u = _uniforms(_stream(key, seed, SALT_BARS), sims, np.arange(1, n + 1))
+        pos = (u < pdf["exposure"].iloc[0]).astype(float)
+        prev = np.concatenate([np.zeros((sims, 1)), pos[:, :-1]], axis=1)
+        growth, mdd = _fold(1.0 + prev * pdf["aret"].to_numpy() - np.abs(pos - prev) * (cost_bps / 10000.0))
+        return pd.DataFrame({ID: key, "sim": np.arange(sims), "n": n, "growth": growth, "mdd": mdd})
+
+    schema = f"{ID} {_id_type(rows)}, sim long, n long, growth double, mdd double"
+    sized = rows.select(ID, "idx", "aret").join(stats.select(ID, "exposure"), ID)
+    return sized.groupBy(ID).applyInPandas(small, schema)
+
+
 def random_control_bars(joined: DataFrame, sims: int = 128, seed: int = SEED, cost_bps: float = 2.0,
-                        chunk: str = scan.CHUNK) -> DataFrame:
-    """Strategy Calmar against random long/flat exposure to the same asset bars."""
+                        chunk: str = scan.CHUNK, array_max: int = ARRAY_MAX) -> DataFrame:
+    """Strategy Calmar against random long/flat exposure to the same asset bars.
+
+    Strategies of up to ``array_max`` bars are simulated where their rows are; longer ones are
+    simulated in chunks that never leave their task as rows.
+    """
     joined = stage(joined)  # read by the exposure, by the simulations and by the strategy's own path
-    pos = positions(joined, sims, seed, cost_bps, chunk)
-    folds = scan.chunk_folds(pos.drop("ret").withColumnRenamed("sim_ret", "ret"), [ID, "sim"], ["ts"], "ret", F.col("_chunk"))
-    rand = scan.fold_path(folds, [ID, "sim"])
+    sims = int(max(32, min(sims, 512)))
     stats = bar_exposure(joined)
+    sized = scan.running(joined, [ID], ["ts"], chunk=chunk, counts=True)
+    quick = _bar_sims_quick(sized.where(F.col("n") <= array_max), stats, sims, seed, cost_bps)
+    pos = positions(sized.where(F.col("n") > array_max).drop("idx", "n"), sims, seed, cost_bps, chunk)
+    folds = scan.chunk_folds(pos.drop("ret").withColumnRenamed("sim_ret", "ret"), [ID, "sim"], ["ts"], "ret", F.col("_chunk"))
+    rand = quick.select(ID, "n", "growth", "mdd").unionByName(scan.fold_path(folds, [ID, "sim"]).select(ID, "n", "growth", "mdd"))
     own = scan.fold_path(scan.chunk_folds(joined, [ID], ["ts"], "ret", chunk), [ID]).join(stats, ID)
     own = own.select(ID, "ppy", "exposure", calmar_expr(cagr_expr(F.col("growth"), F.col("n"), F.col("ppy")), F.col("mdd")).alias("strat_calmar"),
                      F.lit(None).cast("long").alias("events"), F.lit("bar_long_flat").alias("method"))
@@ -308,20 +337,50 @@ def event_draws(trades: DataFrame, bars: DataFrame, sims: int = 128, seed: int =
     return t.select(ID, "sim", "trade_no", "exit_ts", "events", (end_close / F.col("start_close") - d(1)).alias("ret"))
 
 
-def random_control_events(trades: DataFrame, strategy_rows: DataFrame, asset_rows: DataFrame,
-                          ppy: DataFrame, sims: int = 128, seed: int = SEED, chunk: str = scan.CHUNK) -> DataFrame:
+def _event_sims_quick(valid: DataFrame, bars: DataFrame, sims: int, seed: int) -> DataFrame:
+    """Simulations of strategies whose trades and bars both fit one task."""
+    def small(trades: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if trades.empty or b.empty:
+            return pd.DataFrame({ID: [], "n": [], "growth": [], "mdd": []})
+        t, b = trades.sort_values(["exit_us", "trade_no"]), b.sort_values("bar")
+        key, us, close, n = t[ID].iloc[0], b["us"].to_numpy(), b["close"].to_numpy(), len(b)
+        hold = t["hold_us"].to_numpy()
+        room = np.clip(np.searchsorted(us, us[-1] - hold, side="right"), 1, n - 1)
+        u = _uniforms(_stream(key, seed, SALT_EVENTS), sims, t["trade_no"].to_numpy())
+        start = np.floor(u * room).astype(np.int64)
+        target = np.maximum(us[start] + hold, us[start] + 1)
+        end = np.minimum(np.searchsorted(us, target, side="left"), n - 1)
+        growth, mdd = _fold(close[end] / close[start])
+        return pd.DataFrame({ID: key, "n": len(t), "growth": growth, "mdd": mdd})
+
+    t = valid.select(ID, "trade_no", micros("exit_ts").alias("exit_us"), (micros("exit_ts") - micros("entry_ts")).alias("hold_us"))
+    b = bars.select(ID, "bar", micros("ts").alias("us"), "close")
+    schema = f"{ID} {_id_type(valid)}, n long, growth double, mdd double"
+    return t.groupBy(ID).cogroup(b.groupBy(ID)).applyInPandas(small, schema)
+
+
+def random_control_events(trades: DataFrame, strategy_rows: DataFrame, asset_rows: DataFrame, ppy: DataFrame, sims: int = 128,
+                          seed: int = SEED, chunk: str = scan.CHUNK, array_max: int = ARRAY_MAX) -> DataFrame:
     """Closed trades against random entries with the same holding times on the same asset.
 
     trades: (strategy_id, trade_no, entry_ts, exit_ts); strategy_rows and asset_rows: both sides inside
-    the benchmark window; ppy: (strategy_id, ppy) of the trade log.
+    the benchmark window; ppy: (strategy_id, ppy) of the trade log. Strategies with more than
+    ``array_max`` trades or bars take the distributed as-of joins of ``event_draws``.
     """
     bars = stage(event_bars(asset_rows, chunk))
-    draws = stage(event_draws(trades, bars, sims, seed, chunk))
-    events = draws.where("sim = 0").groupBy(ID).agg(F.max("events").alias("events"))
-    folds = scan.chunk_folds(draws, [ID, "sim"], ["exit_ts", "trade_no"], "ret", chunk)
-    rand = scan.fold_path(folds, [ID, "sim"]).join(ppy, ID).select(
-        ID, calmar_expr(cagr_expr(F.col("growth"), F.col("n"), F.col("ppy")), F.col("mdd")).alias("calmar"))
-    own = scan.fold_path(scan.chunk_folds(strategy_rows, [ID], ["ts"], "ret", chunk), [ID]).where("n >= 3").join(ppy, ID).join(events, ID)
+    valid = trades.where("entry_ts <= exit_ts")
+    counts = valid.groupBy(ID).agg(F.count(F.lit(1)).alias("events")).where("events >= 8")
+    sizes = stage(counts.join(bars.groupBy(ID).agg(F.max("bars").alias("_bars")), ID))
+    fits = (F.col("events") <= array_max) & (F.col("_bars") <= array_max)
+    few, many = sizes.where(fits).select(ID), sizes.where(~fits).select(ID)
+    quick = _event_sims_quick(valid.join(few, ID, "left_semi"), bars.join(few, ID, "left_semi"), int(max(64, min(sims, 512))), seed)
+    rand = quick
+    if not many.isEmpty():
+        draws = event_draws(trades.join(many, ID, "left_semi"), bars.join(many, ID, "left_semi"), sims, seed, chunk)
+        folds = scan.chunk_folds(draws, [ID, "sim"], ["exit_ts", "trade_no"], "ret", chunk)
+        rand = quick.unionByName(scan.fold_path(folds, [ID, "sim"]).select(ID, "n", "growth", "mdd"))
+    rand = rand.join(ppy, ID).select(ID, calmar_expr(cagr_expr(F.col("growth"), F.col("n"), F.col("ppy")), F.col("mdd")).alias("calmar"))
+    own = scan.fold_path(scan.chunk_folds(strategy_rows, [ID], ["ts"], "ret", chunk), [ID]).where("n >= 3").join(ppy, ID).join(sizes.select(ID, "events"), ID)
     own = own.select(ID, d(1).alias("exposure"), "events", F.lit("event_window").alias("method"),
                      calmar_expr(cagr_expr(F.col("growth"), F.col("n"), F.col("ppy")), F.col("mdd")).alias("strat_calmar"))
     return _control_summary(rand, own, min_sims=32)
