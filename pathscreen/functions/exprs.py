@@ -192,6 +192,13 @@ def as_uniform(state: str) -> Column:
     return F.col(state).cast("double") / d(_M32)
 
 
+# --- aggregates -------------------------------------------------------------------
+def pearson(x: str, y: str) -> Column:
+    """Correlation aggregate that is null for flat or short groups (``corr`` divides by zero there in ANSI mode)."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 # --- time ---------------------------------------------------------------------
 def naive_time(text: Column) -> Column:
     """Wall-clock time of an ISO text: the zone suffix is dropped, not converted."""

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pathscreen.functions.exprs import d, first_when
+from pathscreen.functions.exprs import d, first_when, pearson
 from pathscreen.operators.benchmark import ASSET
 from pathscreen.operators.metrics import ID
 from pathscreen.staging import broadcast_if_small
@@ -59,7 +59,7 @@ def fingerprints(daily: DataFrame, asset_daily: DataFrame, min_overlap: int = MI
     """
     a = broadcast_if_small(asset_daily.select(ASSET, "day", "aret"))
     agg = daily.select(ID, "day", "ret").join(a, "day").groupBy(ID, ASSET).agg(
-        F.count(F.lit(1)).alias("overlap"), F.corr("ret", "aret").alias("corr"), F.stddev_pop("ret").alias("_s"), F.stddev_pop("aret").alias("_a"))
+        F.count(F.lit(1)).alias("overlap"), pearson("ret", "aret").alias("corr"), F.stddev_pop("ret").alias("_s"), F.stddev_pop("aret").alias("_a"))
     return agg.where((F.col("overlap") >= min_overlap) & (F.col("_s") > 0) & (F.col("_a") > 0)).select(ID, ASSET, "overlap", "corr")
 
 

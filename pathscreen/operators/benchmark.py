@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pathscreen.functions.exprs import INF, MICROS_PER_DAY, NAN, clip, d, micros
+from pathscreen.functions.exprs import clip, d, INF, micros, MICROS_PER_DAY, NAN, pearson
 from pathscreen.operators import scan
 from pathscreen.operators.metrics import ID, TINY, calmar_expr, cagr_expr, ppy_expr
 
@@ -20,7 +20,7 @@ def asset_bars(prices: DataFrame, chunk: str = scan.CHUNK) -> DataFrame:
     """Closes with the return and the time of the previous bar."""
     rows = scan.running(prices.select(ASSET, "ts", "close"), [ASSET], ["ts"], chunk=chunk,
                         lags={"prev_close": "close", "prev_ts": "ts"})
-    return rows.select(ASSET, "ts", "close", (F.col("close") / F.col("prev_close") - d(1)).alias("aret"), "prev_ts")
+    return rows.select(ASSET, "ts", "close", (F.try_divide("close", "prev_close") - d(1)).alias("aret"), "prev_ts")
 
 
 def overlap_windows(returns: DataFrame, prices: DataFrame, mapping: DataFrame,
@@ -104,7 +104,7 @@ def curves(returns: DataFrame, prices: DataFrame, mapping: DataFrame, chunk: str
 def dependency_stats(joined: DataFrame, min_rows: int = 40) -> DataFrame:
     """Beta and correlation to the asset; groups that are short or flat have none."""
     agg = joined.groupBy(ID).agg(
-        F.count(F.lit(1)).alias("observations"), F.corr("ret", "aret").alias("corr"),
+        F.count(F.lit(1)).alias("observations"), pearson("ret", "aret").alias("corr"),
         F.covar_samp("ret", "aret").alias("_cov"), F.var_samp("aret").alias("_var"))
     return agg.where((F.col("observations") >= min_rows) & (F.col("_var") > 0)).select(
         ID, "observations", "corr", (F.col("_cov") / F.col("_var")).alias("beta"))

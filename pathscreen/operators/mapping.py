@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pathscreen.functions.exprs import d, first_when, micros
+from pathscreen.functions.exprs import d, first_when, micros, pearson
 from pathscreen.functions import names as N
 from pathscreen.operators import metrics as M, scan
 from pathscreen.operators.metrics import ID
@@ -131,7 +131,7 @@ def detect_input_type(series: DataFrame, name: Column | None = None, chunk: str
     """returns or equity, by column name, else sign, size and level autocorrelation."""
     rows = scan.running(series, [ID], ["ts"], chunk=chunk, lags={"_prev": "value"})
     agg = rows.groupBy(ID).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("value") < 0).alias("has_negative"),
-                               F.corr("value", "_prev").alias("_ac"), *( [F.max(name).alias("_name")] if name is not None else []))
+                               pearson("value", "_prev").alias("_ac"), *( [F.max(name).alias("_name")] if name is not None else []))
     med = scan.exact_quantiles(series, [ID], "value", {"median": 0.5})
     f = agg.join(med, ID)
     ac = F.when((F.col("n") > 3) & F.col("_ac").isNotNull() & ~F.isnan("_ac"), F.col("_ac")).otherwise(d(0))

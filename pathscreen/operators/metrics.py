@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathscreen.functions.exprs import (
     CONFIDENCE_Z, INF, MICROS_PER_DAY, MICROS_PER_YEAR, NAN, clip, d, expected_max_z, first_when,
-    micros, norm_cdf, trial_budget)
+    micros, norm_cdf, pearson, trial_budget)
 from pathscreen.operators import scan
 
 ID = "strategy_id"
@@ -37,7 +37,7 @@ def pct_change(levels: DataFrame, keys, ts: str, level: str, out: str = "ret",
                chunk: str = scan.CHUNK) -> DataFrame:
     """Simple return against the previous level; the first row of each group goes away."""
     rows = scan.running(levels, keys, [ts], chunk=chunk, lags={"_prev": level})
-    return rows.where(F.col("_prev").isNotNull()).withColumn(out, F.col(level) / F.col("_prev") - d(1)).drop("_prev")
+    return rows.where(F.col("_prev").isNotNull()).withColumn(out, F.try_divide(level, "_prev") - d(1)).drop("_prev")
 
 
 # --- formulas over already aggregated columns -----------------------------------------------
@@ -220,7 +220,7 @@ def block_positive_share(p: DataFrame) -> DataFrame:
 
 def autocorr(p: DataFrame) -> DataFrame:
     agg = p.groupBy(ID).agg(F.max("n").alias("n"), F.stddev_samp("ret").alias("sd"),
-                            F.corr("ret", "prev").alias("_ac"))
+                            pearson("ret", "prev").alias("_ac"))
     return agg.select(ID, "n", autocorr_expr(F.col("n"), F.col("sd"), F.col("_ac")).alias("autocorr"))
 
 

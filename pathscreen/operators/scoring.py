@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathscreen.functions.exprs import clip, d, display_score, first_when, lin, overfit_index, sat
+from pathscreen.functions.exprs import clip, d, display_score, first_when, lin, overfit_index, pearson, sat
 from pathscreen.operators import metrics as M, resample, scan
 from pathscreen.operators.metrics import ID
 from pathscreen.plans import dims
@@ -29,7 +29,7 @@ def feature_table(p: DataFrame, *, order=("ts",), chunk: str = scan.CHUNK, sims:
     first = idx <= M.split_cut(n)
     recent = idx > M.recent_cut(n)
     aggs = M.base_aggs()
-    aggs += [F.least(d(0), F.min("dd")).alias("mdd"), F.corr("ret", "prev").alias("_ac")]
+    aggs += [F.least(d(0), F.min("dd")).alias("mdd"), pearson("ret", "prev").alias("_ac")]
     for part, cond in (("tr", first), ("ho", ~first), ("re", recent), ("pr", ~recent)):
         kept = F.when(cond, r)
         aggs += [F.count(kept).alias(f"n_{part}"), F.avg(kept).alias(f"mean_{part}"), F.stddev_samp(kept).alias(f"sd_{part}")]
