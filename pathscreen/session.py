@@ -22,12 +22,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pat
     )
 
 
+_UNNAMED: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is named."""
+    """The shared folder the cluster names; a folder of this run only where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="pathscreen-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _UNNAMED:
+        _UNNAMED[app] = tempfile.mkdtemp(prefix="pathscreen-")
+    return _UNNAMED[app]
