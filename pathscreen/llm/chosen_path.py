@@ -2,16 +2,15 @@
 
 Every set gets minwise values. A tree node selects two positions of the signature by its own hash, and a
 set goes on to the children named by its values there, so similar sets keep meeting while others part. Small
-nodes are compared exhaustively, large ones branch on, and independent trees raise recall.
+nodes are compared exhaustively, large ones branch on as long as that parts their members, and independent trees raise recall.
 
-In place of all pairs within a group: every member of a node is first compared with the node's smallest
-member (a star, linear in the node's size). Confirmed links form components, and afterwards only pairs
-between different components of a node are still compared; within one component no further link can change
-the result. Exact copies are one class from the start.
+Exact copies are one class from the start. A node's comparison is a screen on sketches and names only groups: sets that may
+link, directly or over others. These groups are then resolved on the full shingle sets, again exhaustively but without
+emitting pairs: each task emits the links that connect its members. Nodes and groups of any size are dealt to tasks by
+pairs of chunks, so no task ever holds one whole.
 
-Every link is confirmed on the full word shingles. Missed pairs: two sets of similarity 0.8 meet in one tree
-of depth 3 with probability 0.94, in none of 6 trees with probability 4e-8; the screen on 128 two-bit minwise
-values loses a pair of similarity 0.8 with probability below 1e-6.
+Missed pairs: two sets of similarity 0.8 meet in one tree of depth 3 with probability 0.94, in none of 6 trees with
+probability 4e-8; the screen on 128 two-bit minwise values loses a pair of similarity 0.8 with probability below 1e-5.
 """
 from __future__ import annotations
 
@@ -22,7 +21,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from pathscreen.llm.common import pieces, text_key
 from pathscreen.staging import stage
@@ -30,10 +29,12 @@ from pathscreen.staging import stage
 VALUES = 128          # minwise values of a signature
 TREES = 6
 DEPTH = 3             # levels that every set passes; larger nodes branch on
-MAX_DEPTH = 12        # nodes still large here are compared as they are
-PAIRS_PER_ROW = 32    # a node whose open pairs are at most this many per member is small
-MISMATCHES = 42       # of 128 two-bit values; similarity 0.8 has 19 on average, standard deviation 4
-MEMBERS = 512         # members that are compared with one copy of their star's text
+MAX_DEPTH = 10        # nodes still large here are compared as they are
+SMALL = 4096          # members of a node that is compared and does not branch on
+PARTS = 0.6           # a child with more than this share of its parent is compared too: branching no longer parts its members
+MISMATCHES = 38       # of 128 two-bit values; similarity 0.8 has 19 on average, standard deviation 4
+CHUNK = 1024          # members of a node in one chunk; a task compares two chunks
+SHINGLES = 200_000    # shingles of a group in one chunk
 WORDS_KEPT = 400_000  # word hashes a worker remembers
 
 _rng = np.random.default_rng(20)
@@ -132,7 +133,8 @@ def digests(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _walk(levels: int, start: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (set_key, sig, ...) become rows of their nodes ``levels`` further down; ``start``: the column of the node or None for the roots."""
+    """Rows (set_key, sig, ...) become rows of their nodes ``levels`` further down; ``start``: the column of the node, then also given as
+    ``above``, or None for the roots."""
     for whole in batches:
         for at in range(0, whole.num_rows, 4096):
             batch = whole.slice(at, 4096)
@@ -145,59 +147,109 @@ def _walk(levels: int, start: str | None, batches: Iterator[pa.RecordBatch]) ->
                 nodes = branch(nodes, signs)
             n = nodes.shape[1]
             keys = batch.column("set_key").take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), keys], names=["node", "set_key"])
+            cols = [pa.array(nodes.ravel().view(np.int64)), keys]
+            if start is not None:
+                cols.append(pa.array(np.repeat(batch.column(start).to_numpy(zero_copy_only=False), n)))
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "set_key", "above"][:len(cols)])
 
 
-def _apart(a: str, b: str) -> Column:
-    """Two-bit values in which the sketches of two rows differ."""
-    out = F.lit(0)
-    for i in range(4):
-        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
-        out = out + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return out
-
-
-def _may_link(a: str, b: str, percent: int) -> Column:
-    small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (small * 100 >= large * percent) & (_apart(a, b) <= MISMATCHES)
-
-
-def _confirm(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a star in order: its own text (b null), then its members; gives the members that link."""
-    held, base = None, frozenset()
-    def shingles(text):
-        found = tokens(text)
-        return frozenset(zip(*(found[j:] for j in range(width)))) if len(found) >= width else frozenset([tuple(found)] if found else [])
-    for batch in pieces(batches):
-        out_a, out_b = [], []
-        for a, b, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            own = shingles(text)
-            if b is None:
-                held, base = a, own
-            elif held == a:
-                both = len(base & own)
-                if both and 100 * both >= percent * (len(base) + len(own) - both):
-                    out_a.append(a)
-                    out_b.append(b)
-            else:
-                raise ValueError("a star came without its text")
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
-
-
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set keys whose full shingle sets link. Each member's text goes to its star once; a star with many
-    members is dealt to several tasks, each with a copy of the star's own text."""
-    pairs = stage(pairs)
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(classes.select("set_key", "first"), "set_key")
-                   .select("set_key", F.col("first.doc_id").alias("want_id"), F.col("first.text_key").alias("want_key")))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key"))
-    texts = stage(rows.join(wanted, rows.doc_id.eqNullSafe(wanted.want_id) & (rows.text_key == wanted.want_key)).select("set_key", "text"))
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    dealt = stage(pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "b", "part"))
-    members = dealt.join(texts.withColumnRenamed("set_key", "b"), "b").select("a", "part", "b", "text")
-    stars = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("set_key", "a"), "a").select("a", "part", F.lit(None).cast("binary").alias("b"), "text")
-    spread = stars.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return stage(spread.mapInArrow(partial(_confirm, width, percent), "a binary, b binary").distinct())
+def _in_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[list[dict]]:
+    """Rows with equal keys, which come one after another, as lists."""
+    held: list[dict] = []
+    mark = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            now = tuple(row[k] for k in keys)
+            if now != mark and held:
+                yield held
+                held = []
+            mark = now
+            held.append(row)
+    if held:
+        yield held
+
+
+def _near(rows: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs of rows may link, in how many values they differ); of two chunks only the pairs across them."""
+    marks = np.array([[r["s0"], r["s1"], r["s2"], r["s3"]] for r in rows], np.int64).view(np.uint64)
+    sizes, sides = np.array([r["n_shingles"] for r in rows]), np.array([r["chunk"] for r in rows])
+    apart = np.zeros((len(rows), len(rows)), np.uint8)
+    for k in range(4):
+        x = marks[:, None, k] ^ marks[None, :, k]
+        apart += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
+    near = (apart <= MISMATCHES) & (np.minimum.outer(sizes, sizes) * 100 >= np.maximum.outer(sizes, sizes) * percent)
+    if rows[0]["i"] != rows[0]["j"]:
+        near &= sides[:, None] != sides[None, :]
+    return near, apart
+
+
+def _edges(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+
+
+def _screen(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each two chunks of a node: edges that connect the members that may link."""
+    out: list[tuple[bytes, bytes]] = []
+    for rows in _in_groups(batches, ("node", "i", "j")):
+        if len(rows) < 2:
+            continue
+        near, _ = _near(rows, percent)
+        np.fill_diagonal(near, False)
+        open_ = near.any(axis=1)
+        while open_.any():
+            first = int(open_.argmax())
+            group = np.zeros(len(rows), bool)
+            edge = group.copy()
+            edge[first] = True
+            while edge.any():
+                group |= edge
+                edge = near[edge].any(axis=0) & ~group
+            open_ &= ~group
+            out.extend((rows[first]["set_key"], rows[k]["set_key"]) for k in np.flatnonzero(group) if k != first)
+        if len(out) > 50_000:
+            yield _edges(out)
+            out = []
+    yield _edges(out)
+
+
+def _resolve(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each two chunks of a group: links, confirmed on full sets, that connect all members that links connect."""
+    for rows in _in_groups((b for batch in batches for b in pieces(iter([batch]))), ("group", "i", "j")):
+        if len(rows) < 2:
+            continue
+        near, apart = _near(rows, percent)
+        a, b = np.nonzero(np.triu(near, 1))
+        order = np.argsort(apart[a, b], kind="stable")
+        sets: dict[int, frozenset] = {}
+        above = list(range(len(rows)))
+        out = []
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            one, two = top(x), top(y)
+            if one == two:
+                continue
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = frozenset(shingle_hashes(tokens(rows[k]["text"]), width).tolist())
+            both = len(sets[x] & sets[y])
+            if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                above[one] = two
+                out.append((rows[x]["set_key"], rows[y]["set_key"]))
+        yield _edges(out)
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with ``key`` and ``chunks``, once for every pair i <= j of chunks that holds their own, in order of the pairs."""
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("set_key"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)))
+    rows = rows.withColumn("i", F.least("chunk", "with")).withColumn("j", F.greatest("chunk", "with")).drop("with", "chunks")
+    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -219,11 +271,25 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
 
 
-def _open_pairs(rows: DataFrame) -> DataFrame:
-    """Per node: members, pairs between different components, and the component that most members have."""
-    return (rows.groupBy("node", "part").agg(F.count("*").alias("c")).groupBy("node")
-            .agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "part")).alias("most"))
-            .select("node", "n", ((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("open"), F.col("most.part").alias("main")).where("open > 0"))
+def _groups(classes: DataFrame, percent: int) -> DataFrame:
+    """(key, root): groups of classes that may link, by the trees."""
+    marks = classes.select("set_key", "n_shingles", "s0", "s1", "s2", "s3")
+    rows = classes.select("set_key", "sig").mapInArrow(partial(_walk, DEPTH, None), "node long, set_key binary").withColumn("parent", F.lit(0).cast("long"))
+    edges, level = None, DEPTH
+    while True:
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.max("parent").alias("parent")).where("n > 1")
+        leaf = (F.col("n") <= SMALL) | (F.col("n") > PARTS * F.col("parent")) & (F.col("parent") > 0) | F.lit(level >= MAX_DEPTH)
+        shared = stage(rows.select("node", "set_key").join(sizes.withColumn("leaf", leaf), "node"))
+        here = shared.where("leaf").select("node", "set_key", F.ceil(F.col("n") / CHUNK).alias("chunks")).join(marks, "set_key")
+        found = stage(_dealt(here, "node").mapInArrow(partial(_screen, percent), "a binary, b binary").distinct())
+        edges = found if edges is None else edges.unionByName(found)
+        large = shared.where(~F.col("leaf"))
+        if level >= MAX_DEPTH or large.isEmpty():
+            return components(edges)
+        below = large.join(classes.select("set_key", "sig"), "set_key").select("node", "n", "set_key", "sig")
+        kids = below.select("node", "set_key", "sig").mapInArrow(partial(_walk, 1, "node"), "node long, set_key binary, above long")
+        rows = kids.join(large.select(F.col("node").alias("above"), "n").distinct(), "above").select("node", "set_key", F.col("n").alias("parent"))
+        level += 1
 
 
 def linked_components(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -232,38 +298,14 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80) -> tup
     classes = stage(rows.where("set_key is not null").groupBy("set_key").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"), F.first("n_shingles").alias("n_shingles"),
         F.first("sig").alias("sig"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(4))))
-    marks = classes.select("set_key", "n_shingles", "s0", "s1", "s2", "s3")
-    every = classes.select("set_key", "sig").mapInArrow(partial(_walk, DEPTH, None), "node long, set_key binary")
-    nodes = every.groupBy("node").agg(F.count("*").alias("n"), F.min("set_key").alias("star")).where("n > 1").select("node", "star")
-    shared = stage(every.join(nodes, "node").where("set_key != star"))
-    stars = shared.select(F.col("star").alias("a"), F.col("set_key").alias("b")).distinct()
-    stars = (stars.join(marks.alias("y"), F.col("y.set_key") == F.col("b")).join(marks.alias("x"), F.col("x.set_key") == F.col("a"))
-             .where(_may_link("x", "y", percent)).select("a", "b"))
-    links = confirm(stars, classes, docs, width, percent)
-    parts = stage(components(links))
-    # pairs between components that still share a node
-    level, left = DEPTH, shared.select("node", "set_key").join(parts, F.col("set_key") == F.col("key"), "left").select("node", "set_key", F.coalesce("root", "set_key").alias("part"))
-    left, found = stage(left), None
-    while True:
-        cost = stage(_open_pairs(left))
-        small = cost.where(F.col("open") <= PAIRS_PER_ROW * F.col("n")) if level < MAX_DEPTH else cost
-        held = left.join(small.select("node", "main"), "node").join(marks, "set_key")
-        x, y = held.where("part != main").alias("x"), held.alias("y")
-        pairs = stage(x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.part") != F.col("y.part"))
-                             & ((F.col("y.part") == F.col("y.main")) | (F.col("x.set_key") < F.col("y.set_key"))) & _may_link("x", "y", percent))
-                      .select(F.least("x.set_key", "y.set_key").alias("a"), F.greatest("x.set_key", "y.set_key").alias("b")).distinct())
-        found = pairs if found is None else found.unionByName(pairs)
-        if level >= MAX_DEPTH:
-            break
-        deeper = cost.where(F.col("open") > PAIRS_PER_ROW * F.col("n")).select("node")
-        if deeper.isEmpty():
-            break
-        on = left.join(deeper, "node")
-        kids = on.join(classes.select("set_key", "sig"), "set_key").select("node", "set_key", "sig").mapInArrow(partial(_walk, 1, "node"), "node long, set_key binary").distinct()
-        left = stage(kids.join(on.select("set_key", "part").distinct(), "set_key"))
-        level += 1
-    more = confirm(found.distinct(), classes, docs, width, percent)
-    roots = stage(components(links.unionByName(more)))
+    groups = stage(_groups(classes, percent))
+    weights = groups.join(classes.select("set_key", "n_shingles"), F.col("key") == F.col("set_key")).groupBy("root").agg(F.ceil(F.sum("n_shingles") / SHINGLES).alias("chunks"))
+    wanted = groups.join(weights, "root").join(classes, F.col("key") == F.col("set_key"))
+    wanted = stage(wanted.select(F.col("root").alias("group"), "chunks", "set_key", "n_shingles", "s0", "s1", "s2", "s3", F.col("first.doc_id").alias("want_id"), F.col("first.text_key").alias("want_key")))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key"))
+    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.want_id) & (texts.text_key == wanted.want_key)).drop("doc_id", "text_key", "want_id", "want_key")
+    links = stage(_dealt(texts, "group").mapInArrow(partial(_resolve, width, percent), "a binary, b binary").distinct())
+    roots = stage(components(links))
     named = classes.select("set_key", "first").join(roots, F.col("set_key") == F.col("key"), "left").select("set_key", "first", F.coalesce("root", "set_key").alias("root"))
     ids = named.groupBy("root").agg(F.min("first").alias("keeps"))
     return rows, stage(named.join(ids, "root").select("set_key", F.col("keeps.doc_id").alias("component_id"), F.col("keeps.text_key").alias("keeps_key")))
