@@ -26,10 +26,13 @@ _UNNAMED: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of this run only where none is named (tests)."""
+    """The shared folder the cluster names. Where none is named, a local session (tests) gets a folder of this run; on a
+    cluster that would be a folder that executors can't see, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _UNNAMED:
         _UNNAMED[app] = tempfile.mkdtemp(prefix="pathscreen-")
