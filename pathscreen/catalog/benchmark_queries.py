@@ -99,7 +99,7 @@ BOOT = ctes("v_ret", p=path_sql("v_ret"), sz=SIZES, py=PPY, lg=LOGS, dr=draws_sq
 
 @query("join_bootstrap_index", BOOT + f"SELECT strategy_id, sim, {r('growth')} FROM gr")
 def join_bootstrap_index(spark, folder):
-    return pick(R.bootstrap_growth(M.path(v_ret(spark, folder)), array_max=0), [ID, "sim"], ["growth"])
+    return pick(R.bootstrap_growth(M.path(v_ret(spark, folder))), [ID, "sim"], ["growth"])
 
 
 @query("bootstrap_p5", BOOT + f"SELECT strategy_id, {r('bootstrap_p5')} FROM bp")
@@ -107,7 +107,7 @@ def bootstrap_p5(spark, folder):
     return pick(R.bootstrap_p5(M.path(v_ret(spark, folder))), [ID], ["bootstrap_p5"])
 
 
-MC = ctes("v_ret", p=path_sql("v_ret"), sz=SIZES, py=PPY, dr=draws_sql(R.SALT_PATH, "least(2000, greatest(300, 4000000//n))"),
+MC = ctes("v_ret", p=path_sql("v_ret"), sz=SIZES, py=PPY, dr=draws_sql(R.SALT_PATH, "2000"),
           st="SELECT d.strategy_id, d.sim, d.j*d.b+o+1 step, p.ret FROM (SELECT *, unnest(range(0, len)) o FROM dr) d JOIN p ON p.strategy_id=d.strategy_id AND p.idx=d.start+o+1",
           sp="""SELECT strategy_id, sim, step, equity, equity/greatest(1, max(equity) OVER (PARTITION BY strategy_id, sim ORDER BY step ROWS UNBOUNDED PRECEDING))-1 dd FROM (
              SELECT *, product(1+ret) OVER (PARTITION BY strategy_id, sim ORDER BY step ROWS UNBOUNDED PRECEDING) equity FROM st)""")

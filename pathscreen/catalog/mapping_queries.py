@@ -241,7 +241,7 @@ def pii_column_names(spark, folder):
 
 
 @query("pii_values", "WITH t AS (SELECT source AS \"column\", text FROM documents UNION ALL SELECT role, text FROM conversations) SELECT \"column\", email, credential, phone, wallet, CASE WHEN email>0 THEN 'email' WHEN credential>0 THEN 'credential' WHEN phone>0 THEN 'phone' WHEN wallet>0 THEN 'wallet' END kind FROM (SELECT \"column\", "
-       + ", ".join(f"sum(regexp_matches(text, '{rx}')::BIGINT)::BIGINT {k}" for k, rx in Q.PII_VALUES) + " FROM t GROUP BY 1)")
+       + ", ".join(f"sum(regexp_matches(text, '{rx.replace('*+', '*')}')::BIGINT)::BIGINT {k}" for k, rx in Q.PII_VALUES) + " FROM t GROUP BY 1)")
 def pii_values(spark, folder):
     t = table(spark, folder, "documents").select(F.col("source").alias("g"), "text").unionByName(table(spark, folder, "conversations").select(F.col("role").alias("g"), "text"))
     return Q.pii_values(t, "g", "text").select("column", *[k for k, _ in Q.PII_VALUES], "kind")

@@ -92,6 +92,8 @@ DET = """SELECT *, CASE WHEN sym IS NOT NULL AND agree THEN 'symbol+corr' WHEN s
     LEFT JOIN (SELECT * FROM sk WHERE asset_key IN (SELECT asset_key FROM v_dayret)) sk USING (strategy_id) LEFT JOIN (SELECT * FROM fk WHERE asset_key IN (SELECT asset_key FROM v_dayret)) fk USING (strategy_id)
     LEFT JOIN (SELECT * FROM rk WHERE rank=1) t USING (strategy_id) LEFT JOIN rk n ON n.strategy_id=nm.strategy_id AND n.asset_key=coalesce(sk.asset_key, fk.asset_key))"""
 DETQ = ctes("v_beta", **NK, fp=FP, rk=RK, de=DET)
+for _name in ("v_dayret", "v_beta", "fp", "rk"):  # each is read several times
+    DETQ = DETQ.replace(f"{_name} AS (", f"{_name} AS MATERIALIZED (", 1)
 BEST = "SELECT strategy_id, coalesce(sym, fil, CASE WHEN via='correlation' THEN tk END) asset_key, via, confidence FROM de"
 
 
@@ -114,7 +116,7 @@ def anti_alternatives(spark, folder):
     return A.anti_alternatives(ranked, det).select(ID, "asset_key", "alt_rank")
 
 
-_PROF = ", ".join("('{}','{}')".format(*(line.split("|")[i] for i in (0, 5))) for line in dims.ASSETS_TEXT.splitlines())
+_PROF = ", ".join(f"('{key}','{profile}')" for key, profile, _ in dims.ASSETS)
 _PN = "SELECT event_id, CASE event_id%6 WHEN 0 THEN 'BTC' WHEN 1 THEN 'XLK' WHEN 2 THEN 'ZZZ' ELSE NULL END asset_key, ['eth_grid','doge7h','spy swing','plain', 'Index_A_share', 'cl trend'][1+(event_id//6)%6] fname FROM events"
 
 

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pathscreen.functions.exprs import d, first_when, pearson
 from pathscreen.operators.benchmark import ASSET
 from pathscreen.operators.metrics import ID
-from pathscreen.staging import broadcast_if_small
 
 MIN_OVERLAP = 60
 # Quote suffixes (longest match first) and timeframe suffixes.
-PAIR_SUFFIX = "USDTPERP|PERPUSDT|USDT|USDC|BUSD|PERP|USD"
-TIMEFRAME = "MINS|MIN|M|H|D|W"
+PAIR_SUFFIX = "|".join(("USDTPERP", "PERPUSDT", "USDT", "USDC", "BUSD", "PERP", "USD"))
+TIMEFRAME = "|".join(("MINS", "MIN", "M", "H", "D", "W"))
 
 
 def _strip_pair(tok: Column) -> Column:
@@ -41,7 +40,7 @@ def token_candidates(df: DataFrame, name: str, key: str = ID) -> DataFrame:
 
 def key_from_name(df: DataFrame, name: str, aliases: DataFrame, key: str = ID) -> DataFrame:
     """Asset named by exactly one alias hit; names that hit several assets stay open."""
-    hits = token_candidates(df, name, key).join(broadcast_if_small(aliases.withColumnRenamed("alias", "candidate")), "candidate")
+    hits = token_candidates(df, name, key).join(aliases.withColumnRenamed("alias", "candidate"), "candidate")
     best = hits.groupBy(key, "tok_pos").agg(F.min_by(ASSET, "cand_rank").alias(ASSET))
     return best.groupBy(key).agg(F.count_distinct(ASSET).alias("_k"), F.min(ASSET).alias(ASSET)).where("_k = 1").drop("_k")
 
@@ -57,7 +56,7 @@ def fingerprints(daily: DataFrame, asset_daily: DataFrame, min_overlap: int = MI
     An equi-join on the day; the asset side is broadcast only when it is small. Correlations are
     combined before the shuffle, which then carries one row per (strategy, asset) and task.
     """
-    a = broadcast_if_small(asset_daily.select(ASSET, "day", "aret"))
+    a = asset_daily.select(ASSET, "day", "aret")
     agg = daily.select(ID, "day", "ret").join(a, "day").groupBy(ID, ASSET).agg(
         F.count(F.lit(1)).alias("overlap"), pearson("ret", "aret").alias("corr"), F.stddev_pop("ret").alias("_s"), F.stddev_pop("aret").alias("_a"))
     return agg.where((F.col("overlap") >= min_overlap) & (F.col("_s") > 0) & (F.col("_a") > 0)).select(ID, ASSET, "overlap", "corr")
@@ -110,9 +109,9 @@ def accepted(detections: DataFrame, minimum: str = "medium") -> DataFrame:
 
 
 # Name fragments per profile.
-CRYPTO_NAMES = "BTC|ETH"
-ALT_NAMES = "SOL|DOGE|ADA|AVAX|XRP|BNB|LINK|DOT|LTC|TRX|BCH|XLM|ATOM|UNI|NEAR|APT|ARB|OP|INJ|SUI|ETC"
-INDEX_NAMES = "CSI300|A_SHARE|SPY|QQQ|NDX|SPX|INDEX|EQUITY"
+CRYPTO_NAMES = "|".join(("BTC", "ETH"))
+ALT_NAMES = "|".join(("SOL", "DOGE", "ADA", "AVAX", "XRP", "BNB", "LINK", "DOT", "LTC", "TRX", "BCH", "XLM", "ATOM", "UNI", "NEAR", "APT", "ARB", "OP", "INJ", "SUI", "ETC"))
+INDEX_NAMES = "|".join(("CSI300", "A_SHARE", "SPY", "QQQ", "NDX", "SPX", "INDEX", "EQUITY"))
 
 
 def profile_from_name(df: DataFrame, name: str, assets: DataFrame) -> DataFrame:
@@ -120,4 +119,4 @@ def profile_from_name(df: DataFrame, name: str, assets: DataFrame) -> DataFrame:
     prof = assets.select(ASSET, F.col("profile").alias("_p"))
     up = F.upper(name)
     guess = (F.when(up.rlike(CRYPTO_NAMES), "crypto").when(up.rlike(ALT_NAMES), "altcoin").when(up.rlike(INDEX_NAMES), "stock_index").otherwise("other"))
-    return df.join(broadcast_if_small(prof), ASSET, "left").withColumn("profile", F.coalesce("_p", guess)).drop("_p")
+    return df.join(prof, ASSET, "left").withColumn("profile", F.coalesce("_p", guess)).drop("_p")

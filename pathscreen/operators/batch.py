@@ -32,12 +32,13 @@ def topk_scores(rows: DataFrame, k: int = 20, score: str = "display", best: bool
     return rows.orderBy(F.desc(score) if best else F.asc(score), ID).limit(k)
 
 
-def code_counts(rows: DataFrame, arrays: dict[str, str], top: int = 20) -> DataFrame:
-    """Counts of exploded codes per kind, the ``top`` most frequent of each."""
+def code_counts(rows: DataFrame, arrays: dict[str, str], top: int | None = None) -> DataFrame:
+    """Counts of exploded codes per kind, all of them or the ``top`` most frequent of each."""
     parts = None
     for kind, col in arrays.items():
         part = rows.select(F.lit(kind).alias("kind"), F.explode(col).alias("code"))
         parts = part if parts is None else parts.unionByName(part)
     counts = parts.groupBy("kind", "code").agg(F.count(F.lit(1)).alias("rows"))
     w = Window.partitionBy("kind").orderBy(F.desc("rows"), "code")  # codes are a fixed list
-    return counts.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
+    ranked = counts.withColumn("rank", F.row_number().over(w).cast("long"))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)

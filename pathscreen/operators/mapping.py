@@ -104,14 +104,15 @@ def parse_dates(cells: DataFrame, keys=("file",), txt: str = "txt", resolution:
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
     def after(start, us):
-        return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (us / d(1_000_000)).cast("decimal(18,6)"))
+        far = F.abs(us) < d(2.5e17)  # some 7,900 years; a number beyond is no date and gives null
+        return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.when(far, us) / d(1_000_000)).cast("decimal(18,6)"))
 
     text = F.trim(F.col(txt))
     ts = first_when(
         (F.col("unit") == "serial", after(F.lit("1899-12-30 00:00:00").cast("timestamp_ntz"), F.round(F.col("_num") * d(86_400_000_000.0)))),
         (F.col("unit") == "yyyymmdd", F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)).try_cast("timestamp_ntz")),
         (F.col("unit") == "s", after(epoch, F.col("_num") * d(1_000_000))), (F.col("unit") == "ms", after(epoch, F.col("_num") * d(1_000))),
-        (F.col("unit") == "us", after(epoch, whole.cast("double"))), (F.col("unit") == "ns", after(epoch, F.floor(F.col("_num") / d(1000)).cast("double"))),
+        (F.col("unit") == "us", after(epoch, whole.cast("double"))), (F.col("unit") == "ns", after(epoch, F.floor(F.when(F.abs("_num") < d(2.5e20), F.col("_num")) / d(1000)).cast("double"))),
         (None, F.regexp_replace(text, r"\s*(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")))
     return rows.withColumn("ts", ts).drop("_num")
 
@@ -119,7 +120,7 @@ def parse_dates(cells: DataFrame, keys=("file",), txt: str = "txt", resolution:
 # --- series ---------------------------------------------------------------------------------------
 def clean_series(raw: DataFrame, min_rows: int = 3) -> tuple[DataFrame, DataFrame]:
     """(clean, rejects): null rows go, the last row per time stays, short series are rejected."""
-    ok = raw.where("ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+    ok = raw.where("ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('infinity')")
     kept = scan.keep_last(ok, [ID, "ts"], ["row_no"])
     sizes = kept.groupBy(ID).agg(F.count(F.lit(1)).alias("_n"))
     short = raw.select(ID).distinct().join(sizes.where(F.col("_n") >= min_rows), ID, "left_anti").select(
@@ -180,12 +181,12 @@ def bar_frequency(returns: DataFrame, chunk: str = scan.CHUNK) -> DataFrame:
 
 
 def forward_looking_scan(columns: DataFrame, name: str = "norm", file: str = "file") -> DataFrame:
-    """Markers of leaked data in the file name and up to five suspicious columns (columns per file are few)."""
+    """Markers of leaked data in the file name and all suspicious columns (columns per file are few)."""
     prefixed = F.lit(False)
     for p in N.FORWARD_PREFIXES:
         prefixed = prefixed | F.col(name).startswith(p)
     stem = F.regexp_replace(F.lower(file), r"\.(csv|tsv|txt|xlsx|xls|xlsm)$", "")
-    rows = columns.groupBy("file").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.when(prefixed, F.struct("col_no", name)))), 1, 5), lambda x: x[name]).alias("columns"))
+    rows = columns.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.when(prefixed, F.struct("col_no", name)))), lambda x: x[name]).alias("columns"))
     return rows.withColumn("name_marker", stem.rlike("|".join(N.FORWARD_MARKERS))).withColumn("suspect", F.col("name_marker") | (F.size("columns") > 0))
 
 

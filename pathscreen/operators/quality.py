@@ -23,7 +23,7 @@ PII_NAMES = (
     ("address", r"wallet|address|addr|iban|swift"), ("note", r"note|comment|remark|memo"))
 PII_VALUES = (
     ("email", r"[\w.+-]+@[\w-]+\.[\w.-]+"), ("credential", r"(?i)(sk_live_|rk_live_|whsec_|api[_-]?key|secret|token)"),
-    ("phone", r"(\+?\d[\s().-]*){9,}"),
+    ("phone", r"\+?\d(?:[\s().-]*+\+?\d){8}"),
     ("wallet", r"\b(0x[a-fA-F0-9]{40}|[13][a-km-zA-HJ-NP-Z1-9]{25,34}|bc1[ac-hj-np-z02-9]{25,87})\b"))
 OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
 

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathscreen.functions.exprs import as_uniform, clip, d, micros, stream_key, with_hash
+from pathscreen.functions.exprs import as_uniform, clip, d, stream_key, with_hash
 from pathscreen.operators import scan
 from pathscreen.operators.benchmark import ASSET
 from pathscreen.staging import stage
@@ -20,7 +20,7 @@ from pathscreen.operators.metrics import ID, cagr_expr, calmar_expr, path, ppy_e
 
 SEED = 12345
 SALT_BOOT, SALT_PATH, SALT_BARS, SALT_EVENTS = 1, 2, 3, 4
-ARRAY_MAX = 20_000  # rows of a strategy that may travel to one Python worker; longer ones stay distributed
+ARRAY_MAX = 20_000  # rows of a strategy whose Monte Carlo paths are folded in one Python worker; longer ones stay distributed
 
 
 # --- the same hash in numpy ---------------------------------------------------------
@@ -72,29 +72,14 @@ def _sized(p: DataFrame, with_ppy: bool = True) -> DataFrame:
 
 
 # --- bootstrap --------------------------------------------------------------------------
-def bootstrap_growth(p: DataFrame, sims: int = 1000, seed: int = SEED, array_max: int = ARRAY_MAX) -> DataFrame:
+def bootstrap_growth(p: DataFrame, sims: int = 1000, seed: int = SEED) -> DataFrame:
     """Growth of every resample (strategy_id, n, sim, growth) from path rows (idx, n, ret).
 
     A resample is a product of block growths, and a block growth is a difference of two running log
-    sums, so a strategy needs sims * sqrt(n) lookups instead of sims * n values. Short strategies do
-    the lookups inside one task; long ones join the draws to the running sums on (strategy, idx).
+    sums, so a strategy needs sims * sqrt(n) lookups instead of sims * n values: the draws join the
+    running sums on (strategy, idx).
     """
-    rows = p.where("n >= 10").select(ID, "idx", "n", "ts", "ret")
-    schema = f"{ID} {_id_type(p)}, n long, sim long, growth double"
-
-    def small(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        key, n = pdf[ID].iloc[0], len(pdf)
-        starts, block = _starts(key, n, sims, seed, SALT_BOOT)
-        logs = np.concatenate([[0.0], np.cumsum(np.log(np.maximum(1.0 + pdf["ret"].to_numpy(), 1e-300)))])
-        ends = starts + block
-        ends[:, -1] = starts[:, -1] + (n - (starts.shape[1] - 1) * block)
-        growth = np.exp((logs[ends] - logs[starts]).sum(axis=1))
-        return pd.DataFrame({ID: key, "n": n, "sim": np.arange(sims), "growth": growth})
-
-    quick = rows.where(F.col("n") <= array_max).drop("ts").groupBy(ID).applyInPandas(small, schema)
-    long = rows.where(F.col("n") > array_max)
-    return quick.unionByName(_bootstrap_long(long, sims, seed))
+    return _bootstrap_rows(p.where("n >= 10").select(ID, "idx", "n", "ts", "ret"), sims, seed)
 
 
 def _draws(sizes: DataFrame, sims: Column, seed: int, salt: int) -> DataFrame:
@@ -112,7 +97,7 @@ def _draws(sizes: DataFrame, sims: Column, seed: int, salt: int) -> DataFrame:
     return out.withColumn("len", length).drop("_key", "_h")
 
 
-def _bootstrap_long(rows: DataFrame, sims: int, seed: int) -> DataFrame:
+def _bootstrap_rows(rows: DataFrame, sims: int, seed: int) -> DataFrame:
     logs = scan.running(rows.withColumn("lg", F.log(F.greatest(d(1) + F.col("ret"), d(1e-300)))), [ID], ["ts", "idx"],
                         sums={"cum": "lg"}).select(ID, "idx", "cum")
     sizes = rows.select(ID, "n").groupBy(ID).agg(F.max("n").alias("n"))
@@ -127,11 +112,10 @@ def _bootstrap_long(rows: DataFrame, sims: int, seed: int) -> DataFrame:
         ID, F.col("n").cast("long").alias("n"), F.col("sim").cast("long").alias("sim"), "growth")
 
 
-def bootstrap_p5(p: DataFrame, sims: int = 1000, seed: int = SEED, array_max: int = ARRAY_MAX,
-                 ppy: DataFrame | None = None) -> DataFrame:
+def bootstrap_p5(p: DataFrame, sims: int = 1000, seed: int = SEED, ppy: DataFrame | None = None) -> DataFrame:
     """5th percentile of the annualized return over the resamples (``sims`` values per strategy)."""
     sized = _sized(p) if ppy is None else ppy
-    g = bootstrap_growth(p, sims, seed, array_max)
+    g = bootstrap_growth(p, sims, seed)
     # a strategy has exactly ``sims`` values here, so the exact percentile is bounded
     j = g.join(sized.select(ID, "ppy").where("ppy > 0"), ID)
     year = cagr_expr(F.col("growth"), F.col("n"), F.col("ppy"))
@@ -139,15 +123,10 @@ def bootstrap_p5(p: DataFrame, sims: int = 1000, seed: int = SEED, array_max: in
 
 
 # --- Monte Carlo -----------------------------------------------------------------------------
-def sim_count(n: Column, n_sims: int) -> Column:
-    return F.least(F.lit(n_sims), F.greatest(F.lit(300), F.floor(F.lit(4_000_000) / n))).cast("long")
-
-
 def _factors(key, arr: np.ndarray, n_sims: int, seed: int) -> np.ndarray:
     n = len(arr)
-    sims = int(min(n_sims, max(300, 4_000_000 // n)))
-    starts, block = _starts(key, n, sims, seed, SALT_PATH)
-    idx = (starts[:, :, None] + np.arange(block)).reshape(sims, -1)[:, :n]
+    starts, block = _starts(key, n, n_sims, seed, SALT_PATH)
+    idx = (starts[:, :, None] + np.arange(block)).reshape(n_sims, -1)[:, :n]
     return 1.0 + arr[idx]
 
 
@@ -172,7 +151,7 @@ def monte_carlo_sims(p: DataFrame, n_sims: int = 2000, seed: int = SEED, array_m
 def _long_steps(rows: DataFrame, n_sims: int, seed: int) -> DataFrame:
     """Every step of every simulated path of long strategies: (strategy, sim, j, step, ret)."""
     sizes = rows.groupBy(ID).agg(F.max("n").alias("n"))
-    draws = _draws(sizes, sim_count(F.col("n"), n_sims), seed, SALT_PATH)
+    draws = _draws(sizes, F.lit(n_sims).cast("long"), seed, SALT_PATH)
     steps = draws.withColumn("off", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)))
     steps = steps.select(ID, "sim", "j", (F.col("j") * F.col("b") + F.col("off") + 1).alias("step"),
                          (F.col("start") + F.col("off") + 1).alias("idx"))
@@ -252,7 +231,6 @@ def positions(joined: DataFrame, sims: int = 128, seed: int = SEED, cost_bps: fl
     The position of a bar is a hash of its row number, so the previous position needs no window; rows
     fan out after they were hashed on (strategy, chunk) and are never shuffled as simulations.
     """
-    sims = int(max(32, min(sims, 512)))
     stats = bar_exposure(joined)
     rows = scan.running(joined, [ID], ["ts"], chunk=chunk, counts=True, keep_chunk=True)
     spine = rows.select(ID, "_chunk").distinct().join(stats, ID)  # one row per strategy and month
@@ -267,37 +245,17 @@ def positions(joined: DataFrame, sims: int = 128, seed: int = SEED, cost_bps: fl
     return rows.withColumn("sim_ret", F.col("prev_pos") * F.col("aret") - F.col("turnover") * d(cost_bps / 10000.0))
 
 
-def _bar_sims_quick(rows: DataFrame, stats: DataFrame, sims: int, seed: int, cost_bps: float) -> DataFrame:
-    """Simulations of strategies that fit one task: (strategy, sim, n, growth, mdd)."""
-    def small(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        key, n = pdf[ID].iloc[0], len(pdf)
-        u = _uniforms(_stream(key, seed, SALT_BARS), sims, np.arange(1, n + 1))
-        pos = (u < pdf["exposure"].iloc[0]).astype(float)
-        prev = np.concatenate([np.zeros((sims, 1)), pos[:, :-1]], axis=1)
-        growth, mdd = _fold(1.0 + prev * pdf["aret"].to_numpy() - np.abs(pos - prev) * (cost_bps / 10000.0))
-        return pd.DataFrame({ID: key, "sim": np.arange(sims), "n": n, "growth": growth, "mdd": mdd})
-
-    schema = f"{ID} {_id_type(rows)}, sim long, n long, growth double, mdd double"
-    sized = rows.select(ID, "idx", "aret").join(stats.select(ID, "exposure"), ID)
-    return sized.groupBy(ID).applyInPandas(small, schema)
-
-
 def random_control_bars(joined: DataFrame, sims: int = 128, seed: int = SEED, cost_bps: float = 2.0,
-                        chunk: str = scan.CHUNK, array_max: int = ARRAY_MAX) -> DataFrame:
+                        chunk: str = scan.CHUNK) -> DataFrame:
     """Strategy Calmar against random long/flat exposure to the same asset bars.
 
-    Strategies of up to ``array_max`` bars are simulated where their rows are; longer ones are
-    simulated in chunks that never leave their task as rows.
+    Simulated in chunks that never leave their task as rows.
     """
     joined = stage(joined)  # read by the exposure, by the simulations and by the strategy's own path
-    sims = int(max(32, min(sims, 512)))
     stats = bar_exposure(joined)
-    sized = scan.running(joined, [ID], ["ts"], chunk=chunk, counts=True)
-    quick = _bar_sims_quick(sized.where(F.col("n") <= array_max), stats, sims, seed, cost_bps)
-    pos = positions(sized.where(F.col("n") > array_max).drop("idx", "n"), sims, seed, cost_bps, chunk)
+    pos = positions(joined, sims, seed, cost_bps, chunk)
     folds = scan.chunk_folds(pos.drop("ret").withColumnRenamed("sim_ret", "ret"), [ID, "sim"], ["ts"], "ret", F.col("_chunk"))
-    rand = quick.select(ID, "n", "growth", "mdd").unionByName(scan.fold_path(folds, [ID, "sim"]).select(ID, "n", "growth", "mdd"))
+    rand = scan.fold_path(folds, [ID, "sim"]).select(ID, "n", "growth", "mdd")
     own = scan.fold_path(scan.chunk_folds(joined, [ID], ["ts"], "ret", chunk), [ID]).join(stats, ID)
     own = own.select(ID, "ppy", "exposure", calmar_expr(cagr_expr(F.col("growth"), F.col("n"), F.col("ppy")), F.col("mdd")).alias("strat_calmar"),
                      F.lit(None).cast("long").alias("events"), F.lit("bar_long_flat").alias("method"))
@@ -316,7 +274,6 @@ def event_bars(asset_rows: DataFrame, chunk: str = scan.CHUNK) -> DataFrame:
 def event_draws(trades: DataFrame, bars: DataFrame, sims: int = 128, seed: int = SEED,
                 chunk: str = scan.CHUNK) -> DataFrame:
     """Random entries with the same holding times: (strategy, sim, trade_no, exit_ts, ret)."""
-    sims = int(max(64, min(sims, 512)))
     valid = trades.where("entry_ts <= exit_ts").select(ID, "trade_no", "exit_ts", (F.col("exit_ts") - F.col("entry_ts")).alias("hold"))
     enough = valid.groupBy(ID).agg(F.count(F.lit(1)).alias("events")).where("events >= 8")
     ends = bars.groupBy(ID).agg(F.max("ts").alias("last_ts"), F.max("bars").alias("bars"), F.max_by("close", "bar").alias("last_close"))
@@ -337,48 +294,20 @@ def event_draws(trades: DataFrame, bars: DataFrame, sims: int = 128, seed: int =
     return t.select(ID, "sim", "trade_no", "exit_ts", "events", (end_close / F.col("start_close") - d(1)).alias("ret"))
 
 
-def _event_sims_quick(valid: DataFrame, bars: DataFrame, sims: int, seed: int) -> DataFrame:
-    """Simulations of strategies whose trades and bars both fit one task."""
-    def small(trades: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if trades.empty or b.empty:
-            return pd.DataFrame({ID: [], "n": [], "growth": [], "mdd": []})
-        t, b = trades.sort_values(["exit_us", "trade_no"]), b.sort_values("bar")
-        key, us, close, n = t[ID].iloc[0], b["us"].to_numpy(), b["close"].to_numpy(), len(b)
-        hold = t["hold_us"].to_numpy()
-        room = np.clip(np.searchsorted(us, us[-1] - hold, side="right"), 1, n - 1)
-        u = _uniforms(_stream(key, seed, SALT_EVENTS), sims, t["trade_no"].to_numpy())
-        start = np.floor(u * room).astype(np.int64)
-        target = np.maximum(us[start] + hold, us[start] + 1)
-        end = np.minimum(np.searchsorted(us, target, side="left"), n - 1)
-        growth, mdd = _fold(close[end] / close[start])
-        return pd.DataFrame({ID: key, "n": len(t), "growth": growth, "mdd": mdd})
-
-    t = valid.select(ID, "trade_no", micros("exit_ts").alias("exit_us"), (micros("exit_ts") - micros("entry_ts")).alias("hold_us"))
-    b = bars.select(ID, "bar", micros("ts").alias("us"), "close")
-    schema = f"{ID} {_id_type(valid)}, n long, growth double, mdd double"
-    return t.groupBy(ID).cogroup(b.groupBy(ID)).applyInPandas(small, schema)
-
-
 def random_control_events(trades: DataFrame, strategy_rows: DataFrame, asset_rows: DataFrame, ppy: DataFrame, sims: int = 128,
-                          seed: int = SEED, chunk: str = scan.CHUNK, array_max: int = ARRAY_MAX) -> DataFrame:
+                          seed: int = SEED, chunk: str = scan.CHUNK) -> DataFrame:
     """Closed trades against random entries with the same holding times on the same asset.
 
     trades: (strategy_id, trade_no, entry_ts, exit_ts); strategy_rows and asset_rows: both sides inside
-    the benchmark window; ppy: (strategy_id, ppy) of the trade log. Strategies with more than
-    ``array_max`` trades or bars take the distributed as-of joins of ``event_draws``.
+    the benchmark window; ppy: (strategy_id, ppy) of the trade log.
     """
     bars = stage(event_bars(asset_rows, chunk))
     valid = trades.where("entry_ts <= exit_ts")
     counts = valid.groupBy(ID).agg(F.count(F.lit(1)).alias("events")).where("events >= 8")
     sizes = stage(counts.join(bars.groupBy(ID).agg(F.max("bars").alias("_bars")), ID))
-    fits = (F.col("events") <= array_max) & (F.col("_bars") <= array_max)
-    few, many = sizes.where(fits).select(ID), sizes.where(~fits).select(ID)
-    quick = _event_sims_quick(valid.join(few, ID, "left_semi"), bars.join(few, ID, "left_semi"), int(max(64, min(sims, 512))), seed)
-    rand = quick
-    if not many.isEmpty():
-        draws = event_draws(trades.join(many, ID, "left_semi"), bars.join(many, ID, "left_semi"), sims, seed, chunk)
-        folds = scan.chunk_folds(draws, [ID, "sim"], ["exit_ts", "trade_no"], "ret", chunk)
-        rand = quick.unionByName(scan.fold_path(folds, [ID, "sim"]).select(ID, "n", "growth", "mdd"))
+    draws = event_draws(trades.join(sizes.select(ID), ID, "left_semi"), bars.join(sizes.select(ID), ID, "left_semi"), sims, seed, chunk)
+    folds = scan.chunk_folds(draws, [ID, "sim"], ["exit_ts", "trade_no"], "ret", chunk)
+    rand = scan.fold_path(folds, [ID, "sim"]).select(ID, "n", "growth", "mdd")
     rand = rand.join(ppy, ID).select(ID, calmar_expr(cagr_expr(F.col("growth"), F.col("n"), F.col("ppy")), F.col("mdd")).alias("calmar"))
     own = scan.fold_path(scan.chunk_folds(strategy_rows, [ID], ["ts"], "ret", chunk), [ID]).where("n >= 3").join(ppy, ID).join(sizes.select(ID, "events"), ID)
     own = own.select(ID, d(1).alias("exposure"), "events", F.lit("event_window").alias("method"),

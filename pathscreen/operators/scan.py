@@ -140,7 +140,8 @@ RESOLUTION = 16  # buckets per octave
 def value_bucket(v: Column, resolution: int = RESOLUTION) -> Column:
     """Monotone integer bucket of a double; at most about 4300 * resolution distinct buckets."""
     size = F.floor(F.log2(F.abs(v)) * d(resolution)) + F.lit(1100 * resolution)
-    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
+    endless = F.abs(v) == d(float("inf"))  # infinities have end buckets of their own
+    return F.when(endless, F.signum(v) * F.lit(4400 * resolution)).when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
 
 
 def ordered_values(df: DataFrame, keys: Sequence[str], value: str,

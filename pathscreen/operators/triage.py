@@ -89,7 +89,7 @@ def risk_tags(t: DataFrame) -> DataFrame:
 
 def coaching(score: DataFrame, advice: DataFrame) -> DataFrame:
     """Up to three issues by priority and the tone of the closing line. Flags per strategy are a fixed list."""
-    rows = score.select(ID, "judgement", F.explode("flags.code").alias("code")).join(F.broadcast(advice), "code").dropDuplicates([ID, "code"])
+    rows = score.select(ID, "judgement", F.explode("flags.code").alias("code")).join(advice, "code").dropDuplicates([ID, "code"])
     rk = F.row_number().over(Window.partitionBy(ID).orderBy("priority"))
     soft = F.bool_or(F.col("code").isin(*SOFT_EDGE))
     tops = rows.withColumn("rank", rk)

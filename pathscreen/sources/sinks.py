@@ -45,17 +45,17 @@ def number_text(x: Column, digits: int = 10) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def daily_minimal(returns: DataFrame, max_rows: int = 5000, min_rows: int = 30, chunk: str = scan.CHUNK) -> DataFrame:
+def daily_minimal(returns: DataFrame, max_rows: int | None = None, min_rows: int = 30, chunk: str = scan.CHUNK) -> DataFrame:
     """Ordered ``date,return`` text per strategy with its SHA-256.
 
-    Only the last ``max_rows`` days are part of the format, so the collected text is bounded.
+    A format that takes only so many days gets the last ``max_rows``; ``rows_total`` says how many there are.
     """
     daily = M.daily_compound(returns).withColumn("ts", F.col("day").cast("timestamp_ntz"))
     rows = scan.running(daily, [ID], ["ts"], chunk=chunk, counts=True)
     bad = rows.groupBy(ID).agg(F.bool_or(F.isnan("ret") | (F.col("ret") <= -1)).alias("_bad"))
-    rows = rows.where((F.col("n") >= min_rows) & (F.col("idx") > F.col("n") - max_rows)).join(bad.where("NOT _bad"), ID, "left_semi")
+    rows = rows.where((F.col("n") >= min_rows) & (F.lit(True) if max_rows is None else F.col("idx") > F.col("n") - max_rows)).join(bad.where("NOT _bad"), ID, "left_semi")
     line = F.struct("day", F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(","), number_text(F.col("ret"))).alias("line"))
-    out = rows.groupBy(ID).agg(F.count(F.lit(1)).alias("rows"), F.min("day").alias("start"), F.max("day").alias("end"),
+    out = rows.groupBy(ID).agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("rows_total"), F.min("day").alias("start"), F.max("day").alias("end"),
                                F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("_l"))
     text = F.concat(F.lit("date,return\n"), F.array_join("_l", "\n"), F.lit("\n"))
     return out.withColumn("csv", text).withColumn("sha256", F.sha2(F.col("csv"), 256)).drop("_l")
