@@ -330,9 +330,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each near-duplicate group, with all its columns; of rows that repeat id and text one stays."""
-    kept = stage(near_duplicates(docs, width, percent).where("stays").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct())
-    rows = docs.withColumn("_text_key", text_key(F.col("text")))
-    rows = rows.join(kept, rows.doc_id.eqNullSafe(kept._kept_id) & (rows._text_key == kept._kept_key), "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = Window.partitionBy("doc_id", "_text_key").orderBy(*others) if others else Window.partitionBy("doc_id", "_text_key").orderBy("doc_id")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    kept = stage(near_duplicates(docs, width, percent).where("stays").select(name.alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct())
+    rows = docs.withColumn("_text_key", text_key(F.col("text"))).withColumn("_name", name)
+    rows = rows.join(kept, (rows._name == kept._kept_id) & (rows._text_key == kept._kept_key), "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"]
+    one = Window.partitionBy("_name", "_text_key").orderBy(*others)  # as the join's partitioning: the text moves once
     return rows.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*docs.columns)
