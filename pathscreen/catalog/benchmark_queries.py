@@ -104,7 +104,7 @@ def join_bootstrap_index(spark, folder):
 
 @query("bootstrap_p5", BOOT + f"SELECT strategy_id, {r('bootstrap_p5')} FROM bp")
 def bootstrap_p5(spark, folder):
-    return pick(R.bootstrap_p5(M.path(v_ret(spark, folder))), [ID], ["bootstrap_p5"])
+    return pick(R.bootstrap_p5(stage(M.path(v_ret(spark, folder)))), [ID], ["bootstrap_p5"])
 
 
 MC = ctes("v_ret", p=path_sql("v_ret"), sz=SIZES, py=PPY, dr=draws_sql(R.SALT_PATH, "2000"),

@@ -207,7 +207,7 @@ def risk_tags(spark, folder):
 @query("mc_verdict", BQ.MC.rstrip() + f""", m AS ({BQ.MCQ}) SELECT strategy_id, CASE WHEN maxdd_worst5<=-0.75::DOUBLE THEN 'high' WHEN cagr_p5<0 OR 1-prob_loss<0.75::DOUBLE THEN 'medium' WHEN maxdd_worst5<=-0.45::DOUBLE THEN 'medium' ELSE 'low' END mc_level, {r('prob_loss')} FROM m""")
 def mc_verdict(spark, folder):
     from pathscreen.catalog.views import v_ret
-    return pick(T.mc_verdict(R.monte_carlo(stage(M.path(v_ret(spark, folder))))), [ID, "mc_level"], ["prob_loss"])
+    return pick(T.mc_verdict(R.monte_carlo(M.path(v_ret(spark, folder)))), [ID, "mc_level"], ["prob_loss"])
 
 
 @query("route_recommendation", TRI + """SELECT strategy_id, CASE WHEN light='random_fail' OR random_p>0.2::DOUBLE THEN 'pro' WHEN display>=75 AND abs(mdd)*100>=40 THEN 'overlay'

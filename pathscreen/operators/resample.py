@@ -5,12 +5,9 @@ partitioning, retries or row order. Returns must be above -100%, as the loader g
 """
 from __future__ import annotations
 
-import hashlib
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathscreen.functions.exprs import as_uniform, clip, d, stream_key, with_hash
 from pathscreen.operators import scan
@@ -20,47 +17,12 @@ from pathscreen.operators.metrics import ID, cagr_expr, calmar_expr, path, ppy_e
 
 SEED = 12345
 SALT_BOOT, SALT_PATH, SALT_BARS, SALT_EVENTS = 1, 2, 3, 4
-ARRAY_MAX = 20_000  # rows of a strategy whose Monte Carlo paths are folded in one Python worker; longer ones stay distributed
-
-
-# --- the same hash in numpy ---------------------------------------------------------
-def _mix(x: np.ndarray) -> np.ndarray:
-    mask = np.uint64(0xFFFFFFFF)
-    for _ in range(2):
-        x = ((x ^ (x >> np.uint64(16))) * np.uint64(73244475)) & mask
-    return x ^ (x >> np.uint64(16))
-
-
-def _uniforms(stream: int, sims: int, draws: np.ndarray) -> np.ndarray:
-    """(sims, draws) uniforms of the coordinates (simulation, draw)."""
-    mask, gold = np.uint64(0xFFFFFFFF), np.uint64(2654435761)
-    h = _mix((np.uint64(stream) + np.arange(sims, dtype=np.uint64) * gold) & mask)
-    j = (draws.astype(np.uint64) * gold) & mask
-    return _mix((h[:, None] + j[None, :]) & mask) / 4294967296.0
-
-
-def _stream(key, seed: int, salt: int) -> int:
-    return int(hashlib.md5(f"{seed}:{salt}:{key}".encode()).hexdigest()[:8], 16)
 
 
 def block_length(n: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(F.sqrt(n.cast("double")), 0).cast("long"))
 
 
-def _starts(key, n: int, sims: int, seed: int, salt: int) -> tuple[np.ndarray, int]:
-    block = max(1, int(round(math.sqrt(n))))
-    blocks = -(-n // block)
-    u = _uniforms(_stream(key, seed, salt), sims, np.arange(blocks))
-    return np.floor(u * (n - block + 1)).astype(np.int64), block
-
-
-def _fold(growths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Final growth and maximum drawdown of each row of return factors."""
-    eq = np.cumprod(growths, axis=1)
-    peak = np.maximum(np.maximum.accumulate(eq, axis=1), 1.0)
-    return eq[:, -1], np.minimum((eq / peak - 1.0).min(axis=1), 0.0)
-
-
 def _id_type(df: DataFrame) -> str:
     return df.schema[ID].dataType.simpleString()
 
@@ -123,44 +85,39 @@ def bootstrap_p5(p: DataFrame, sims: int = 1000, seed: int = SEED, ppy: DataFram
 
 
 # --- Monte Carlo -----------------------------------------------------------------------------
-def _factors(key, arr: np.ndarray, n_sims: int, seed: int) -> np.ndarray:
-    n = len(arr)
-    starts, block = _starts(key, n, n_sims, seed, SALT_PATH)
-    idx = (starts[:, :, None] + np.arange(block)).reshape(n_sims, -1)[:, :n]
-    return 1.0 + arr[idx]
+def _path_draws(rows: DataFrame, n_sims: int, seed: int) -> DataFrame:
+    sizes = rows.groupBy(ID).agg(F.max("n").alias("n"))
+    return _draws(sizes, F.lit(n_sims).cast("long"), seed, SALT_PATH)
 
 
-def monte_carlo_sims(p: DataFrame, n_sims: int = 2000, seed: int = SEED, array_max: int = ARRAY_MAX) -> DataFrame:
-    """(strategy_id, n, sim, growth, mdd): one row per simulated path."""
-    rows = p.where("n >= 10").select(ID, "idx", "n", "ret")
-    schema = f"{ID} {_id_type(p)}, n long, sim long, growth double, mdd double"
+def _drawn_blocks(rows: DataFrame, draws: DataFrame) -> DataFrame:
+    """Rows (strategy, start, len, off, ret) of every block that some path uses, once for all paths that use it."""
+    used = draws.select(ID, "start", "len").distinct()
+    steps = used.withColumn("off", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)))
+    steps = steps.withColumn("idx", F.col("start") + F.col("off") + 1)
+    return steps.join(rows.select(ID, "idx", "ret"), [ID, "idx"]).drop("idx")
 
-    def small(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        key = pdf[ID].iloc[0]
-        growth, mdd = _fold(_factors(key, pdf["ret"].to_numpy(), n_sims, seed))
-        return pd.DataFrame({ID: key, "n": len(pdf), "sim": np.arange(len(growth)), "growth": growth, "mdd": mdd})
 
-    quick = rows.where(F.col("n") <= array_max).groupBy(ID).applyInPandas(small, schema)
-    steps = _long_steps(rows.where(F.col("n") > array_max), n_sims, seed)
-    folds = scan.chunk_folds(steps, [ID, "sim"], ["step"], "ret", F.col("j"))
-    long = scan.fold_path(folds, [ID, "sim"])
-    return quick.unionByName(long.select(ID, F.col("n").cast("long").alias("n"), F.col("sim").cast("long").alias("sim"), "growth", "mdd"))
+def monte_carlo_sims(p: DataFrame, n_sims: int = 2000, seed: int = SEED) -> DataFrame:
+    """(strategy_id, n, sim, growth, mdd): one row per simulated path.
 
+    Blocks are folded once per start (at most 2 n sqrt(n) steps of a strategy, however many paths there are);
+    a path then combines sqrt(n) block summaries.
+    """
+    rows = p.where("n >= 10").select(ID, "idx", "n", "ret")
+    draws = _path_draws(rows, n_sims, seed)
+    blocks = scan.chunk_folds(_drawn_blocks(rows, draws), [ID, "start", "len"], ["off"], "ret", F.lit(0)).drop("_chunk")
+    folds = draws.select(ID, "sim", "start", "len", F.col("j").alias("_chunk")).join(blocks, [ID, "start", "len"])
+    out = scan.fold_path(folds, [ID, "sim"])
+    return out.select(ID, F.col("n").cast("long").alias("n"), F.col("sim").cast("long").alias("sim"), "growth", "mdd")
 
-def _long_steps(rows: DataFrame, n_sims: int, seed: int) -> DataFrame:
-    """Every step of every simulated path of long strategies: (strategy, sim, j, step, ret)."""
-    sizes = rows.groupBy(ID).agg(F.max("n").alias("n"))
-    draws = _draws(sizes, F.lit(n_sims).cast("long"), seed, SALT_PATH)
-    steps = draws.withColumn("off", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)))
-    steps = steps.select(ID, "sim", "j", (F.col("j") * F.col("b") + F.col("off") + 1).alias("step"),
-                         (F.col("start") + F.col("off") + 1).alias("idx"))
-    return steps.join(rows.select(ID, "idx", "ret"), [ID, "idx"]).drop("idx")
 
+def monte_carlo(p: DataFrame, n_sims: int = 2000, seed: int = SEED) -> DataFrame:
+    """Quantiles of final equity, annual return and drawdown, and the share of losing paths.
 
-def monte_carlo(p: DataFrame, n_sims: int = 2000, seed: int = SEED, array_max: int = ARRAY_MAX) -> DataFrame:
-    """Quantiles of final equity, annual return and drawdown, and the share of losing paths."""
-    s = monte_carlo_sims(p, n_sims, seed, array_max).join(_sized(p).select(ID, "ppy"), ID)
+    Runs a job: the path rows are staged, as sizes, draws and blocks read them."""
+    p = stage(p.select(ID, "idx", "n", "ts", "ret"))
+    s = monte_carlo_sims(p, n_sims, seed).join(_sized(p).select(ID, "ppy"), ID)
     s = s.withColumn("cagr", cagr_expr(F.col("growth"), F.col("n"), F.col("ppy")))
     three = F.array(d(0.05), d(0.5), d(0.95))
     # at most n_sims values per strategy: the exact percentile is bounded
@@ -174,29 +131,32 @@ def monte_carlo(p: DataFrame, n_sims: int = 2000, seed: int = SEED, array_max: i
         F.col("_d")[0].alias("maxdd_p50"), F.col("_d")[1].alias("maxdd_worst5"), "prob_loss")
 
 
-def mc_bands(p: DataFrame, n_sims: int = 2000, seed: int = SEED, array_max: int = ARRAY_MAX) -> DataFrame:
-    """5/50/95% equity envelope per step (step 0 is the starting 1.0)."""
-    rows = p.where("n >= 10").select(ID, "idx", "n", "ret")
+def mc_bands(p: DataFrame, n_sims: int = 2000, seed: int = SEED) -> DataFrame:
+    """5/50/95% equity envelope per step (step 0 is the starting 1.0).
+
+    The n-th blocks of all paths of a strategy meet in one group of n_sims rows with sqrt(n) values each. Runs a job,
+    as ``monte_carlo`` does.
+    """
+    rows = stage(p.where("n >= 10").select(ID, "idx", "n", "ret"))
+    draws = _path_draws(rows, n_sims, seed)
+    inside = Window.partitionBy(ID, "start", "len").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = _drawn_blocks(rows, draws).withColumn("_g", F.product(d(1) + F.col("ret")).over(inside))
+    blocks = steps.groupBy(ID, "start", "len").agg(F.sort_array(F.collect_list(F.struct("off", "_g"))).alias("_s"))
+    blocks = blocks.select(ID, "start", "len", F.col("_s._g").alias("curve"))
+    before = Window.partitionBy(ID, "sim").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = draws.select(ID, "sim", "j", "b", "start", "len").join(blocks, [ID, "start", "len"])
+    drawn = drawn.withColumn("base", F.coalesce(F.product(F.element_at("curve", -1)).over(before), d(1)))
     schema = f"{ID} {_id_type(p)}, step long, lo double, mid double, hi double"
 
-    def small(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        key = pdf[ID].iloc[0]
-        eq = np.cumprod(_factors(key, pdf["ret"].to_numpy(), n_sims, seed), axis=1)
-        lo, mid, hi = np.percentile(eq, [5, 50, 95], axis=0)
-        one = [1.0]
-        return pd.DataFrame({ID: key, "step": np.arange(len(pdf) + 1), "lo": np.concatenate([one, lo]),
-                             "mid": np.concatenate([one, mid]), "hi": np.concatenate([one, hi])})
-
-    quick = rows.where(F.col("n") <= array_max).groupBy(ID).applyInPandas(small, schema)
-    steps = _long_steps(rows.where(F.col("n") > array_max), n_sims, seed)
-    eq = scan.running(steps, [ID, "sim"], ["step"], chunk=F.col("j"), compound="ret")
-    # one value per simulation in each (strategy, step): bounded by n_sims
-    q = eq.groupBy(ID, "step").agg(F.percentile("equity", F.array(d(0.05), d(0.5), d(0.95))).alias("q"))
-    long = q.select(ID, F.col("step").cast("long").alias("step"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("hi"))
-    heads = (rows.where(F.col("n") > array_max).groupBy(ID).agg(F.max("n").alias("_n"))
-             .select(ID, F.lit(0).cast("long").alias("step"), d(1).alias("lo"), d(1).alias("mid"), d(1).alias("hi")))
-    return quick.unionByName(long).unionByName(heads)
+    def band(pdf: pd.DataFrame) -> pd.DataFrame:
+        equity = np.stack(pdf["curve"].to_list()) * pdf["base"].to_numpy()[:, None]
+        lo, mid, hi = np.percentile(equity, [5, 50, 95], axis=0)
+        step = pdf["j"].iloc[0] * pdf["b"].iloc[0] + 1 + np.arange(equity.shape[1])
+        return pd.DataFrame({ID: pdf[ID].iloc[0], "step": step, "lo": lo, "mid": mid, "hi": hi})
+
+    bands = drawn.select(ID, "j", "b", "base", "curve").groupBy(ID, "j").applyInPandas(band, schema)
+    heads = rows.select(ID).distinct().select(ID, F.lit(0).cast("long").alias("step"), d(1).alias("lo"), d(1).alias("mid"), d(1).alias("hi"))
+    return bands.unionByName(heads)
 
 
 # --- random controls --------------------------------------------------------------------------

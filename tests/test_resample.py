@@ -1,3 +1,6 @@
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -7,23 +10,46 @@ from pathscreen.operators import benchmark as B, metrics as M, resample as R
 from pathscreen.staging import stage
 
 
-def same(a, b, keys):
-    a, b = (x.orderBy(*keys).toPandas() for x in (a, b))
-    assert len(a) == len(b) and len(a) > 0
-    for c in a.columns:
-        if a[c].dtype.kind == "f":
-            np.testing.assert_allclose(a[c], b[c], atol=1e-9)
-        else:
-            assert (a[c].fillna("-") == b[c].fillna("-")).all()
-    return a
+def paths_one_by_one(key, ret, sims):
+    """Equity of every simulated path, from the same draws hash by hash."""
+    mask, gold = 0xFFFFFFFF, 2654435761
+
+    def mix(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 16)) * 73244475) & mask
+        return x ^ (x >> 16)
+
+    n = len(ret)
+    block = max(1, round(math.sqrt(n)))
+    stream = int(hashlib.md5(f"{R.SEED}:{R.SALT_PATH}:{key}".encode()).hexdigest()[:8], 16)
+    out = []
+    for sim in range(sims):
+        own, picked = mix((stream + sim * gold) & mask), []
+        for j in range(-(-n // block)):
+            start = math.floor(mix((own + j * gold) & mask) / 4294967296.0 * (n - block + 1))
+            picked.extend(ret[start:start + block])
+        out.append(np.cumprod(1 + np.array(picked[:n])))
+    return np.array(out)
 
 
-def test_short_and_long_paths_agree(spark):
-    p = stage(M.path(frame(spark, pd.concat([record(90, 1, 1), record(47, 2, 2)]))))
+def test_monte_carlo_equals_one_path_at_a_time(spark):
+    pdf = pd.concat([record(90, 1, 1), record(47, 2, 2), record(9, 3, 3)])
+    p = stage(M.path(frame(spark, pdf)))
     assert R.bootstrap_p5(p, 64).count() == 2
-    same(R.monte_carlo(p, 40), R.monte_carlo(p, 40, array_max=0), ["strategy_id"])
-    bands = same(R.mc_bands(p, 40), R.mc_bands(p, 40, array_max=0), ["strategy_id", "step"])
-    assert (bands[bands.step == 0][["lo", "mid", "hi"]] == 1).all().all()
+    sims = R.monte_carlo_sims(p, 40).toPandas()
+    total, bands = R.monte_carlo(p, 40).toPandas().set_index("strategy_id"), R.mc_bands(p, 40).toPandas()
+    assert sorted(total.index) == sorted(bands.strategy_id.unique()) and len(total) == 2
+    for key in total.index:
+        equity = paths_one_by_one(key, pdf[pdf.strategy_id == key].sort_values("ts").ret.to_numpy(), 40)
+        peak = np.maximum(np.maximum.accumulate(equity, axis=1), 1)
+        one = sims[sims.strategy_id == key].sort_values("sim")
+        assert (one.n == equity.shape[1]).all()
+        np.testing.assert_allclose(one.growth, equity[:, -1], atol=1e-9)
+        np.testing.assert_allclose(one.mdd, np.minimum((equity / peak - 1).min(axis=1), 0), atol=1e-9)
+        np.testing.assert_allclose(total.final_p50[key], np.median(equity[:, -1]), atol=1e-9)
+        band = bands[bands.strategy_id == key].sort_values("step")
+        assert list(band.step) == list(range(equity.shape[1] + 1)) and (band.iloc[0][["lo", "mid", "hi"]] == 1).all()
+        np.testing.assert_allclose(band[["lo", "mid", "hi"]].to_numpy()[1:], np.percentile(equity, [5, 50, 95], axis=0).T, atol=1e-9)
 
 
 def test_results_do_not_depend_on_partitioning(spark):
