@@ -109,18 +109,23 @@ def coerce_numeric(spark, folder):
 def v_dates(spark, folder):
     """Times of the events as text, one format per file."""
     e = table(spark, folder, "events")
-    m, sec = F.col("user_id") % 6, F.date_trunc("second", "ts").cast("timestamp_ntz")
+    m, sec = F.col("user_id") % 11, F.date_trunc("second", "ts").cast("timestamp_ntz")
     us = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', date_trunc('second', ts))")
     txt = (F.when(m == 0, F.date_format(sec, "yyyy-MM-dd HH:mm:ss")).when(m == 1, us.cast("string")).when(m == 2, (us * 1000).cast("string"))
            .when(m == 3, F.datediff(F.to_date("ts"), F.lit("1899-12-30").cast("date")).cast("string")).when(m == 4, F.date_format("ts", "yyyyMMdd"))
+           .when(m == 6, F.date_format(sec, "yyyy/MM/dd HH:mm:ss")).when(m == 7, F.date_format(sec, "yyyy.MM.dd HH:mm")).when(m == 8, F.date_format(sec, "MMM d, yyyy"))
+           .when(m == 9, F.date_format(sec, "dd MMMM yyyy")).when(m == 10, F.date_format(sec, "dd/MM/yyyy HH:mm:ss"))
            .otherwise(F.concat(F.date_format(sec, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))))
     txt = F.when(F.col("event_id") % 50 == 7, F.lit("n/a")).otherwise(txt)
     return e.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("row_no"), txt.alias("txt"))
 
 
-DTX = """SELECT 'f'||user_id AS file, event_id row_no, CASE WHEN event_id%50=7 THEN 'n/a' ELSE CASE user_id%6 WHEN 0 THEN strftime(ts,'%Y-%m-%d %H:%M:%S') WHEN 1 THEN floor(epoch(ts))::BIGINT::VARCHAR WHEN 2 THEN (floor(epoch(ts))::BIGINT*1000)::VARCHAR
-   WHEN 3 THEN date_diff('day', DATE '1899-12-30', ts::DATE)::VARCHAR WHEN 4 THEN strftime(ts,'%Y%m%d') ELSE strftime(ts,'%Y-%m-%dT%H:%M:%S')||'+02:00' END END txt,
-   CASE WHEN event_id%50=7 THEN NULL WHEN user_id%6 IN (3,4) THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END ts FROM events"""
+DTX = """SELECT 'f'||user_id AS file, event_id row_no, CASE WHEN event_id%50=7 THEN 'n/a' ELSE CASE user_id%11 WHEN 0 THEN strftime(ts,'%Y-%m-%d %H:%M:%S') WHEN 1 THEN floor(epoch(ts))::BIGINT::VARCHAR WHEN 2 THEN (floor(epoch(ts))::BIGINT*1000)::VARCHAR
+   WHEN 3 THEN date_diff('day', DATE '1899-12-30', ts::DATE)::VARCHAR WHEN 4 THEN strftime(ts,'%Y%m%d')
+   WHEN 6 THEN strftime(ts,'%Y/%m/%d %H:%M:%S') WHEN 7 THEN strftime(ts,'%Y.%m.%d %H:%M') WHEN 8 THEN strftime(ts,'%b %-d, %Y') WHEN 9 THEN strftime(ts,'%d %B %Y') WHEN 10 THEN strftime(ts,'%d/%m/%Y %H:%M:%S') ELSE strftime(ts,'%Y-%m-%dT%H:%M:%S')||'+02:00' END END txt,
+   CASE WHEN event_id%50=7 THEN NULL WHEN user_id%11 IN (3,4,8,9) THEN date_trunc('day', ts) WHEN user_id%11=7 THEN date_trunc('minute', ts)
+   WHEN user_id%11=10 AND NOT bool_or(user_id%11=10 AND event_id%50<>7 AND day(ts)>12) OVER (PARTITION BY user_id) THEN CASE WHEN day(ts)<=12 THEN make_timestamp(year(ts), day(ts), month(ts), hour(ts), minute(ts), floor(second(ts))) END
+   ELSE date_trunc('second', ts) END ts FROM events"""
 
 
 @query("parse_dates", ctes(dx=DTX) + "SELECT file, row_no, ts::TIMESTAMP AS ts FROM dx")

@@ -92,13 +92,37 @@ def date_unit(median: Column) -> Column:
         ((median >= 1e14) & (median < 1e17), "us"), ((median >= 1e17) & (median < 1e20), "ns"), (None, "text"))
 
 
+_DAY_MONTH = r"^(\d{1,2})[/.](\d{1,2})[/.](\d{4})"
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_NAME = f"({'|'.join(_MONTHS)})[a-z]*"
+
+
+def iso_text(text: Column, day_first: Column) -> Column:
+    """The text with its date part in ISO order: 2024/1/2, 2024.01.02, 01/02/2024, 1.2.2024, Jan 2, 2024 and 2 January 2024."""
+    month = lambda name: F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(name)).cast("string")
+    name_first, day_name = f"(?i)^{_NAME}\\.? +(\\d{{1,2}}),? +(\\d{{4}})", f"(?i)^(\\d{{1,2}}) +{_NAME}\\.?,? +(\\d{{4}})"
+
+    def named(pattern: str, at_month: int, at_day: int) -> Column:
+        part = lambda i: F.regexp_extract(text, pattern, i)
+        return F.concat(F.concat_ws("-", part(3), month(part(at_month)), part(at_day)), F.regexp_replace(text, pattern, ""))
+
+    return first_when(
+        (text.rlike(name_first), named(name_first, 1, 2)), (text.rlike(day_name), named(day_name, 2, 1)),
+        (text.rlike(_DAY_MONTH) & day_first, F.regexp_replace(text, _DAY_MONTH, "$3-$2-$1")), (text.rlike(_DAY_MONTH), F.regexp_replace(text, _DAY_MONTH, "$3-$1-$2")),
+        (None, F.regexp_replace(text, r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3")))
+
+
 def parse_dates(cells: DataFrame, keys=("file",), txt: str = "txt", resolution: int = scan.RESOLUTION) -> DataFrame:
-    """Timestamp per cell: ISO text, epoch s/ms/us/ns, spreadsheet serials or yyyymmdd numbers."""
+    """Timestamp per cell: ISO text and the forms of ``iso_text``, epoch s/ms/us/ns, spreadsheet serials or yyyymmdd numbers.
+
+    Where day and month are both numbers before the year, a column is day first if some first number is above 12 and no
+    second one is; otherwise month first."""
     rows = cells.withColumn("_num", F.trim(F.col(txt)).try_cast("double"))
     med = scan.exact_quantiles(rows.withColumn("_abs", F.abs("_num")), list(keys), "_abs", {"_med": 0.5}, resolution)
-    share = rows.groupBy(*keys).agg(F.avg(F.col("_num").isNotNull().cast("double")).alias("_share"))
+    above = lambda i: F.coalesce(F.max(F.regexp_extract(F.trim(F.col(txt)), _DAY_MONTH, i).try_cast("int")) > 12, F.lit(False))
+    share = rows.groupBy(*keys).agg(F.avg(F.col("_num").isNotNull().cast("double")).alias("_share"), (above(1) & ~above(2)).alias("_day_first"))
     rules = share.join(med, list(keys), "left").select(
-        *keys, F.when(F.col("_share") > 0.8, F.coalesce(date_unit(F.col("_med")), F.lit("text"))).otherwise("text").alias("unit"))
+        *keys, "_day_first", F.when(F.col("_share") > 0.8, F.coalesce(date_unit(F.col("_med")), F.lit("text"))).otherwise("text").alias("unit"))
     rows = rows.join(rules, list(keys))
     whole = F.trim(F.col(txt)).try_cast("long")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -113,8 +137,8 @@ def parse_dates(cells: DataFrame, keys=("file",), txt: str = "txt", resolution:
         (F.col("unit") == "yyyymmdd", F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)).try_cast("timestamp_ntz")),
         (F.col("unit") == "s", after(epoch, F.col("_num") * d(1_000_000))), (F.col("unit") == "ms", after(epoch, F.col("_num") * d(1_000))),
         (F.col("unit") == "us", after(epoch, whole.cast("double"))), (F.col("unit") == "ns", after(epoch, F.floor(F.when(F.abs("_num") < d(2.5e20), F.col("_num")) / d(1000)).cast("double"))),
-        (None, F.regexp_replace(text, r"\s*(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")))
-    return rows.withColumn("ts", ts).drop("_num")
+        (None, F.regexp_replace(iso_text(text, F.col("_day_first")), r"\s*(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")))
+    return rows.withColumn("ts", ts).drop("_num", "_day_first")
 
 
 # --- series ---------------------------------------------------------------------------------------

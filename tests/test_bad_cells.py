@@ -31,3 +31,12 @@ def test_all_codes_are_counted(spark):
     rows = spark.createDataFrame([([f"c{i}" for i in range(40)],)], "codes array<string>")
     assert batch.code_counts(rows, {"flag": "codes"}).count() == 40
     assert batch.code_counts(rows, {"flag": "codes"}, top=3).agg(F.max("rank")).first()[0] == 3
+
+
+def test_date_forms(spark):
+    rows = [("a", "2024/01/02"), ("a", "2024.01.02 10:00"), ("a", "Jan 2, 2024"), ("a", "2 january 2024 10:00"), ("a", "01/02/2024"), ("a", "Foo 2, 2024"), ("a", None),
+            ("b", "13.02.2024"), ("b", "01.02.2024 09:05:07"), ("c", "31/31/2024"), ("c", "02/03/2024")]
+    df = spark.createDataFrame([(f, i, t) for i, (f, t) in enumerate(rows)], "file string, row_no long, txt string")
+    got = [str(r.ts) for r in mapping.parse_dates(df).orderBy("row_no").collect()]
+    assert got == ["2024-01-02 00:00:00", "2024-01-02 10:00:00", "2024-01-02 00:00:00", "2024-01-02 10:00:00", "2024-01-02 00:00:00", "None", "None",
+                   "2024-02-13 00:00:00", "2024-02-01 09:05:07", "None", "2024-02-03 00:00:00"]
