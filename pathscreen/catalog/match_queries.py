@@ -174,7 +174,7 @@ def topk_scores(spark, folder):
 
 
 @query("flag_counts", BAT + """, k0 AS (SELECT 'flag' kind, unnest(string_split(flags,'|')) code FROM ba UNION ALL SELECT 'cap', unnest(string_split(array_to_string(list_filter([hard, soft, expe], lambda x: x<>''), '|'),'|')) FROM ba)
-   SELECT * FROM (SELECT kind, code, count(*) AS rows, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, code) AS rank FROM k0 WHERE code<>'' GROUP BY 1,2) WHERE rank<=20""")
+   SELECT * FROM (SELECT kind, code, count(*) AS rows, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, code) AS rank FROM k0 WHERE code<>'' GROUP BY 1,2)""")
 def flag_counts(spark, folder):
     rows = SQ.score_rows(spark, folder).select(F.col("flags.code").alias("flag_codes"), "cap_reasons")
     return batch.code_counts(rows, {"flag": "flag_codes", "cap": "cap_reasons"})

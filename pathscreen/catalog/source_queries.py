@@ -82,7 +82,10 @@ def sheet_select(spark, folder):
     return FI.sheet_select(c, sizes)
 
 
-@query("discover_inputs")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("discover_inputs", "SELECT 'testdata' AS source, name FROM (VALUES " + ", ".join(f"('{t}')" for t in _TABLES) + ") t(name)")
 def discover_inputs(spark, folder):
     return FI.discover_inputs(spark, {"testdata": folder}, "*.parquet").select("source", "name")
 

@@ -26,7 +26,9 @@ _UPTO = (Window.unboundedPreceding, Window.currentRow)
 
 
 def time_chunk(ts, unit: str) -> Column:
-    return F.date_trunc(unit, F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+    """Start of the calendar unit; a null time has a chunk of its own before all others, so its row stays."""
+    start = F.date_trunc(unit, F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+    return F.coalesce(start, F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, chunk: str | Column = CHUNK,

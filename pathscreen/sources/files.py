@@ -4,6 +4,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -17,6 +18,8 @@ SEPARATORS = (",", ";", "\t", "|")
 EXCEL = r"\.(xlsx|xls|xlsm)$"
 TEXT = r"\.(csv|tsv|txt)$"
 CELLS = "path string, row_no long, col_no int, txt string"
+REJECT_ROW = -1     # row number under which a file without cells gives its code
+BATCH = 50_000      # cells per output batch
 
 
 def discover_inputs(spark: SparkSession, roots: dict[str, str], pattern: str = "*.csv", limit: int | None = None) -> DataFrame:
@@ -45,6 +48,7 @@ def format_route(files: DataFrame) -> DataFrame:
 
 def _parse(raw: bytes) -> list[list[str]] | None:
     """Rows of the first (encoding, separator) that gives two columns, else of the first that decodes."""
+    csv.field_size_limit(2**31 - 1)  # a cell may be as long as its file
     single = None
     for enc in ENCODINGS:
         try:
@@ -64,21 +68,39 @@ def _parse(raw: bytes) -> list[list[str]] | None:
 
 
 def scan_delimited(files: DataFrame) -> DataFrame:
-    """cells(path, row_no, col_no, txt) of text files (path, content); row 0 is the header.
+    """cells(path, row_no, col_no, txt) of text files (path, content); row 0 is the header."""
+    return good_cells(decode_files(files))
 
-    Decoding is per file (an upload is at most some megabytes); everything after it works on cells.
+
+def decode_files(files: DataFrame) -> DataFrame:
+    """Cells, and for each file without any a row under ``REJECT_ROW`` whose text is the code: empty_file or unreadable.
+
+    Decoding is per file (an upload is at most some megabytes); everything after it works on cells. Stage the result
+    where both cells and rejects are read. A null content counts as empty.
     """
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                rows = _parse(bytes(content)) or []
-                flat = [(path, i, j, cell) for i, row in enumerate(rows) for j, cell in enumerate(row)]
-                if flat:
-                    yield pd.DataFrame(flat, columns=["path", "row_no", "col_no", "txt"])
+                rows = _parse(bytes(content or b""))
+                if rows:
+                    flat = ((path, i, j, cell) for i, row in enumerate(rows) for j, cell in enumerate(row))
+                else:
+                    flat = iter([(path, REJECT_ROW, REJECT_ROW, "unreadable" if rows is None else "empty_file")])
+                while part := list(islice(flat, BATCH)):
+                    yield pd.DataFrame(part, columns=["path", "row_no", "col_no", "txt"])
 
     return files.select("path", "content").mapInPandas(decode, CELLS)
 
 
+def good_cells(decoded: DataFrame) -> DataFrame:
+    return decoded.where(F.col("row_no") > REJECT_ROW)
+
+
+def file_rejects(decoded: DataFrame) -> DataFrame:
+    """rejects(path, code) of the files that gave no cells."""
+    return decoded.where(F.col("row_no") == REJECT_ROW).select("path", F.col("txt").alias("code"))
+
+
 def read_uniform(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """A directory of files in one known format: splittable, all columns as text."""
     return spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("inferSchema", False).csv(path)
@@ -106,12 +128,13 @@ def header_rows(cells: DataFrame, keys=("file", "sheet"), look: int = 30) -> Dat
 
 
 def promote_header(cells: DataFrame, keys=("file", "sheet"), look: int = 30) -> DataFrame:
-    """Data cells below the header with the header text as ``name``; blank cells go."""
+    """Data cells below the header with the header text as ``name`` (empty where the column has none); blank cells go."""
     keys = list(keys)
     rows = cells.join(header_rows(cells, keys, look), keys)
     named = rows.where("row_no = header_row").select(*keys, "col_no", F.trim("txt").alias("name"))
     data = rows.where("row_no > header_row").where(F.coalesce(F.trim("txt"), F.lit("")) != "")
-    return data.join(named, [*keys, "col_no"]).select(*keys, (F.col("row_no") - F.col("header_row") - 1).alias("row_no"), "col_no", "name", "txt")
+    return data.join(named, [*keys, "col_no"], "left").select(
+        *keys, (F.col("row_no") - F.col("header_row") - 1).alias("row_no"), "col_no", F.coalesce("name", F.lit("")).alias("name"), "txt")
 
 
 def sheet_select(columns: DataFrame, sizes: DataFrame) -> DataFrame:
