@@ -123,7 +123,7 @@ def price_store_refresh(spark, folder):
     px, store = stage(v_px(spark, folder)), fresh_folder(spark, "store")
     P.write_store(px.where("ts < '2000-06-01'"), store)
     P.refresh_store(spark, store, _fresh(px))
-    return pick(spark.read.parquet(store), ["asset_key", "ts"], ["close"])
+    return pick(P.read_store(spark, store), ["asset_key", "ts"], ["close"])
 
 
 @query("union_refresh", REF + f"SELECT asset_key, ts, {r('close')}, b AS batch FROM (SELECT asset_key, ts, close, 0 b FROM v_px WHERE ts<'2000-06-01' UNION ALL SELECT *, 1 FROM fr)")
@@ -171,33 +171,37 @@ def stream_price_upsert(spark, folder):
     """Two arrivals; the second repeats days of the first and some of them are too late."""
     inbox, store = fresh_folder(spark, "inbox"), fresh_folder(spark, "store")
     px = stage(v_px(spark, folder).withColumn("seq", F.lit(0)))
-    px.where("ts < '2000-06-01'").coalesce(1).write.mode("append").parquet(inbox)
+    px.where("ts < '2000-06-01'").write.mode("append").parquet(inbox)
     source = lambda: spark.readStream.schema(px.schema).parquet(inbox)
     mark = fresh_folder(spark, "mark")
     late = fresh_folder(spark, "late")
     SP.stream_price_upsert(source(), store, late, mark).awaitTermination()
-    px.where("ts >= '2000-05-20'").withColumn("close", F.col("close") * d(1.02)).withColumn("seq", F.lit(1)).coalesce(1).write.mode("append").parquet(inbox)
+    px.where("ts >= '2000-05-20'").withColumn("close", F.col("close") * d(1.02)).withColumn("seq", F.lit(1)).write.mode("append").parquet(inbox)
     SP.stream_price_upsert(source(), store, late, mark).awaitTermination()
-    return pick(spark.read.parquet(store), ["asset_key", "ts"], ["close"])
+    return pick(P.read_store(spark, store), ["asset_key", "ts"], ["close"])
 
 
 @query("stream_live_drawdown", ctes("v_ret", p=path_sql("v_ret")) + f"SELECT strategy_id, max(n) n, {r('max_by(equity, idx)', 6, 'growth')}, {r('least(0,min(dd))', 6, 'mdd')}, {r('max_by(dd, idx)', 6, 'drawdown')}, {r('avg(ret)', 8, 'mean')}, 0::BIGINT AS late FROM p GROUP BY 1")
 def stream_live_drawdown(spark, folder):
-    inbox, out, mark = fresh_folder(spark, "inbox"), fresh_folder(spark, "live"), fresh_folder(spark, "mark")
-    ret = stage(v_ret(spark, folder))
-    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    rows = ret.select(ID, us.alias("us"), "ret")
-    schema = rows.schema
+    live, _ = live_tables(spark, folder)
+    latest = scan.keep_last(live, [ID], ["n", "batch_id"])
+    return latest.select(ID, "n", rounded("growth").alias("growth"), rounded("mdd").alias("mdd"), rounded("drawdown").alias("drawdown"), rounded("mean", 8).alias("mean"), "late")
+
 
-    def run():
-        def keep(batch, batch_id):
-            batch.write.mode("append").parquet(out)
-        (drawdown.live_drawdown(spark.readStream.schema(schema).parquet(inbox)).writeStream.outputMode("update").foreachBatch(keep)
-         .option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination())
+@query("stream_late_rows", ctes("v_ret") + f"SELECT strategy_id, ts, {r('ret', 6)} FROM v_ret WHERE ts < '1996-06-01'")
+def stream_late_rows(spark, folder):
+    """The side table of the live drawdown: a third arrival repeats the first days."""
+    _, late = live_tables(spark, folder, "us < 833587200000000")  # 1996-06-01
+    return late.select(ID, F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), rounded("ret", 6).alias("ret"))
 
+
+def live_tables(spark, folder, again=None):
+    """Current rows and late rows after two arrivals, and a third one that repeats the rows of ``again``."""
+    inbox, live, late, mark = (fresh_folder(spark, n) for n in ("inbox", "live", "late", "mark"))
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    rows = stage(v_ret(spark, folder)).select(ID, us.alias("us"), "ret")
     cut = "us < 883612800000000"  # 1998-01-01
-    for part in (cut, f"NOT ({cut})"):
-        rows.where(part).coalesce(1).write.mode("append").parquet(inbox)
-        run()
-    latest = scan.keep_last(spark.read.parquet(out), [ID], ["n"])
-    return latest.select(ID, "n", rounded("growth").alias("growth"), rounded("mdd").alias("mdd"), rounded("drawdown").alias("drawdown"), rounded("mean", 8).alias("mean"), "late")
+    for part in [cut, f"NOT ({cut})"] + ([again] if again else []):
+        rows.where(part).write.mode("append").parquet(inbox)
+        drawdown.stream_live_drawdown(spark.readStream.schema(rows.schema).parquet(inbox), live, late, mark).awaitTermination()
+    return spark.read.parquet(live), spark.read.parquet(late)

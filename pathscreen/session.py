@@ -22,6 +22,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pat
     )
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder of that path (``*`` matches any name) is there, in any store that the session reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 _UNNAMED: dict[str, str] = {}
 
 

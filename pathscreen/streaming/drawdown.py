@@ -1,15 +1,17 @@
-"""Live drawdown per strategy with one small state row."""
+"""Live drawdown per strategy with one small state row; late rows go to a side table for repair."""
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "last_us long, growth double, peak double, mdd double, n long, total double, squares double, late long"
-OUTPUT = "strategy_id long, n long, growth double, mdd double, drawdown double, mean double, late long"
+CURRENT = ("n", "growth", "mdd", "drawdown", "mean", "late")
+OUTPUT = "kind string, n long, growth double, mdd double, drawdown double, mean double, late long, us long, ret double"
 
 
 def advance(state: tuple, us: np.ndarray, ret: np.ndarray) -> tuple:
@@ -29,16 +31,47 @@ def advance(state: tuple, us: np.ndarray, ret: np.ndarray) -> tuple:
     return last, growth, peak, mdd, n, total, squares, late
 
 
+def _row(key: tuple, kind: str, state: tuple) -> pd.DataFrame:
+    _, growth, peak, mdd, n, total, _, late = state
+    return pd.DataFrame({"strategy_id": [key[0]], "kind": [kind], "n": [n], "growth": [growth], "mdd": [mdd], "drawdown": [growth / peak - 1.0],
+                         "mean": [total / n if n else 0.0], "late": [late]})
+
+
 def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     now = state.get if state.exists else (-(2 ** 62), 1.0, 1.0, 0.0, 0, 0.0, 0.0, 0)
     rows = pd.concat(list(frames))  # the rows of one strategy in one micro-batch
+    behind = rows[rows["us"] <= now[0]]
     now = advance(tuple(now), rows["us"].to_numpy(), rows["ret"].to_numpy())
     state.update(now)
-    _, growth, peak, mdd, n, total, _, late = now
-    yield pd.DataFrame({"strategy_id": [key[0]], "n": [n], "growth": [growth], "mdd": [mdd], "drawdown": [growth / peak - 1.0],
-                        "mean": [total / n if n else 0.0], "late": [late]})
+    if len(behind):
+        yield _row(key, "late", now).merge(behind[["us", "ret"]], how="cross")
+    yield _row(key, "current", now).assign(us=now[0], ret=0.0)
 
 
 def live_drawdown(source: DataFrame) -> DataFrame:
-    """source: streaming (strategy_id, us, ret) with ``us`` in microseconds; one updated row per strategy and batch."""
-    return source.groupBy("strategy_id").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """source: streaming (strategy_id of any type, us, ret) with ``us`` in microseconds.
+
+    Per strategy and batch one updated row (``current``), and one row for each late row (``late_rows``).
+    """
+    kind = dict(source.dtypes)["strategy_id"]
+    return source.groupBy("strategy_id").applyInPandasWithState(_update, f"strategy_id {kind}, {OUTPUT}", STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def current(out: DataFrame) -> DataFrame:
+    return out.where(F.col("kind") == "current").select("strategy_id", *CURRENT)
+
+
+def late_rows(out: DataFrame) -> DataFrame:
+    return out.where(F.col("kind") == "late").select("strategy_id", "us", "ret")
+
+
+def stream_live_drawdown(source: DataFrame, live: str, late: str, checkpoint: str) -> StreamingQuery:
+    """Writes both tables per batch over what is available; a replayed batch replaces its own files."""
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        current(batch).write.mode("overwrite").parquet(f"{live}/batch_id={batch_id}")
+        late_rows(batch).write.mode("overwrite").parquet(f"{late}/batch_id={batch_id}")
+        batch.unpersist()
+
+    return (live_drawdown(source).writeStream.outputMode("update").foreachBatch(keep)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
