@@ -137,6 +137,7 @@ def fold_path(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --- exact ranks ----------------------------------------------------------------------
 RESOLUTION = 16  # buckets per octave
+FULL = 100_000   # distinct values of a bucket in one part; more are divided over its range
 
 
 def value_bucket(v: Column, resolution: int = RESOLUTION) -> Column:
@@ -147,26 +148,33 @@ def value_bucket(v: Column, resolution: int = RESOLUTION) -> Column:
 
 
 def ordered_values(df: DataFrame, keys: Sequence[str], value: str,
-                   resolution: int = RESOLUTION) -> DataFrame:
+                   resolution: int = RESOLUTION, full: int = FULL) -> DataFrame:
     """Distinct values of each group with ``cnt``, ``below`` (rows before it in value order) and ``n``.
 
-    Equal values are merged before the shuffle; buckets are then ordered independently.
+    Equal values are merged before the shuffle; buckets are then ordered independently. A bucket of many distinct
+    values (times of some years, levels close to 1) is cut into equal parts of the range that its values take.
     """
     keys = list(keys)
-    part = [*keys, "_b"]
+    part = [*keys, "_b", "_d"]
     distinct = (
         df.where(F.col(value).isNotNull() & ~F.isnan(value))
         .groupBy(*keys, value_bucket(F.col(value), resolution).alias("_b"), F.col(value))
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
+    bounds = distinct.groupBy(*keys, "_b").agg(F.ceil(F.count(F.lit(1)) / full).alias("_p"), F.min(value).alias("_lo"), F.max(value).alias("_hi")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), "_p", "_lo", "_hi")
+    place = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_p"))
+    divided = F.when((F.col("_p") > 1) & (F.col("_hi") > F.col("_lo")), F.least(place, F.col("_p") - 1)).otherwise(F.lit(0)).cast("long")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b") == F.col("_kb")]
+    distinct = distinct.join(bounds, same).select(*keys, "_b", divided.alias("_d"), value, "cnt")
     inside = Window.partitionBy(*part).orderBy(value).rowsBetween(*_BEFORE)
     rows = distinct.withColumn("_in", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(*_BEFORE)
+    before = Window.partitionBy(*keys).orderBy("_b", "_d").rowsBetween(*_BEFORE)
     carry = rows.groupBy(*part).agg(F.sum("cnt").alias("_c")).select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"),
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), F.col("_d").alias("_kd"),
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
         F.sum("_c").over(Window.partitionBy(*keys)).alias("n"))
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b") == F.col("_kb")]
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b") == F.col("_kb"), F.col("_d") == F.col("_kd")]
     return rows.join(carry, on).select(
         *keys, value, "cnt", (F.col("_before") + F.col("_in")).alias("below"), "n")
 

@@ -111,3 +111,13 @@ def test_blocks_match_array_split(spark):
 def test_leading_point_of_the_curve(spark):
     c = M.curve(frame(spark, record(5))).orderBy("seq").toPandas()
     assert c.equity[0] == 1.0 and len(c) == 6 and c.ts[0] == pd.Timestamp("2019-12-31")
+
+
+def test_crowded_value_buckets_are_divided(spark):
+    """Epoch seconds and levels near 1 each fall in one or two buckets; their parts stay small and the order exact."""
+    v = np.concatenate([1.7e9 + 3600.0 * np.arange(5000), 1 + np.arange(3000) / 1e6, -1.7e9 - 60.0 * np.arange(1000), [np.inf, 0.0]])
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "v": v}))
+    rows = scan.ordered_values(df, ["k"], "v", full=200).toPandas().sort_values("v")
+    assert rows.below.tolist() == list(range(len(v))) and (rows.n == len(v)).all()
+    got = scan.exact_quantiles(df.where("v < 1e300"), ["k"], "v", {"m": 0.5, "q": 0.9}).first()
+    assert np.allclose([got.m, got.q], np.quantile(v[np.isfinite(v)], [0.5, 0.9]), rtol=0, atol=1e-6)
