@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathscreen.catalog.registry import pick, query, r, table
-from pathscreen.operators import loader as L
+from pathscreen.operators import batch, loader as L
 from pathscreen.operators.metrics import ID
 from pathscreen.sources import files as FI
 from pathscreen.staging import stage
@@ -79,8 +79,42 @@ def load_rejects(spark, folder):
     return L.load_returns(cells(dec)).rejects.unionByName(FI.file_rejects(dec).select(F.col("path").alias(ID), "code"))
 
 
-@query("load_warnings", LOAD + """, ab AS (SELECT file, quantile_cont(abs(ret), 0.5) m, quantile_cont(abs(ret), 0.9) p, avg((abs(ret)>1)::INT) b, sum((ret>3)::INT) e FROM se WHERE k<>1 GROUP BY 1), va AS (SELECT file, count(*) n FROM ok GROUP BY 1)
-   SELECT DISTINCT se.file AS strategy_id, 'rows_dropped' AS code FROM se JOIN sz USING (file) JOIN va USING (file) WHERE va.n<sz.rows UNION ALL SELECT file, 'UNITS_LARGE' FROM ab WHERE m>0.2::DOUBLE OR p>0.8::DOUBLE
-   UNION ALL SELECT file, CASE WHEN b>0.5::DOUBLE THEN 'MOSTLY_ABOVE_ONE' ELSE 'EXTREME_BARS' END FROM ab WHERE b>0.5::DOUBLE OR e>0""")
+_WARN_CTE = """, ab AS (SELECT file, quantile_cont(abs(ret), 0.5) m, quantile_cont(abs(ret), 0.9) p, avg((abs(ret)>1)::INT) b, sum((ret>3)::INT) e FROM se WHERE k<>1 GROUP BY 1), va AS (SELECT file, count(*) n FROM ok GROUP BY 1)"""
+_WARN = """SELECT DISTINCT se.file AS strategy_id, 'rows_dropped' AS code FROM se JOIN sz USING (file) JOIN va USING (file) WHERE va.n<sz.rows UNION ALL SELECT file, 'UNITS_LARGE' FROM ab WHERE m>0.2::DOUBLE OR p>0.8::DOUBLE
+   UNION ALL SELECT file, CASE WHEN b>0.5::DOUBLE THEN 'MOSTLY_ABOVE_ONE' ELSE 'EXTREME_BARS' END FROM ab WHERE b>0.5::DOUBLE OR e>0"""
+
+
+@query("load_warnings", LOAD + _WARN_CTE + " " + _WARN)
 def load_warnings(spark, folder):
     return L.load_returns(cells(decoded(spark, folder))).warnings
+
+
+@query("loader_warning_counts", LOAD + _WARN_CTE + f""", wa AS ({_WARN}) SELECT * FROM (SELECT 'warning' AS kind, code, count(*) AS rows, row_number() OVER (ORDER BY count(*) DESC, code) AS rank FROM wa GROUP BY code) WHERE rank <= 20""")
+def loader_warning_counts(spark, folder):
+    """The twenty most frequent warnings, the length of that report."""
+    codes = L.load_returns(cells(decoded(spark, folder))).warnings.select(F.array("code").alias("codes"))
+    return batch.code_counts(codes, {"warning": "codes"}, top=20)
+
+
+def batch_results_table(spark, folder):
+    files = upload_files(spark, folder)
+    dec = stage(FI.decode_files(files))
+    out = L.load_returns(cells(dec))
+    rejects = out.rejects.unionByName(FI.file_rejects(dec).select(F.col("path").alias(ID), "code"))
+    return batch.results(files.select(F.col("path").alias(ID)), out.meta.select(ID, "input_type", "n"), rejects)
+
+
+_REJ = """rj AS (SELECT file, code FROM co WHERE code IS NOT NULL UNION ALL SELECT file, 'short_series' FROM sh UNION ALL SELECT file, 'total_loss' FROM lo UNION ALL SELECT file, 'few_returns' FROM fw
+   UNION ALL SELECT DISTINCT 'file'||f, 'empty_file' FROM fo WHERE k=6),
+   br AS (SELECT 'file'||f AS strategy_id, any_value(s.input_type) input_type, any_value(s.n) n, count(s.n)>0 ok, coalesce(string_agg(DISTINCT rj.code, '|'), '') AS error FROM (SELECT DISTINCT f FROM fo) i
+     LEFT JOIN (SELECT file, CASE WHEN k=1 THEN 'equity' ELSE 'returns' END input_type, count(*) n FROM se GROUP BY file, k) s ON s.file='file'||f LEFT JOIN rj ON rj.file='file'||f GROUP BY f) """
+
+
+@query("batch_results", LOAD + ", " + _REJ + "SELECT strategy_id, input_type, n, ok, error FROM br")
+def batch_results(spark, folder):
+    return batch_results_table(spark, folder).select(ID, "input_type", "n", "ok", "error")
+
+
+@query("batch_totals", LOAD + ", " + _REJ + "SELECT count(*) AS total_inputs, sum(ok::INT)::BIGINT AS ok, (count(*)-sum(ok::INT))::BIGINT AS failed, round(avg(ok::INT::DOUBLE), 6) AS success_rate FROM br")
+def batch_totals(spark, folder):
+    return batch.totals(batch_results_table(spark, folder))

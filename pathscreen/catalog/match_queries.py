@@ -140,7 +140,8 @@ def join_profile(spark, folder):
 
 
 # --- batch ---------------------------------------------------------------------------------------
-_DIMS = ["source", "profile", "grade", "judgement", "edge_light", "evidence_status"]
+_DIMS = ["source", "profile", "grade", "judgement", "edge_light", "evidence_status", "tier", "headline", "sample_hard", "benchmark_available", "random_available"]
+_SQL_DIMS = dict(profile="prof", edge_light="light", sample_hard="sh", benchmark_available="edge_score IS NOT NULL", random_available="random_p IS NOT NULL AND edge_score IS NOT NULL")
 BAT = SQ.SCORE.rstrip() + ", ba AS MATERIALIZED (SELECT *, 'desk'||(strategy_id%4) AS source, ['crypto','stock_index','altcoin','other','unlisted'][1+strategy_id%5] AS prof FROM sx) "
 
 
@@ -150,7 +151,7 @@ def score_batch(spark, folder):
 
 
 @query("outcome_counts", BAT + "SELECT dimension, value, count(*) AS rows FROM (" + " UNION ALL ".join(
-    f"SELECT '{d}' dimension, {dict(profile='prof', edge_light='light').get(d, d)} AS value FROM ba" for d in _DIMS) + ") GROUP BY 1,2")
+    f"SELECT '{d}' dimension, coalesce(({_SQL_DIMS.get(d, d)})::VARCHAR, '') AS value FROM ba" for d in _DIMS) + ") GROUP BY 1,2")
 def outcome_counts(spark, folder):
     return batch.outcome_counts(SQ.score_rows(spark, folder), _DIMS)
 

@@ -7,6 +7,23 @@ from pathscreen.functions.exprs import d
 from pathscreen.operators.metrics import ID
 
 
+def results(inputs: DataFrame, done: DataFrame, rejects: DataFrame) -> DataFrame:
+    """One row per input: ``ok`` with the columns of ``done``, else ``error`` with the codes of its rejects, or ``lost`` if it has neither.
+
+    inputs: (strategy_id); done: one row per input that went through; rejects: (strategy_id, code), any number.
+    """
+    errors = rejects.groupBy(ID).agg(F.array_join(F.array_sort(F.collect_set("code")), "|").alias("error"))  # codes are a fixed list
+    out = inputs.select(ID).distinct().join(done.withColumn("ok", F.lit(True)), ID, "left").join(errors, ID, "left")
+    ok = F.coalesce("ok", F.lit(False))
+    return out.withColumn("ok", ok).withColumn("error", F.when(ok, F.lit("")).otherwise(F.coalesce("error", F.lit("lost"))))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    ok = F.coalesce(F.sum(F.col("ok").cast("long")), F.lit(0))
+    n = F.count(F.lit(1))
+    return rows.agg(n.alias("total_inputs"), ok.alias("ok"), (n - ok).alias("failed"), F.round(F.coalesce(F.try_divide(ok, n), F.lit(0.0)), 6).alias("success_rate"))
+
+
 def outcome_counts(rows: DataFrame, dimensions: list[str]) -> DataFrame:
     """Value counts of every dimension in one pass."""
     pairs = F.array(*[F.struct(F.lit(c).alias("dimension"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in dimensions])

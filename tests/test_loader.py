@@ -1,5 +1,5 @@
 """From bytes to return series: every file ends in the series or in the rejects."""
-from pathscreen.operators import loader, scan
+from pathscreen.operators import batch, loader, scan
 from pathscreen.sources import files as FI
 from pathscreen.staging import stage
 
@@ -60,3 +60,12 @@ def test_rows_without_a_time_stay_first(spark):
     rows = spark.createDataFrame([(1, None, 1.0), (1, "2024-01-01", 2.0), (1, "2024-02-01", 3.0)], "k int, t string, v double")
     out = scan.running(rows.selectExpr("k", "CAST(t AS TIMESTAMP_NTZ) ts", "v"), ["k"], ["ts"], counts=True, sums={"s": "v"}).orderBy("idx").toPandas()
     assert out.idx.tolist() == [1, 2, 3] and out.s.tolist() == [1.0, 3.0, 6.0]
+
+
+def test_one_row_or_one_error_per_input(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    out = batch.results(frame([("a",), ("b",), ("c",), ("c",)], "strategy_id string"), frame([("a", 5)], "strategy_id string, n long"),
+                        frame([("b", "y"), ("b", "x")], "strategy_id string, code string"))
+    assert {tuple(r) for r in out.select("strategy_id", "n", "ok", "error").collect()} == {("a", 5, True, ""), ("b", None, False, "x|y"), ("c", None, False, "lost")}
+    assert tuple(batch.totals(out).first()) == (3, 1, 2, 0.333333)
+    assert tuple(batch.totals(out.limit(0)).first()) == (0, 0, 0, 0.0)
