@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pathscreen.llm import byte_pairs, chosen_path, class_lm, curriculum, host_rules, license_templates, page_diff, snapshots, token_files, wu_manber
+from pathscreen.llm import byte_pairs, chosen_path, class_lm, curriculum, host_rules, license_templates, license_texts, page_diff, snapshots, token_files, wu_manber
 from pathscreen.llm.common import table
 
 END_ID = 2
@@ -57,6 +57,16 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_max(F.transform(base, lambda p: p["first"])).alias("last_word"), names(base).alias("base_labels"), names(every).alias("labels"), score.alias("score"))
 
 
+def op7_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts count 1, notices 0.75 and base phrases 0.5; the phrases are those of op7_license_scan."""
+    found = license_texts.license_texts(license_templates.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    every, phrases = F.col(license_texts.RESULT)["places"], F.filter(F.col(license_templates.RESULT)["places"], lambda p: ~p["template"])
+    names = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    whole, notices = F.filter(every, lambda p: p["whole"]), F.filter(every, lambda p: ~p["whole"])
+    score = F.when(F.size(whole) > 0, 1.0).when(F.size(notices) > 0, 0.75).when(F.size(phrases) > 0, 0.5).otherwise(0.0)
+    return found.select("doc_id", F.col(license_texts.RESULT)["n_words"].alias("n_words"), names(whole).alias("whole_labels"), names(notices).alias("notice_labels"), names(phrases).alias("base_labels"), score.alias("score"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.main_texts(table(spark, sf_dir, "pages"))
 
@@ -74,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_class_lm, op3_mixing, op4_token_files, op5_chat_snapshots, op6_decontamination, op7_license_scan, op8_main_text,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_class_lm, op3_mixing, op4_token_files, op5_chat_snapshots, op6_decontamination, op7_license_scan, op7_license_texts, op8_main_text,
                                    op9_token_counts, op10_near_duplicates, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
