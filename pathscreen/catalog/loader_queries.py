@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathscreen.catalog.registry import pick, query, r, table
+from pathscreen.catalog.registry import pick, query, r, rounded, table
 from pathscreen.operators import batch, loader as L
 from pathscreen.operators.metrics import ID
 from pathscreen.sources import files as FI
@@ -61,6 +61,21 @@ def column_profile(spark, folder):
     return pick(out.where("col_no = 1"), ["file", "col_no", "rows"], ["numeric_share", "median_abs"])
 
 
+# SQL: a number is a date by the magnitude of its column, else where its text is a year of four to six digits.
+_PROFILE = "WITH " + _CELLS + f""", e AS (SELECT file, k, event_id, event_id::VARCHAR t, median(event_id) OVER (PARTITION BY file) m FROM ce WHERE k=3),
+   p AS (SELECT file, 0 AS col_no, CASE k WHEN 1 THEN 'time' WHEN 2 THEN 'width' ELSE 'date' END AS norm, count(*) AS rows, k, CASE k WHEN 2 THEN 0 ELSE 1 END::DOUBLE AS dates, 0::DOUBLE AS numbers, NULL::DOUBLE AS med FROM ce GROUP BY file, k
+   UNION ALL SELECT file, 1, CASE k WHEN 0 THEN 'daily_return' WHEN 1 THEN 'equity' WHEN 2 THEN 'x' WHEN 3 THEN 'a' WHEN 4 THEN 'note' ELSE 'ret_pct_ratio' END, count(*), k, 0, count(v)/count(*)::DOUBLE, median(abs(v)) FROM ce GROUP BY file, k
+   UNION ALL SELECT file, 2, 'b', count(*), k, avg(CASE WHEN m>=20000 AND m<80000 OR m>=100000000 THEN 1 WHEN m>=19000000 AND m<30000000 THEN (try_strptime(t, '%Y%m%d') IS NOT NULL)::INT ELSE (event_id BETWEEN 1000 AND 294246)::INT END), 1, median(event_id) FROM e GROUP BY file, k)
+   SELECT file, col_no, norm, rows, CASE k WHEN 3 THEN 3 ELSE 2 END::BIGINT AS cols, {r('dates', 6, 'date_share')}, {r('numbers', 6, 'numeric_share')}, {r('med', 6, 'median_abs')}, false AS is_pct FROM p"""
+
+
+@query("column_profile_all", _PROFILE)
+def column_profile_all(spark, folder):
+    """Every column of every file that has cells, with all facts; ``column_profile`` gives the second column alone."""
+    out = L.column_profile(stage(L.typed_cells(cells(decoded(spark, folder)))))
+    return out.select("file", "col_no", "norm", "rows", "cols", rounded("date_share").alias("date_share"), rounded("numeric_share").alias("numeric_share"), rounded("median_abs").alias("median_abs"), "is_pct")
+
+
 @query("load_returns", LOAD + f"SELECT file AS strategy_id, ts, {r('ret', 8)} FROM se")
 def load_returns(spark, folder):
     return pick(L.load_returns(cells(decoded(spark, folder))).series, [ID, "ts"], ["ret"], digits=8)
