@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pathscreen.llm import byte_pairs, chosen_path, class_lm, curriculum, host_rules, license_templates, license_texts, page_diff, snapshots, token_files, wu_manber
+from pathscreen.llm import (byte_pairs, chosen_path, class_lm, curriculum, filter_audit, host_rules, license_templates, license_texts, merkle, page_diff, segment_popcounts, snapshots, token_files,
+                            wu_manber)
 from pathscreen.llm.common import table
 
 END_ID = 2
@@ -79,13 +80,30 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_popcounts.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interaction_audit(filter_audit.document_facts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf is proven against the root; of each seventh document (by hash of the id) one that says a character more is tried instead."""
+    c = {name: F.col(name) for name in ("doc_id", "source", "lang", "n_chars", "text")}
+    forged = F.when(F.crc32(c["doc_id"].cast("string")) % 7 == 0, merkle.record_hash(*(c | {"n_chars": c["n_chars"] + 1}).values()))
+    leaves = table(spark, sf_dir, "documents").select("doc_id", merkle.group_key(c["lang"]).alias("group"), merkle.record_hash(*c.values()).alias("leaf"), forged.alias("forged"))
+    out = merkle.manifest(leaves, ["doc_id", "leaf"]).withColumn("folded_root", merkle.folded(F.coalesce("forged", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_class_lm, op3_mixing, op4_token_files, op5_chat_snapshots, op6_decontamination, op7_license_scan, op7_license_texts, op8_main_text,
-                                   op9_token_counts, op10_near_duplicates, pipeline)}
+                                   op9_token_counts, op10_near_duplicates, op11_simhash, op12_filter_audit, op13_manifest, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -128,6 +146,51 @@ def _license_sql() -> str:
     FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)"""
 
 
+def _audit_sql() -> str:
+    """Every order is tried on every set of failures."""
+    letters = "(SELECT unnest(string_split('A,B,C,D,E', ',')) AS l)"
+    return rf"""
+    WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+               doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS copy FROM documents),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    f AS (SELECT part, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+          || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+          || CASE WHEN copy THEN 'E' ELSE '' END AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w LEFT JOIN l USING (doc_id)),
+    m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY part, fails),
+    o AS (SELECT a.l || b.l || c.l || d.l || e.l AS o FROM {letters} a JOIN {letters} b ON b.l <> a.l JOIN {letters} c ON c.l NOT IN (a.l, b.l) JOIN {letters} d ON d.l NOT IN (a.l, b.l, c.l)
+          JOIN {letters} e ON e.l NOT IN (a.l, b.l, c.l, d.l)),
+    z AS (SELECT m.*, o, CASE WHEN fails = '' THEN 9 ELSE 1 + length(regexp_extract(o, '^[^' || fails || 'Z]*')) END AS hit FROM m, o),
+    r AS (SELECT part, o, s, substr(o, s, 1) AS filter, coalesce(sum(n) FILTER (hit > s), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit = s), 0)::BIGINT AS removed,
+          coalesce(sum(n) FILTER (hit < s AND contains(fails, substr(o, s, 1))), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = substr(o, s, 1)), 0)::BIGINT AS unique_fails,
+          coalesce(sum(g) FILTER (hit = s), 0)::BIGINT AS good_lost, coalesce(sum(x) FILTER (hit = s), 0)::BIGINT AS toxic_lost FROM z, (SELECT unnest(range(1, 6))::INTEGER AS s) GROUP BY part, o, s)
+    SELECT part, o AS filter_order, s AS step, filter, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r"""
+
+
+def _manifest_sql() -> str:
+    """Level by level, and each document's fold step by step; crc32 bit by bit, as DuckDB has none."""
+    bits = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda b: [ascii(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce({bits}, lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, 4294967295), 4294967295)"
+    own = lambda chars: "sha256(" + " || ".join(f"coalesce(octet_length(encode({x}::VARCHAR)) || ':' || {x}::VARCHAR, '-')" for x in ("doc_id", "source", "lang", chars, "text")) + ")"
+    up = lambda rows: f"SELECT g, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {rows}) WHERE c > 1 GROUP BY g, lvl, pos // 2"
+    return rf"""
+    WITH RECURSIVE e AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS g, {own('n_chars')} AS leaf, CASE WHEN {crc} % 7 = 0 THEN {own('(n_chars + 1)')} END AS forged FROM documents),
+    l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM e),
+    n(g, lvl, pos, h) AS (SELECT g, 0, pos, leaf FROM l UNION ALL {up('n')}),
+    t AS MATERIALIZED (SELECT g, max(lvl) AS top, arg_max(h, lvl) AS subroot FROM n GROUP BY g),
+    q AS MATERIALIZED (SELECT g AS sub, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, subroot FROM t),
+    u(g, lvl, pos, h) AS (SELECT 0, 0, pos, subroot FROM q UNION ALL {up('u')}),
+    v AS MATERIALIZED (SELECT max(lvl) AS top, arg_max(h, lvl) AS root FROM u),
+    s AS (SELECT rid, lvl, pos >> lvl AS p, g FROM l JOIN t USING (g), (SELECT unnest(range(0, 64)) AS lvl) WHERE lvl < top),
+    x AS (SELECT rid, s.lvl AS k, s.p % 2 = 1 AS behind, coalesce(n.h, '') AS h FROM s LEFT JOIN n ON n.g = s.g AND n.lvl = s.lvl AND n.pos = xor(s.p, 1)
+          UNION ALL SELECT rid, 100 + k, (q.pos >> k) % 2 = 1, coalesce(u.h, '') FROM l JOIN q ON q.sub = l.g JOIN (SELECT unnest(range(0, 64)) AS k) ON true JOIN v ON k < v.top
+          LEFT JOIN u ON u.lvl = k AND u.pos = xor(q.pos >> k, 1)),
+    y AS MATERIALIZED (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY k) AS k, behind, h FROM x),
+    f(rid, k, a) AS (SELECT rid, 0, coalesce(forged, leaf) FROM l UNION ALL SELECT f.rid, f.k + 1, sha256(CASE WHEN behind THEN y.h || a ELSE a || y.h END) FROM f JOIN y ON y.rid = f.rid AND y.k = f.k + 1),
+    w AS (SELECT rid, arg_max(a, k) AS folded_root FROM f GROUP BY rid),
+    p AS (SELECT rid, sha256(string_agg(h, '' ORDER BY k)) AS proof FROM y GROUP BY rid)
+    SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM l JOIN t USING (g) JOIN v ON true JOIN w USING (rid) LEFT JOIN p USING (rid)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": _host_sql(),
     "op5_chat_snapshots": r"""
@@ -149,6 +212,8 @@ ORACLES: dict[str, str] = {
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN p USING (rid) LEFT JOIN t USING (rid)""",
     "op7_license_scan": _license_sql(),
+    "op12_filter_audit": _audit_sql(),
+    "op13_manifest": _manifest_sql(),
     "op10_near_duplicates": rf"""
     WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
     g AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS k FROM d WHERE len(w) > 0)),
