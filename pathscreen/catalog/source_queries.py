@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathscreen.catalog.mapping_queries import COLS, HEADERS, _SETS, _hit, cols, headers, norm_sql
 from pathscreen.catalog.registry import pick, ppf_sql, query, r, rounded, stream_sql, table, uniform_sql
-from pathscreen.catalog.views import base_sql, ctes, path_sql, v_px, v_ret
+from pathscreen.catalog.views import base_sql, ctes, path_sql, v_evt, v_px, v_ret
 from pathscreen.functions import names as N
 from pathscreen.functions.exprs import d
 from pathscreen.operators import metrics as M, scan
@@ -15,7 +15,7 @@ from pathscreen.operators.metrics import ID
 from pathscreen.session import checkpoint_dir
 from pathscreen.sources import files as FI, prices as P, samples, sinks
 from pathscreen.staging import stage
-from pathscreen.streaming import drawdown, prices as SP
+from pathscreen.streaming import drawdown, prices as SP, windows
 
 
 def fresh_folder(spark, name: str) -> str:
@@ -205,3 +205,46 @@ def live_tables(spark, folder, again=None):
         rows.where(part).write.mode("append").parquet(inbox)
         drawdown.stream_live_drawdown(spark.readStream.schema(rows.schema).parquet(inbox), live, late, mark).awaitTermination()
     return spark.read.parquet(live), spark.read.parquet(late)
+
+
+# SQL: a day is closed when it ends no later than the newest time less a day; the second arrival repeats three days that the first one closed.
+_CUT = "'2024-01-16 00:00:00'"
+_AGAIN = "ts >= '2024-01-03' AND ts < '2024-01-06'"
+
+
+def daily_streams(spark, folder):
+    """(input rows, closed days, watermark) after two arrivals; the second one repeats old rows."""
+    inbox, out, mark = (fresh_folder(spark, n) for n in ("inbox", "days", "mark"))
+    rows = stage(v_evt(spark, folder).select(ID, "ts", "ret"))
+    for seq, part in enumerate([f"ts < {_CUT}", f"ts >= {_CUT} OR {_AGAIN}"]):
+        rows.where(part).withColumn("seq", F.lit(seq)).write.mode("append").parquet(inbox)
+        source = spark.readStream.schema(f"{ID} long, ts timestamp_ntz, ret double, seq int").parquet(inbox)
+        windows.stream_daily_compound(source, out, mark).awaitTermination()
+    return spark.read.parquet(inbox), spark.read.parquet(out), windows.watermark(spark, mark)
+
+
+@query("stream_daily_compound", ctes("v_evt") + f"SELECT strategy_id, ts::DATE AS day, {r('product(1+ret)-1', 6, 'ret')}, count(*) AS rows FROM v_evt WHERE ts::DATE + 1 <= (SELECT max(ts) FROM v_evt) - INTERVAL 1 DAY GROUP BY 1,2")
+def stream_daily_compound(spark, folder):
+    return pick(daily_streams(spark, folder)[1], [ID, "day"], ["ret"], ["rows"])
+
+
+@query("stream_daily_dropped", ctes("v_evt") + f"SELECT strategy_id, ts, {r('ret', 6)} FROM v_evt WHERE {_AGAIN}")
+def stream_daily_dropped(spark, folder):
+    rows, days, mark = daily_streams(spark, folder)
+    day = F.to_date("ts")
+    out = windows.dropped_rows(rows.withColumn("day", day).withColumn("until", F.date_add(day, 1).cast("timestamp_ntz")), days, [ID, "day"], "until", mark)
+    return pick(out, [ID, "ts"], ["ret"])
+
+
+@query("stream_final_bars", ctes("v_px", al="SELECT asset_key, ts, close FROM v_px WHERE ts<'2000-06-01' UNION ALL SELECT asset_key, ts, close*1.02::DOUBLE FROM v_px WHERE ts>='2000-06-01'",
+                                 wm="SELECT max(ts) - INTERVAL 2 DAY w FROM v_px", w1="SELECT max(ts) - INTERVAL 2 DAY w FROM v_px WHERE ts<'2000-06-01'",
+                                 up="SELECT asset_key, ts, CASE WHEN ts > (SELECT w FROM w1) AND ts<'2000-06-01' THEN close*1.02::DOUBLE ELSE close END AS close FROM al") + f"SELECT asset_key, ts, {r('close')} FROM up WHERE ts <= (SELECT w FROM wm)")
+def stream_final_bars(spark, folder):
+    """Two arrivals; the second repeats days of the first: those still open are replaced, those already closed are dropped."""
+    inbox, store, closed, mark = (fresh_folder(spark, n) for n in ("inbox", "store", "closed", "mark"))
+    px = stage(v_px(spark, folder))
+    for seq, part in enumerate([px.where("ts < '2000-06-01'"), px.where("ts >= '2000-05-20'").withColumn("close", F.col("close") * d(1.02))]):
+        part.withColumn("seq", F.lit(seq)).write.mode("append").parquet(inbox)
+        source = spark.readStream.schema(spark.read.parquet(inbox).schema).parquet(inbox)
+        windows.stream_final_bars(source, store, closed, mark).awaitTermination()
+    return pick(P.read_store(spark, store), ["asset_key", "ts"], ["close"])
