@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("metric_queries", "benchmark_queries", "trade_queries", "score_queries", "match_queries", "mapping_queries", "source_queries", "loader_queries")
+_MODULES = ("metric_queries", "benchmark_queries", "trade_queries", "score_queries", "match_queries", "mapping_queries", "source_queries", "loader_queries", "tradelog_queries")
 
 
 def _load():

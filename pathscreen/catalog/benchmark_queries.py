@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathscreen.catalog.registry import pick, query, r, rounded, stream_sql, uniform_sql
-from pathscreen.catalog.views import benchmark_map, ctes, path_sql, v_beta, v_px, v_ret, v_trd
+from pathscreen.catalog.views import benchmark_map, both_map, ctes, path_sql, v_beta, v_both, v_logs, v_px, v_ret, v_trd
 from pathscreen.staging import stage
 from pathscreen.operators import benchmark as B, metrics as M, resample as R, scan
 
@@ -172,7 +172,12 @@ TMETA = """SELECT strategy_id, count(*) n, count(*)/((epoch_us(max(ts))-epoch_us
 def event_frame() -> str:
     tr = "SELECT strategy_id, trade_no, exit_ts ts, ret FROM v_trd"
     base = ctes("v_px", "v_map", "v_trd", v_tr=tr, sr=DEDUP.format(src="v_tr"), bars=BARS, win=WIN, ss=SIDE_S, aa=SIDE_A).rstrip()
-    return base + f""", tm AS ({TMETA}), eb AS (SELECT * FROM (SELECT strategy_id, ts, close, row_number() OVER (PARTITION BY strategy_id ORDER BY ts) bar, count(*) OVER (PARTITION BY strategy_id) bars FROM aa) WHERE bars>=30),
+    return base + event_ctes("v_trd", "v_tr")
+
+
+def event_ctes(trd: str, rows: str) -> str:
+    """From both sides of the windows (ss, aa) to the control es; ``trd``: the trades, ``rows``: the returns whose number per year counts."""
+    sql = f""", tm AS ({TMETA}), eb AS (SELECT * FROM (SELECT strategy_id, ts, close, row_number() OVER (PARTITION BY strategy_id ORDER BY ts) bar, count(*) OVER (PARTITION BY strategy_id) bars FROM aa) WHERE bars>=30),
       el AS (SELECT strategy_id, max(ts) last_ts, max(bars) bars, max_by(close, bar) last_close FROM eb GROUP BY 1),
       tv AS (SELECT v.strategy_id, trade_no, exit_ts, exit_ts-entry_ts hold, events, el.last_ts, el.bars, el.last_close FROM v_trd v JOIN (SELECT strategy_id, count(*) events FROM v_trd WHERE entry_ts<=exit_ts GROUP BY 1) e USING (strategy_id) JOIN el USING (strategy_id) WHERE entry_ts<=exit_ts AND events>=8),
       tr2 AS (SELECT tv.*, least(greatest((SELECT count(*) FROM eb WHERE eb.strategy_id=tv.strategy_id AND eb.ts<=tv.last_ts-tv.hold),1),tv.bars-1) room, {stream_sql('tv.strategy_id', R.SEED, R.SALT_EVENTS)} sk FROM tv),
@@ -183,6 +188,7 @@ def event_frame() -> str:
       ec AS (SELECT ef.strategy_id, {CAL.format(a='ef.')} calmar, oc strat_calmar FROM ef JOIN tm USING (strategy_id) JOIN (SELECT eo.strategy_id, {CAL.format(a='eo.')} oc FROM eo JOIN tm USING (strategy_id) WHERE eo.n>=3) USING (strategy_id)),
       es AS (SELECT strategy_id, 1.0::DOUBLE exposure, max(strat_calmar) strat_calmar, quantile_cont(calmar,0.5) random_calmar_p50, quantile_cont(calmar,0.75) random_calmar_p75,
         quantile_cont(calmar,0.95) random_calmar_p95, avg((calmar>=strat_calmar)::INT::DOUBLE) random_p, count(*) random_sims FROM ec GROUP BY 1)"""
+    return sql.replace("v_trd", trd).replace("FROM v_tr GROUP", f"FROM {rows} GROUP")
 
 
 @query("random_control_events", event_frame().replace("tm.n", "tm.n") + " SELECT es.strategy_id, random_sims, events AS random_events, " + ", ".join(r(c) for c in _RC_COLS) +
@@ -196,3 +202,27 @@ def random_control_events(spark, folder):
         ID, M.ppy_expr(F.col("_n"), "_s", "_e").alias("ppy"))
     out = R.random_control_events(t, B.strategy_side(s, w), B.asset_side(B.asset_bars(px), w), ppy)
     return pick(out, [ID, "random_sims", "random_events"], _RC_COLS)
+
+
+# --- both kinds in one batch -----------------------------------------------------------------------
+def mixed_frame() -> str:
+    """Trade logs by the event control, the rest by the bar control, as rs."""
+    base = ctes("v_px", "both_map", "v_both", sr=DEDUP.format(src="v_both"), bars=BARS, win=WIN.replace("v_map", "both_map"), ss=SIDE_S, aa=SIDE_A, jr=JOINED).rstrip()
+    own = "SELECT strategy_id, {} method, " + ", ".join(_RC_COLS) + ", random_sims, {} random_events FROM {}"
+    bars = RCB[len(frame()):].replace("rs AS (", "rb AS (")
+    both = own.format("'event_window'", "events", "es JOIN (SELECT strategy_id, max(events) events FROM tf GROUP BY 1) USING (strategy_id)") + " UNION ALL " + own.format("'bar_long_flat'", "0::BIGINT", "rb WHERE strategy_id NOT IN (SELECT strategy_id FROM es)")
+    return base + event_ctes("v_logs", "sr") + bars + f", rs AS ({both})"
+
+
+def mixed_control(ret, px, mp, logs, bars, joined):
+    w = stage(B.overlap_windows(ret, px, mp))
+    ppy = ret.groupBy(ID).agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_s"), F.max("ts").alias("_e")).select(ID, M.ppy_expr(F.col("_n"), "_s", "_e").alias("ppy"))
+    return R.random_control(logs.select(ID), logs, B.strategy_side(ret, w), B.asset_side(bars, w), joined, ppy)
+
+
+@query("random_control", mixed_frame() + " SELECT strategy_id, method, random_sims, random_events, " + ", ".join(r(c) for c in _RC_COLS) + " FROM rs")
+def random_control(spark, folder):
+    ret, px, mp, logs = stage(v_both(spark, folder)), stage(v_px(spark, folder)), both_map(spark, folder), stage(v_logs(spark, folder))
+    bars = stage(B.asset_bars(px))
+    joined = stage(B.bar_returns(ret, bars, B.overlap_windows(ret, px, mp)))
+    return pick(mixed_control(ret, px, mp, logs, bars, joined).fillna(0, ["random_events"]), [ID, "method", "random_sims", "random_events"], _RC_COLS)

@@ -220,7 +220,7 @@ MEDS = "SELECT file, (u%4)*9.0::DOUBLE+0.3 AS median_abs FROM cn GROUP BY file,
 def detect_trade_log(spark, folder):
     c = cols(spark, folder)
     med = c.select("file", ((F.col("u") % 4) * d(9) + d(0.3)).alias("median_abs")).distinct()
-    return MP.detect_trade_log(c, medians=med)
+    return MP.detect_trade_log(c, medians=med).select("file", "entry", "exit", "event", "pnl", "event_log", "unit")
 
 
 # --- checks ----------------------------------------------------------------------------------------

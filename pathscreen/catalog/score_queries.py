@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathscreen.catalog import benchmark_queries as BQ, metric_queries as MQ
 from pathscreen.catalog.registry import cdf_sql, pick, query, r, rounded
-from pathscreen.catalog.views import base_sql, benchmark_map, path_sql, psr_sql, v_beta, v_px
+from pathscreen.catalog.views import LOGS, base_sql, benchmark_map, both_map, path_sql, psr_sql, v_beta, v_both, v_logs, v_px
 from pathscreen.operators import benchmark as B, metrics as M, resample as R, scan, scoring as S, triage as T
 from pathscreen.operators.metrics import ID
 from pathscreen.plans import dims
@@ -37,6 +37,17 @@ def scored(spark, folder):
     return score, joined, p
 
 
+def scored_both(spark, folder):
+    """Score rows of a batch of bar returns and of trade logs, each with the control of its kind."""
+    ret, px, mp, logs = stage(v_both(spark, folder)), stage(v_px(spark, folder)), both_map(spark, folder), stage(v_logs(spark, folder))
+    p = stage(M.path(ret))
+    bars = stage(B.asset_bars(px))
+    joined = stage(B.bar_returns(ret, bars, B.overlap_windows(ret, px, mp)))
+    control = BQ.mixed_control(ret, px, mp, logs, bars, joined)
+    facts = meta(ret).withColumn("caliber", F.when(F.col(ID) >= LOGS, "closed_trade"))
+    return S.score_unified(S.feature_table(p), facts, dims.profiles(spark), B.compare(ret, px, mp, bars=bars), control)
+
+
 _SCORED: dict = {}
 
 
@@ -82,9 +93,10 @@ def names_sql(*pairs) -> str:
     return "coalesce(array_to_string([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in pairs) + "], '|'), '')"
 
 
-def score_sql() -> str:
+def score_sql(control: str = BQ.RCB, log: str = "false") -> str:
+    """``control``: the clauses up to the control rs; ``log``: whether a strategy's record is a trade log."""
     prof = ", ".join(str(p).replace('"', "'") for p in dims.PROFILES)
-    parts = BQ.RCB + f", sfold AS ({BQ.fold_sql('ss')}), afold AS ({BQ.fold_sql('aa')}), cmp AS ({BQ.CMP})"
+    parts = control + f", sfold AS ({BQ.fold_sql('ss')}), afold AS ({BQ.fold_sql('aa')}), cmp AS ({BQ.CMP})"
     parts += f", p AS ({path_sql('sr')}), b AS ({base_sql('sr')}), q AS ({psr_sql('b')})"
     parts += ", md AS (SELECT strategy_id, least(0,min(dd)) mdd FROM p GROUP BY 1)"
     parts += f", tl AS ({on(MQ._TAIL, 'sr')}), dk AS ({on(MQ._DROP, 'sr')}), m AS ({on(MQ._MON, 'sr')}), rc0 AS ({MQ._REC}), bk AS ({MQ._BLK}), ac AS ({MQ._AC}), ho AS ({MQ._HO})"
@@ -108,7 +120,7 @@ def score_sql() -> str:
     , f2 AS (SELECT *, 65*least(1.5*recurrence,1)*(1-0.5::DOUBLE*pen)+35*(CASE WHEN pen>0 THEN keep ELSE 1 END) rob,
        CASE WHEN n>=150 THEN 50*bpf+50*(CASE WHEN z>1.64::DOUBLE AND sr_ho<0 THEN greatest(0,1-(z-1.64::DOUBLE)/3) WHEN z>1.64::DOUBLE THEN greatest(0.5::DOUBLE,1-(z-1.64::DOUBLE)/6) ELSE 1 END) END cons,
        n>=150 AND z>1.64::DOUBLE AND sr_ho<0 overfit,
-       (ac>0.30::DOUBLE)::INT+(sharpe>absurd)::INT+(win_rate>0.9::DOUBLE AND abs(mdd)<0.03::DOUBLE)::INT tg,
+       (ac>0.30::DOUBLE AND NOT ({log}))::INT+(sharpe>absurd)::INT+(win_rate>0.9::DOUBLE AND abs(mdd)<0.03::DOUBLE)::INT tg,
        z0-{MQ.best_z_sql('nt')} dz, round_even(eff_n,1) en, 60*(0.5::DOUBLE+0.5::DOUBLE*tanh(cal_alpha/2))+40*(0.5::DOUBLE+0.5::DOUBLE*least(greatest(dd_reduction,-1),1)) edge_score FROM f1)
     , f3 AS (SELECT *, {cdf_sql('dz')} dsr, CASE WHEN tg=0 THEN 99 ELSE greatest(5,100-35*tg) END plaus,
        65*{sat_sql('sharpe', 'sharpe50')}+35*{sat_sql('sortino', 'sortino50')} rq0,
@@ -118,15 +130,15 @@ def score_sql() -> str:
     , f5 AS (SELECT *, least(CASE WHEN tg>0 THEN least(rq0,50) ELSE rq0 END,99) rq1, least(CASE WHEN tg>0 THEN least(cr0,28) ELSE cr0 END,99) cr1, least(rk0,99) rk1 FROM f4)
     , f6 AS (SELECT *, {disp_sql('rq1')} return_quality, {disp_sql('cr1')} credibility, {disp_sql('rk1')} risk FROM f5)
     , f7 AS (SELECT *, round_even(least(greatest(0.35::DOUBLE*return_quality+0.4::DOUBLE*credibility+0.25::DOUBLE*risk-(CASE WHEN nt>1 THEN least(18,3*log10(nt)) ELSE 0 END),0),99),1) uncapped,
-       n<n_min OR span_years<1 OR en<5 sh,
+       (n<n_min AND NOT ({log})) OR span_years<1 OR en<5 sh,
        CASE WHEN edge_score IS NULL THEN CASE WHEN psr<0.9::DOUBLE OR bootstrap_p5<0 THEN 'luck_unclear' ELSE 'not_evaluated' END WHEN edge_score<40 THEN 'lost' WHEN random_p>0.2::DOUBLE THEN 'random_fail'
          WHEN random_p IS NULL THEN 'hold_only' WHEN edge_score<50 OR random_p>0.05::DOUBLE THEN 'marginal' ELSE 'beat' END light FROM f6)
     , f8 AS (SELECT *, {names_sql(('fwd', 'FORWARD_LOOKING_INPUT'), ('cagr<=0', 'NEGATIVE_RETURN'), ('sh', 'INSUFFICIENT_SAMPLE'), ('oos_cagr<=0', 'OOS_NEGATIVE_RETURN'), ("light='lost'", 'UNDERPERFORMS_HOLD_RISKADJ'), ("light='random_fail'", 'RANDOM_CONTROL_NOT_BEATEN'), ('nt>1 AND dsr<0.5', 'DSR_FAIL'))} hard,
        {names_sql(("light='marginal'", 'RANDOM_CONTROL_WEAK_EDGE'), ("light='hold_only'", 'RANDOM_CONTROL_UNAVAILABLE'), ("light='luck_unclear'", 'EDGE_HARD_TO_DISTINGUISH_FROM_LUCK'), ("light='not_evaluated'", 'EDGE_NOT_EVALUATED'), ('nt>1 AND dsr>=0.5 AND dsr<0.95', 'DSR_OVERFIT_RISK'))} soft,
        {names_sql(('cagr>0 AND NOT sh AND span_years<2', 'SHORT_TRACK_RECORD'), ('cagr>0 AND NOT sh AND span_years>=2 AND en<10', 'LOW_EFFECTIVE_SAMPLE'))} expe,
-       {names_sql(('nt>1', 'MULTIPLE_TESTING_PENALTY'), ('ac>0.30::DOUBLE', 'STALE_OR_INTERPOLATED'), ('sharpe>absurd', 'SHARPE_TOO_GOOD'), ('win_rate>0.9::DOUBLE AND abs(mdd)<0.03::DOUBLE', 'NEAR_MONOTONIC'), ('tg>0', 'TOO_GOOD_TO_BE_TRUE'), ('fwd', 'FORWARD_LOOKING_INPUT'),
+       {names_sql(('nt>1', 'MULTIPLE_TESTING_PENALTY'), (f'ac>0.30::DOUBLE AND NOT ({log})', 'STALE_OR_INTERPOLATED'), ('sharpe>absurd', 'SHARPE_TOO_GOOD'), ('win_rate>0.9::DOUBLE AND abs(mdd)<0.03::DOUBLE', 'NEAR_MONOTONIC'), ('tg>0', 'TOO_GOOD_TO_BE_TRUE'), ('fwd', 'FORWARD_LOOKING_INPUT'),
          ('(span_years>=1.5 AND cagr>1) OR calmar>10 OR growth>50 OR max_month>1', 'BACKGROUND_REQUIRED'), ('span_years>=1.5 AND cagr>1', 'BACKGROUND_CAGR'), ('calmar>10', 'BACKGROUND_CALMAR'), ('growth>50', 'BACKGROUND_GROWTH'), ('max_month>1', 'BACKGROUND_EXTREME_MONTH'),
-         ('cagr<=0', 'NEGATIVE_RETURN'), ('sh', 'INSUFFICIENT_SAMPLE'), ('oos_cagr<=0', 'OOS_NEGATIVE_RETURN'), ("light='lost'", 'UNDERPERFORMS_HOLD_RISKADJ'), ("light='random_fail'", 'RANDOM_CONTROL_NOT_BEATEN'), ("light='marginal'", 'RANDOM_CONTROL_WEAK_EDGE'),
+         ('cagr<=0', 'NEGATIVE_RETURN'), ('sh', 'INSUFFICIENT_SAMPLE'), (f'({log}) AND NOT sh AND (n<100 OR (CASE WHEN span_years>0 THEN n/span_years ELSE n END)<50)', 'LOW_FREQUENCY'), ('oos_cagr<=0', 'OOS_NEGATIVE_RETURN'), ("light='lost'", 'UNDERPERFORMS_HOLD_RISKADJ'), ("light='random_fail'", 'RANDOM_CONTROL_NOT_BEATEN'), ("light='marginal'", 'RANDOM_CONTROL_WEAK_EDGE'),
          ("light='hold_only'", 'RANDOM_CONTROL_UNAVAILABLE'), ("light='luck_unclear'", 'EDGE_HARD_TO_DISTINGUISH_FROM_LUCK'), ('overfit', 'OVERFIT_SUSPECT_HOLDOUT'), ('nt>1 AND dsr<0.5', 'DSR_FAIL'), ('nt>1 AND dsr>=0.5 AND dsr<0.95', 'DSR_OVERFIT_RISK'),
          ('cagr>0 AND NOT sh AND span_years<2', 'SHORT_TRACK_RECORD'), ('cagr>0 AND NOT sh AND span_years>=2 AND en<10', 'LOW_EFFECTIVE_SAMPLE'))} flags FROM f7)
     , f9 AS (SELECT *, round_even(least(uncapped, CASE WHEN tg>0 OR hard<>'' THEN 59 ELSE least(CASE WHEN soft<>'' THEN 87 ELSE 99 END, CASE WHEN expe<>'' THEN 79 ELSE 99 END) END),1) display,
@@ -171,6 +183,13 @@ def score_unified(spark, folder):
                     rounded("dsr").alias("dsr"), rounded("random_p").alias("random_p"))
 
 
+@query("score_both_kinds", score_sql(BQ.mixed_frame(), f"strategy_id>={LOGS}") + """SELECT sx.strategy_id, rs.method AS random_method, coalesce(rs.random_events, 0) AS random_events, uncapped, display, judgement, grade, tier, light AS edge_light, sh AS sample_hard, evidence_status, headline, flags,
+   array_to_string(list_filter([hard, soft, expe], lambda x: x<>''), '|') cap_reasons, round(sx.random_p,6)+0.0::DOUBLE random_p FROM sx LEFT JOIN rs ON rs.strategy_id=sx.strategy_id""")
+def score_both_kinds(spark, folder):
+    return scored_both(spark, folder).fillna(0, ["random_events"]).select(ID, "random_method", "random_events", "uncapped", "display", "judgement", "grade", "tier", "edge_light", "sample_hard", "evidence_status", "headline",
+                                             F.array_join("flags.code", "|").alias("flags"), F.array_join("cap_reasons", "|").alias("cap_reasons"), rounded("random_p").alias("random_p"))
+
+
 TRI = SCORE + f""", dp AS (SELECT strategy_id, corr(ret,aret) corr, covar_samp(ret,aret)/var_samp(aret) beta FROM jr GROUP BY 1 HAVING count(*)>=40 AND var_samp(aret)>0),
    t0 AS (SELECT sx.*, dp.corr, dp.beta, CASE WHEN abs(dp.corr)<0.25 THEN 'low' WHEN abs(dp.corr)<0.55 THEN 'medium' WHEN dp.corr IS NULL THEN NULL ELSE 'high' END dependency,
      (CASE WHEN n>=500 THEN 2 WHEN n>=120 THEN 1 ELSE 0 END)+(CASE WHEN span_years>=2 THEN 2 WHEN span_years>=1 THEN 1 ELSE 0 END)+(edge_score IS NOT NULL)::INT+1 pts FROM sx LEFT JOIN dp USING (strategy_id)),

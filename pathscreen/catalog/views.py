@@ -58,6 +58,24 @@ def v_trd(spark, folder) -> DataFrame:
                        ((F.col("l_discount") - F.col("l_tax")) * d(0.5)).alias("ret"), F.col("p_brand").alias("symbol"))
 
 
+LOGS = 100  # added to the number of a strategy whose record is its trade log
+
+
+def v_logs(spark, folder) -> DataFrame:
+    return v_trd(spark, folder).withColumn("strategy_id", F.col("strategy_id") + LOGS)
+
+
+def v_both(spark, folder) -> DataFrame:
+    """Bar returns of some strategies and closed trades of others, one return per time."""
+    logs = v_logs(spark, folder).groupBy("strategy_id", F.col("exit_ts").alias("ts")).agg((F.product(d(1) + F.col("ret")) - d(1)).alias("ret"))
+    return v_beta(spark, folder).unionByName(logs)
+
+
+def both_map(spark, folder) -> DataFrame:
+    plain = benchmark_map(spark, folder)
+    return plain.unionByName(plain.withColumn("strategy_id", F.col("strategy_id") + LOGS))
+
+
 def v_evt(spark, folder) -> DataFrame:
     return table(spark, folder, "events").select(
         F.col("user_id").alias("strategy_id"), "ts", "event_id", ((F.col("value") - F.lit(45)) / F.lit(1000)).alias("ret"))
@@ -88,13 +106,16 @@ SQL = {
         o_orderdate entry_ts, l_shipdate exit_ts, (l_discount-l_tax)*CAST(0.5 AS DOUBLE) ret, p_brand symbol
         FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN supplier ON l_suppkey=s_suppkey JOIN part ON l_partkey=p_partkey
         WHERE l_shipdate>=o_orderdate AND l_shipdate<=o_orderdate + INTERVAL '90' DAY""",
+    "v_logs": f"SELECT strategy_id+{LOGS} strategy_id, trade_no, entry_ts, exit_ts, ret, symbol FROM v_trd",
+    "v_both": "SELECT strategy_id, ts, ret FROM v_beta UNION ALL SELECT strategy_id, exit_ts, product(1+ret)-1 FROM v_logs GROUP BY 1, 2",
+    "both_map": f"SELECT * FROM v_map UNION ALL SELECT strategy_id+{LOGS}, asset_key FROM v_map",
     "v_evt": """SELECT user_id strategy_id, ts, event_id, (value-45)/1000 ret FROM events""",
     "v_txt": """SELECT concat('f', CAST(user_id AS VARCHAR)) file, event_id row_no,
         CASE WHEN user_id%3=0 THEN concat(CAST(CAST((value-45)/10 AS DECIMAL(12,3)) AS VARCHAR), '%')
              WHEN user_id%3=1 THEN replace(CAST(CAST((value-45)/1000 AS DECIMAL(12,5)) AS VARCHAR), '.', ',')
              ELSE CAST(CAST((value-45)/1000 AS DECIMAL(12,5)) AS VARCHAR) END txt FROM events""",
 }
-_NEEDS = {"v_px": ["v_dayret"], "v_beta": ["v_ret", "v_dayret"]}
+_NEEDS = {"v_px": ["v_dayret"], "v_beta": ["v_ret", "v_dayret"], "v_logs": ["v_trd"], "v_both": ["v_beta", "v_logs"], "both_map": ["v_map"]}
 
 
 def path_sql(src: str, order: str = "ts", keys: str = "strategy_id") -> str:

@@ -33,6 +33,8 @@ EXIT_HINTS = ("exit_time", "exit_date", "exit_dt", "exit", "close_time", "closed
 PCT_HINTS = ("net_pnl_pct", "pnl_pct", "pnl_percent", "return_pct", "ret_pct", "profit_pct", "pct_return")
 DEC_HINTS = ("profit_ratio", "return_ratio", "pnl_ratio", "net_pnl", "pnl", "return", "returns", "ret", "profit", "pl")
 EVENT_HINTS = ("type", "signal", "direction", "side")
+TRADE_HINTS = ("trade_number", "trade_id", "trade", "id")
+SYMBOL_HINTS = ("symbol", "ticker", "asset", "pair", "instrument")
 NOT_PNL = ("cum", "cumulative", "total", "mfe", "mae", "fee", "comm", "commission", "running")
 FORWARD_MARKERS = ("leaky", "lookahead", "look_ahead", "future")
 FORWARD_PREFIXES = ("future_", "forward_", "target_", "next_")

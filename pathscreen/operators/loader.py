@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from pathscreen.functions import names as N
-from pathscreen.operators import mapping as MP, metrics as M, scan
+from pathscreen.operators import mapping as MP, metrics as M, scan, trades as T
 from pathscreen.operators.metrics import ID
 from pathscreen.staging import stage
 
@@ -29,6 +29,25 @@ class Loaded:
     rejects: DataFrame
 
 
+@dataclass
+class TradeLogs:
+    """trades(strategy_id, trade_no, entry_ts, exit_ts, ret); meta, one row per loaded log; warnings and rejects (strategy_id, code)."""
+
+    trades: DataFrame
+    meta: DataFrame
+    warnings: DataFrame
+    rejects: DataFrame
+
+
+@dataclass
+class Uploads:
+    """What came out of a batch of files of both kinds; ``rejects`` names every file that is in neither."""
+
+    returns: Loaded
+    logs: TradeLogs
+    rejects: DataFrame
+
+
 def typed_cells(cells: DataFrame) -> DataFrame:
     """cells(file, row_no from 0, col_no, name, txt) with ``norm``, ``value``, ``is_pct`` and ``ts`` per cell, by the rules of its column."""
     named = cells.withColumn("norm", N.normalize_column_name(F.col("name")))
@@ -57,12 +76,19 @@ def load_returns(cells: DataFrame) -> Loaded:
     """Return series of all files at once; runs jobs that stage the typed cells and the chosen columns.
 
     cells: file, row_no (0 is the first data row), col_no, name, txt, blank cells left out. Rejects: few_columns,
-    trade_log (has entry and exit columns; see ``operators.trades``), no_date, no_numeric, ambiguous_value, short_series,
+    trade_log (has entry and exit columns; see ``load_trade_logs``), no_date, no_numeric, ambiguous_value, short_series,
     total_loss, non_positive_equity, few_returns, non_finite, implausible_growth. Warnings: percent, rows_dropped,
     zero_span, forward_looking and the unit codes of ``mapping.unit_sanity``. Of rows with one time the last stays.
     """
+    return _returns(*_typed(cells))
+
+
+def _typed(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     typed = stage(typed_cells(cells))
-    profile = stage(column_profile(typed))
+    return typed, stage(column_profile(typed))
+
+
+def _returns(typed: DataFrame, profile: DataFrame) -> Loaded:
     narrow = profile.where("cols < 2").select("file").distinct()
     logs = MP.detect_trade_log(profile.where("cols >= 2").select("file", "col_no", "norm")).select("file")
     plain = profile.where("cols >= 2").join(logs, "file", "left_anti")
@@ -103,3 +129,83 @@ def load_returns(cells: DataFrame) -> Loaded:
     notes = F.array_compact(F.array(F.when(F.col("is_pct"), F.lit("percent")), F.when(F.col("n_dropped") > 0, F.lit("rows_dropped")), F.when(F.col("span_years") <= 0, F.lit("zero_span"))))
     warnings = meta.select(ID, F.explode(notes).alias("code")).unionByName(units).unionByName(ahead.join(meta, ID, "left_semi"))
     return Loaded(series, meta.drop("is_pct"), warnings, rejects)
+
+
+def load_trade_logs(cells: DataFrame) -> TradeLogs:
+    """Closed trades of all files that are trade logs: an entry and an exit column, or one time column beside a column of event words.
+
+    ``cells`` as for ``load_returns``; other files are left alone. Of event rows the exits are trades, and the first entry row of the same trade gives the entry time
+    (if 70% of the exits find one); without any exit row all rows are trades. The unit of the result comes from the column's name, percent signs, or else the
+    median of its cells. Times and numbers that do not parse drop their row. Rejects: absolute_only, unit_refused (a median above 20 is money or percent), few_trades (fewer than 3),
+    non_finite, implausible_growth. Warnings: percent, decimal, unit_guessed, unit_ambiguous, clipped (returns at or below -100% are -99.9%), event_log, rows_dropped, zero_span, forward_looking.
+    """
+    return _trade_logs(*_typed(cells))
+
+
+def load_uploads(cells: DataFrame) -> Uploads:
+    """Files of both kinds at once; the cells are typed once. A file is in the returns, in the logs or in the rejects."""
+    typed, profile = _typed(cells)
+    returns, logs = _returns(typed, profile), _trade_logs(typed, profile)
+    return Uploads(returns, logs, returns.rejects.where("code <> 'trade_log'").unionByName(logs.rejects))
+
+
+def _log_roles(typed: DataFrame, columns: DataFrame) -> DataFrame:
+    """One row per trade log: its columns and unit. The event column is the first whose words tell exits from entries, else the first by name."""
+    names = MP.detect_trade_log(columns)
+    own = names.join(columns.drop("rows", "cols"), (names.file == columns.file) & (F.col("col_no") == F.col("pnl_col"))).select(names.file, "median_abs", F.col("is_pct").alias("signed"))
+    roles = MP.detect_trade_log(columns, medians=own.select("file", "median_abs")).join(own.select("file", "signed"), "file", "left")
+    events = columns.where(N.any_hint(F.col("norm"), N.EVENT_HINTS)).select("file", "col_no").join(roles.where("event_log").select("file"), "file")
+    text = F.lower(F.trim("txt"))
+    words = typed.join(events, ["file", "col_no"]).groupBy("file", "col_no").agg(
+        F.bool_or(text.rlike(T.EXIT_WORDS)).alias("exits"), F.bool_or(text.rlike(T.ENTRY_WORDS)).alias("entries"), F.bool_or(~text.rlike(T.ENTRY_WORDS)).alias("others"))
+    best = words.groupBy("file").agg(F.min(F.struct((~(F.col("exits") | F.col("entries") & F.col("others"))).alias("mute"), "col_no"))["col_no"].alias("event_best"))
+    hinted = lambda hints, name: MP.match_hint(columns, hints).select("file", F.col("col_no").alias(name))
+    roles = roles.join(best, "file", "left").join(hinted(N.TRADE_HINTS, "trade_col"), "file", "left").join(hinted(N.SYMBOL_HINTS, "symbol_col"), "file", "left")
+    percent = F.coalesce("signed", F.lit(False)) | F.col("unit").startswith("percent")
+    return roles.withColumn("event_col", F.coalesce("event_best", "event_col")).withColumn("percent", percent).withColumn("divide", percent & ~F.coalesce("signed", F.lit(False))).drop("event_best")
+
+
+def _trade_logs(typed: DataFrame, profile: DataFrame) -> TradeLogs:
+    c = F.col
+    roles = stage(_log_roles(typed, profile.where("cols >= 2")))
+    usable = roles.where("unit NOT IN ('absolute_only', 'refused')")
+    refused = roles.where("unit IN ('absolute_only', 'refused')").select(c("file").alias(ID), F.when(c("unit") == "refused", "unit_refused").otherwise(c("unit")).alias("code"))
+
+    roles_of = ("entry_col", "exit_col", "pnl_col", "event_col", "trade_col", "symbol_col")
+    cells = typed.select("file", "row_no", "col_no", "txt", "value", "ts").join(usable.select("file", "event_log", "divide", *roles_of), "file")
+    cells = cells.where(F.greatest(*(F.coalesce((c("col_no") == c(r)).cast("int"), F.lit(0)) for r in roles_of)) == 1)
+    cell = lambda role, what: F.max(F.when(c("col_no") == c(role), c(what)))
+    rows = stage(cells.groupBy(c("file").alias(ID), "row_no", "event_log", c("divide").alias("is_pct")).agg(
+        cell("entry_col", "ts").alias("entry_ts"), cell("exit_col", "ts").alias("exit_ts"), cell("pnl_col", "value").alias("ret"), cell("event_col", "txt").alias("event"),
+        cell("trade_col", "txt").alias("trade_id"), cell("symbol_col", "txt").alias("symbol")))
+
+    events = rows.where("event_log").select(ID, "row_no", "is_pct", c("exit_ts").alias("ts"), "event", "ret", "symbol", F.coalesce("trade_id", F.concat(F.lit("\0"), c("row_no").cast("string"))).alias("trade_id"))
+    marked = T.event_masks(events)
+    marked = marked.join(marked.groupBy(ID).agg(F.bool_or("is_exit").alias("told")), ID)
+    marked = stage(marked.withColumn("is_exit", c("is_exit") | ~c("told")).withColumn("is_entry", c("is_entry") & c("told")))
+    paired = T.pair_first_entry(marked, kept=("row_no", "is_pct", "symbol"))
+    cols = [ID, (c("row_no") + 1).cast("long").alias("trade_no"), "entry_ts", "exit_ts", "ret", "is_pct", "symbol"]
+    raw = stage(rows.where("NOT event_log").select(*cols).unionByName(paired.select(*cols)))
+    trades, facts, few = T.load_trades(raw)
+    trades = stage(trades.drop("symbol"))
+    few = few.select(ID, "code").unionByName(_codes(usable.select("file").join(raw.where("exit_ts IS NOT NULL AND ret IS NOT NULL AND NOT isnan(ret)").select(c(ID).alias("file")).distinct(), "file", "left_anti"), "few_trades"))
+    wild = MP.equity_sanity(trades).where("code IS NOT NULL").select(ID, "code")
+    rejects = stage(refused.unionByName(few).unionByName(wild))
+    trades = trades.join(rejects, ID, "left_anti")
+
+    span = trades.groupBy(ID).agg(F.count(F.lit(1)).alias("n"), F.min("exit_ts").alias("start"), F.max("exit_ts").alias("end"))
+    used = marked.groupBy(ID).agg(F.sum(c("is_exit").cast("long")).alias("used"), F.sum((~c("is_exit")).cast("long")).alias("n_ignored"))
+    symbol = rows.groupBy(ID).agg(F.min_by("symbol", F.when(c("symbol").isNotNull(), c("row_no"))).alias("symbol"))
+    size = profile.groupBy(c("file").alias(ID)).agg(F.max("rows").alias("rows"))
+    named = roles.select(c("file").alias(ID), "event_log", "unit", "percent", c("pnl").alias("value_column"), c("exit").alias("date_column"))
+    meta = span.join(named, ID).join(size, ID).join(facts.select(ID, "clipped"), ID).join(symbol, ID, "left").join(used, ID, "left").join(T.holding_stats(trades).drop("n"), ID, "left")
+    meta = stage(meta.select(ID, F.lit("trade_log").alias("input_type"), F.lit("closed_trade").alias("caliber"), "value_column", "date_column", "symbol", "n",
+                             (F.coalesce("used", "rows") - c("n")).alias("n_dropped"), F.coalesce("n_ignored", F.lit(0)).alias("n_ignored"), "start", "end", M.span_years_expr("start", "end").alias("span_years"),
+                             M.ppy_expr(c("n"), "start", "end").alias("ppy"), F.lit("per-trade").alias("bar_freq"), "unit", "percent", "event_log", "clipped",
+                             F.coalesce("valid", F.lit(0)).alias("n_timed"), "holding_median", "holding_mean"))
+    ahead = MP.forward_looking_scan(profile.select("file", "col_no", "norm")).where("suspect").select(c("file").alias(ID), F.lit("forward_looking").alias("code"))
+    notes = F.array_compact(F.array(*(F.when(cond, F.lit(code)) for cond, code in (
+        (c("percent"), "percent"), (~c("percent"), "decimal"), (c("unit").isin("percent_guessed", "decimal_guessed", "decimal_ambiguous"), "unit_guessed"), (c("unit") == "decimal_ambiguous", "unit_ambiguous"),
+        (c("clipped") > 0, "clipped"), (c("event_log") & (c("n_ignored") > 0), "event_log"), (c("n_dropped") > 0, "rows_dropped"), (c("span_years") <= 0, "zero_span")))))
+    warnings = meta.select(ID, F.explode(notes).alias("code")).unionByName(ahead.join(meta, ID, "left_semi"))
+    return TradeLogs(trades.select(ID, "trade_no", "entry_ts", "exit_ts", "ret"), meta, warnings, rejects)

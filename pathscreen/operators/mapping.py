@@ -215,7 +215,7 @@ def forward_looking_scan(columns: DataFrame, name: str = "norm", file: str = "fi
 
 
 def detect_trade_log(columns: DataFrame, name: str = "norm", medians: DataFrame | None = None) -> DataFrame:
-    """Roles of a trade log per file: entry, exit, event and PnL column and how its unit is decided."""
+    """Roles of a trade log per file: entry, exit, event and PnL column (names and, as *_col, numbers) and how its unit is decided."""
     n = F.col(name)
 
     def ranked(hints, ok=None):
@@ -238,4 +238,5 @@ def detect_trade_log(columns: DataFrame, name: str = "norm", medians: DataFrame
     unit = first_when((c("pp").isNotNull(), "percent_by_name"), (c("pd").isNull(), "absolute_only"),
                       (c("pd.n").rlike("pct|percent"), "percent_by_name"), (F.contains(c("pd.n"), F.lit("ratio")), "decimal_by_name"),
                       (c("median_abs") > 20, "refused"), (c("median_abs") > 1, "percent_guessed"), (c("median_abs") > 0.5, "decimal_ambiguous"), (None, "decimal_guessed"))
-    return f.select("file", c("en.n").alias("entry"), c("ex.n").alias("exit"), c("ev.n").alias("event"), F.coalesce("pp.n", "pd.n").alias("pnl"), "event_log", unit.alias("unit"))
+    return f.select("file", c("en.n").alias("entry"), c("ex.n").alias("exit"), c("ev.n").alias("event"), F.coalesce("pp.n", "pd.n").alias("pnl"), "event_log", unit.alias("unit"),
+                    c("en.col_no").alias("entry_col"), c("ex.col_no").alias("exit_col"), c("ev.col_no").alias("event_col"), F.coalesce("pp.col_no", "pd.col_no").alias("pnl_col"))

@@ -273,3 +273,16 @@ def random_control_events(trades: DataFrame, strategy_rows: DataFrame, asset_row
     own = own.select(ID, d(1).alias("exposure"), "events", F.lit("event_window").alias("method"),
                      calmar_expr(cagr_expr(F.col("growth"), F.col("n"), F.col("ppy")), F.col("mdd")).alias("strat_calmar"))
     return _control_summary(rand, own, min_sims=32)
+
+
+def random_control(closed: DataFrame, trades: DataFrame, strategy_rows: DataFrame, asset_rows: DataFrame, joined: DataFrame, ppy: DataFrame, sims: int = 128, seed: int = SEED,
+                   cost_bps: float = 2.0, chunk: str = scan.CHUNK) -> DataFrame:
+    """One control per strategy, by its own kind: closed trade logs (``closed``: their strategy_id) against random entries, all others, and logs whose trades or
+    asset bars are too few for that, against random long/flat bars. Nobody is simulated twice.
+
+    Other arguments as of ``random_control_events`` and ``random_control_bars``; the rows of trade logs and of plain returns stand in the same tables.
+    """
+    logs = stage(closed.select(ID).distinct())
+    mine = lambda rows: rows.join(logs, ID, "left_semi")
+    events = stage(random_control_events(mine(trades), mine(strategy_rows), mine(asset_rows), ppy, sims, seed, chunk))
+    return events.unionByName(random_control_bars(joined.join(events.select(ID), ID, "left_anti"), sims, seed, cost_bps, chunk))

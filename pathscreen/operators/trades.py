@@ -24,10 +24,10 @@ def event_masks(events: DataFrame, event: str = "event") -> DataFrame:
         "exit_like", "entry_like", "_any_exit", "_any_entry")
 
 
-def pair_first_entry(marked: DataFrame, min_share: float = 0.7) -> DataFrame:
-    """Exit rows with the first entry time of their trade; dropped where under 70% of exits map."""
+def pair_first_entry(marked: DataFrame, min_share: float = 0.7, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Exit rows, with their columns ``kept``, and the first entry time of their trade; dropped where under 70% of exits map."""
     entries = marked.where("is_entry AND ts IS NOT NULL").groupBy(ID, "trade_id").agg(F.min("ts").alias("entry_ts"))
-    exits = marked.where("is_exit").select(ID, "trade_id", F.col("ts").alias("exit_ts"), "ret")
+    exits = marked.where("is_exit").select(ID, "trade_id", F.col("ts").alias("exit_ts"), "ret", *kept)
     rows = exits.join(entries, [ID, "trade_id"], "left")
     share = rows.groupBy(ID).agg(F.avg(F.col("entry_ts").isNotNull().cast("double")).alias("_share"))
     rows = rows.join(share, ID)
