@@ -89,10 +89,10 @@ DET = """SELECT *, CASE WHEN sym IS NOT NULL AND agree THEN 'symbol+corr' WHEN s
    CASE WHEN sym IS NOT NULL THEN 'high' WHEN fil IS NOT NULL AND agree THEN 'high' WHEN fil IS NOT NULL AND nc IS NOT NULL THEN 'medium' WHEN fil IS NOT NULL AND tov>=30 THEN 'low' WHEN fil IS NOT NULL THEN 'medium'
     WHEN abs(tc)>=0.6 AND mg>=0.1 THEN 'high' WHEN abs(tc)>=0.4 THEN 'medium' WHEN abs(tc)>=0.25 THEN 'low' ELSE 'none' END confidence
    FROM (SELECT nm.strategy_id, sk.asset_key sym, fk.asset_key fil, t.asset_key tk, t.corr tc, t.overlap tov, t.margin mg, n.corr nc, coalesce(abs(n.corr)>=0.3, false) agree FROM nm
-    LEFT JOIN (SELECT * FROM sk WHERE asset_key IN (SELECT asset_key FROM v_dayret)) sk USING (strategy_id) LEFT JOIN (SELECT * FROM fk WHERE asset_key IN (SELECT asset_key FROM v_dayret)) fk USING (strategy_id)
+    LEFT JOIN (SELECT sk.* FROM sk JOIN st USING (asset_key)) sk USING (strategy_id) LEFT JOIN (SELECT fk.* FROM fk JOIN st USING (asset_key)) fk USING (strategy_id)
     LEFT JOIN (SELECT * FROM rk WHERE rank=1) t USING (strategy_id) LEFT JOIN rk n ON n.strategy_id=nm.strategy_id AND n.asset_key=coalesce(sk.asset_key, fk.asset_key))"""
-DETQ = ctes("v_beta", **NK, fp=FP, rk=RK, de=DET)
-for _name in ("v_dayret", "v_beta", "fp", "rk"):  # each is read several times
+DETQ = ctes("v_beta", **NK, st="SELECT DISTINCT asset_key FROM v_dayret", fp=FP, rk=RK, de=DET)
+for _name in ("v_dayret", "v_beta", "st", "fp", "rk"):  # each is read several times
     DETQ = DETQ.replace(f"{_name} AS (", f"{_name} AS MATERIALIZED (", 1)
 BEST = "SELECT strategy_id, coalesce(sym, fil, CASE WHEN via='correlation' THEN tk END) asset_key, via, confidence FROM de"
 

@@ -1,13 +1,17 @@
 """Which asset did a strategy trade: names first, then correlation."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pathscreen.functions.exprs import d, first_when, pearson
+from pathscreen.functions.exprs import d, first_when
 from pathscreen.operators.benchmark import ASSET
 from pathscreen.operators.metrics import ID
+from pathscreen.staging import stage
 
 MIN_OVERLAP = 60
+BLOCK, BLOCK_DAYS = 256, 4096  # series and days of a dense matrix: 8 MB
 # Quote suffixes (longest match first) and timeframe suffixes.
 PAIR_SUFFIX = "|".join(("USDTPERP", "PERPUSDT", "USDT", "USDC", "BUSD", "PERP", "USD"))
 TIMEFRAME = "|".join(("MINS", "MIN", "M", "H", "D", "W"))
@@ -50,16 +54,54 @@ def semi_available(keys: DataFrame, store: DataFrame) -> DataFrame:
     return keys.join(store.select(ASSET).distinct(), ASSET, "left_semi")
 
 
-def fingerprints(daily: DataFrame, asset_daily: DataFrame, min_overlap: int = MIN_OVERLAP) -> DataFrame:
-    """Correlation of every strategy with every asset over common days.
+def _block_sums(strategies: pd.DataFrame, assets: pd.DataFrame, kinds: dict) -> pd.DataFrame:
+    """Sums over the common days of every strategy with every asset of two blocks: products of dense (series x days) matrices."""
+    out = {name: pd.Series(dtype=kind) for name, kind in kinds.items()}
+    if len(strategies) == 0 or len(assets) == 0:
+        return pd.DataFrame(out)
+    first = min(strategies["day"].min(), assets["day"].min())
+    width = int(max(strategies["day"].max(), assets["day"].max()) - first + 1)
 
-    An equi-join on the day; the asset side is broadcast only when it is small. Correlations are
-    combined before the shuffle, which then carries one row per (strategy, asset) and task.
+    def dense(rows: pd.DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, names = pd.factorize(rows[key])
+        values, there = np.zeros((len(names), width)), np.zeros((len(names), width))
+        place = (at, rows["day"].to_numpy() - first)
+        values[place], there[place] = rows[value], 1.0
+        return names, values, there
+
+    ids, x, mx = dense(strategies, ID, "ret")
+    keys, y, my = dense(assets, ASSET, "aret")
+    sums = {"n": mx @ my.T, "x": x @ my.T, "y": mx @ y.T, "xx": (x * x) @ my.T, "yy": mx @ (y * y).T, "xy": x @ y.T}
+    met = np.nonzero(sums["n"])
+    return pd.DataFrame({ID: ids[met[0]], ASSET: keys[met[1]], "n": sums["n"][met].astype(np.int64), **{c: sums[c][met] for c in ("x", "y", "xx", "yy", "xy")}})
+
+
+def fingerprints(daily: DataFrame, asset_daily: DataFrame, min_overlap: int = MIN_OVERLAP, block: int = BLOCK, block_days: int = BLOCK_DAYS) -> DataFrame:
+    """Correlation of every strategy with every asset over common days; both sides have one row per key and day.
+
+    Blocked matrix products: ``block`` strategies meet ``block`` assets over ``block_days`` days in one task, which multiplies their
+    dense matrices and overlap masks; sums over blocks of days are combined. A row moves once per block of the other side, not once per asset.
+    A series whose variance over the common days is below 1e-13 of its mean square counts as constant and has no correlation.
     """
-    a = asset_daily.select(ASSET, "day", "aret")
-    agg = daily.select(ID, "day", "ret").join(a, "day").groupBy(ID, ASSET).agg(
-        F.count(F.lit(1)).alias("overlap"), pearson("ret", "aret").alias("corr"), F.stddev_pop("ret").alias("_s"), F.stddev_pop("aret").alias("_a"))
-    return agg.where((F.col("overlap") >= min_overlap) & (F.col("_s") > 0) & (F.col("_a") > 0)).select(ID, ASSET, "overlap", "corr")
+    kind = dict(daily.dtypes)[ID]
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < d(float("inf"))) & F.col("day").isNotNull()
+    s = stage(daily.where(number("ret")).select(ID, F.unix_date("day").alias("day"), F.col("ret").cast("double").alias("ret")))
+    a = stage(asset_daily.where(number("aret")).select(ASSET, F.unix_date("day").alias("day"), F.col("aret").cast("double").alias("aret")))
+    parts = lambda rows, key: max(1, -(-rows.agg(F.approx_count_distinct(key)).first()[0] // block))
+    s_blocks, a_blocks = parts(s, ID), parts(a, ASSET)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    days = F.floor(F.col("day") / F.lit(block_days)).cast("int").alias("db")
+    s = s.select("*", own(ID, s_blocks).alias("sb"), days).withColumn("ab", every(a_blocks))
+    a = a.select("*", own(ASSET, a_blocks).alias("ab"), days).withColumn("sb", every(s_blocks))
+    kinds = {ID: "object" if kind == "string" else "int64", ASSET: "object", "n": "int64", **{c: "float64" for c in ("x", "y", "xx", "yy", "xy")}}
+    tile = ["sb", "ab", "db"]
+    sums = s.groupBy(*tile).cogroup(a.groupBy(*tile)).applyInPandas(lambda left, right: _block_sums(left, right, kinds), f"{ID} {kind}, {ASSET} string, n long, x double, y double, xx double, yy double, xy double")
+    t = sums.groupBy(ID, ASSET).agg(F.sum("n").alias("overlap"), *(F.sum(c).alias(c) for c in ("x", "y", "xx", "yy", "xy")))
+    spread = lambda one, two: F.col("overlap") * F.col(two) - F.col(one) * F.col(one)
+    varies = lambda one, two: spread(one, two) > d(1e-13) * F.col("overlap") * F.col(two)
+    corr = (F.col("overlap") * F.col("xy") - F.col("x") * F.col("y")) / (F.sqrt(spread("x", "xx")) * F.sqrt(spread("y", "yy")))
+    return t.where((F.col("overlap") >= min_overlap) & varies("x", "xx") & varies("y", "yy")).select(ID, ASSET, "overlap", F.least(d(1), F.greatest(d(-1), corr)).alias("corr"))
 
 
 def rank_corr(fp: DataFrame) -> DataFrame:
