@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pathscreen.functions.exprs import clip, d, INF, micros, MICROS_PER_DAY, NAN, pearson
-from pathscreen.operators import scan
+from pathscreen.operators import ranges, scan
 from pathscreen.operators.metrics import ID, TINY, calmar_expr, cagr_expr, ppy_expr
 
 ASSET = "asset_key"
@@ -68,12 +68,14 @@ def bar_returns(returns: DataFrame, bars: DataFrame, windows: DataFrame) -> Data
 
 def compare(returns: DataFrame, prices: DataFrame, mapping: DataFrame, *, bars: DataFrame | None = None,
             min_days: float = MIN_OVERLAP_DAYS, chunk: str = scan.CHUNK) -> DataFrame:
-    """One row per strategy: totals, CAGR, drawdown, Calmar on both sides and the risk-adjusted gaps."""
+    """One row per strategy: totals, CAGR, drawdown, Calmar on both sides and the risk-adjusted gaps.
+
+    The asset's bars are not copied per strategy (``ranges``); a strategy has one asset. Runs jobs."""
     returns = one_return_per_time(returns)
     bars = asset_bars(prices, chunk) if bars is None else bars
     w = overlap_windows(returns, prices, mapping, min_days)
     s = scan.fold_path(scan.chunk_folds(strategy_side(returns, w), [ID], ["ts"], "ret", chunk), [ID])
-    a = scan.fold_path(scan.chunk_folds(asset_side(bars, w), [ID], ["ts"], "ret", chunk), [ID])
+    a = ranges.window_folds(bars.withColumnRenamed("aret", "ret"), w, ASSET, ID, "ret", chunk)
     s = s.where("n >= 3").select(ID, F.col("growth").alias("s_growth"), F.col("mdd").alias("strat_mdd"))
     a = a.where("n >= 2").select(ID, F.col("growth").alias("b_growth"), F.col("mdd").alias("bnh_mdd"))
     out = w.join(s, ID).join(a, ID)
