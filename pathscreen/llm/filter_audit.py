@@ -15,6 +15,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathscreen.llm.common import words
+from pathscreen.llm.linking import joined_apart
 from pathscreen.staging import stage
 
 FILTERS = "ABCDE"
@@ -83,13 +84,13 @@ def document_facts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     E: a row with a smaller doc_id has the same text. Null text is the empty text. Null ids are never smaller or larger than any, so such
     rows never fail E and have no label; rows that repeat an id are told apart by nothing and never fail E by each other. Several labels of one id: any that says so counts.
-    The text is read once; the rest works on a digest of 32 bytes. A text that many rows share is one row on the other side of a join that Spark splits.
+    The text is read once; the rest works on a digest of 32 bytes. The rows of a text that very many share do not move to one task.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), text.alias("text")).withColumn("found", words(F.col("text")))
     seen = stage(read.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("key"), text_failures(F.col("text"), F.col("found")).alias("mask")))
-    firsts = seen.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
-    marked = seen.join(firsts, "key", "left").select("doc_id", "part", F.when(F.col("doc_id") > F.col("first"), F.col("mask") + 16).otherwise(F.col("mask")).alias("mask"))
+    firsts = stage(seen.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("copies")).where("first < last").select("key", "first", "copies"))
+    marked = joined_apart(seen, firsts, "key", "copies", firsts.agg(F.sum("copies")).first()[0] or 0).select("doc_id", "part", F.when(F.col("doc_id") > F.col("first"), F.col("mask") + 16).otherwise(F.col("mask")).alias("mask"))
     said = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     named = marked.where("doc_id IS NOT NULL").join(said, "doc_id", "left").select("part", "mask", "good", "toxic")
     return named.unionByName(marked.where("doc_id IS NULL").select("part", "mask", F.lit(False).alias("good"), F.lit(False).alias("toxic")))
