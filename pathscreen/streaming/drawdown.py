@@ -14,33 +14,34 @@ from pathscreen.operators import scan
 from pathscreen.operators.metrics import ID
 from pathscreen.staging import stage, staging
 
-STATE = "last_us long, n long, growth double, high double, low double, mdd double, total double, squares double, late long"
-EMPTY = (-(2 ** 62), 0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0)
+STATE = "last_us long, growth double, high double, mdd double, n long, total double, squares double, late long"
+EMPTY = (-(2 ** 62), 1.0, 1.0, 0.0, 0, 0.0, 0.0, 0)
 CURRENT = ("n", "growth", "mdd", "drawdown", "mean", "late")
 OUTPUT = "kind string, n long, growth double, mdd double, drawdown double, mean double, late long, us long, ret double"
 SPAN = 86_400_000_000  # microseconds of time that are sorted at once; shorter for ticks
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def advance(state: tuple, us: np.ndarray, ret: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
-    """(state, late times, late returns) after rows in any order. Late are rows at or before the last time; of the rows of one new time
-    the one of the smallest return counts, the others are late.
-
-    The rows' (growth, high, low, worst drawdown) is put after the state's, as any two neighbouring stretches combine."""
-    last, n, growth, high, low, mdd, total, squares, late = state
+def fresh_and_late(last: int, us: np.ndarray, ret: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Times and returns, in order, of the rows that count, and of the late ones: those at or before the last time; of the rows of one new time the one of the smallest return counts."""
     order = np.lexsort((ret, us))
     us, ret = us[order], ret[order]
     fresh = (us > last) & np.concatenate(([True], us[1:] != us[:-1]))[:len(us)]
-    behind_us, behind_ret, us, ret = us[~fresh], ret[~fresh], us[fresh], ret[fresh]
-    late += len(behind_us)
+    return us[fresh], ret[fresh], us[~fresh], ret[~fresh]
+
+
+def advance(state: tuple, us: np.ndarray, ret: np.ndarray) -> tuple:
+    """State after rows in any order. Their (growth, high, low, worst drawdown) is put after the state's, as any two neighbouring stretches combine."""
+    last, growth, high, mdd, n, total, squares, late = state
+    us, ret, behind, _ = fresh_and_late(last, us, ret)
     if len(ret):
         path = np.cumprod(1.0 + ret)
         tops = np.maximum(np.maximum.accumulate(path), 1.0)
         mdd = min(mdd, float((path / tops - 1.0).min()), growth * min(1.0, float(path.min())) / high - 1.0)
-        high, low = max(high, growth * float(tops[-1])), min(low, growth * float(path.min()))
+        high = max(high, growth * float(tops[-1]))
         last, growth, n = int(us[-1]), growth * float(path[-1]), n + len(ret)
         total, squares = total + float(ret.sum()), squares + float((ret ** 2).sum())
-    return (last, n, growth, high, low, mdd, total, squares, late), behind_us, behind_ret
+    return last, growth, high, mdd, n, total, squares, late + len(behind)
 
 
 class LiveDrawdown(StatefulProcessor):
@@ -64,7 +65,8 @@ class LiveDrawdown(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = tuple(self.now.get()) if self.now.exists() else EMPTY
         for us, ret in self._stretches(frame for frame in rows if len(frame)):
-            state, behind_us, behind_ret = advance(state, us, ret)
+            _, _, behind_us, behind_ret = fresh_and_late(state[0], us, ret)
+            state = advance(state, us, ret)
             if len(behind_us):
                 yield _row(key, "late", state).merge(pd.DataFrame({"us": behind_us, "ret": behind_ret}), how="cross")
         self.now.update(state)
@@ -93,7 +95,7 @@ class LiveDrawdown(StatefulProcessor):
 
 
 def _row(key: tuple, kind: str, state: tuple) -> pd.DataFrame:
-    _, n, growth, high, _, mdd, total, _, late = state
+    _, growth, high, mdd, n, total, _, late = state
     return pd.DataFrame({ID: [key[0]], "kind": [kind], "n": [n], "growth": [growth], "mdd": [mdd], "drawdown": [growth / high - 1.0], "mean": [total / n if n else 0.0], "late": [late]})
 
 
@@ -104,10 +106,10 @@ def history_state(history: DataFrame, span: int = SPAN) -> DataFrame:
     before = Window.partitionBy(ID).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     steps = folds.withColumn("_bg", F.coalesce(F.product("g").over(before), d(1)))
     steps = steps.withColumn("_bh", F.greatest(d(1), F.max(F.col("_bg") * F.col("hi")).over(before)))
-    path = steps.groupBy(ID).agg(F.product("g").alias("growth"), F.greatest(d(1), F.max(F.col("_bg") * F.col("hi"))).alias("high"), F.least(d(1), F.min(F.col("_bg") * F.col("lo"))).alias("low"),
+    path = steps.groupBy(ID).agg(F.product("g").alias("growth"), F.greatest(d(1), F.max(F.col("_bg") * F.col("hi"))).alias("high"),
                                  F.least(d(0), F.min(F.least("cdd", F.col("_bg") * F.col("lo") / F.col("_bh") - d(1)))).alias("mdd"))
     sums = rows.groupBy(ID).agg(F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n"), F.sum("ret").alias("total"), F.sum(F.col("ret") * F.col("ret")).alias("squares"))
-    return sums.join(path, ID).select(ID, "last_us", "n", "growth", "high", "low", "mdd", "total", "squares", F.lit(0).cast("long").alias("late"))
+    return sums.join(path, ID).select(ID, "last_us", "growth", "high", "mdd", "n", "total", "squares", F.lit(0).cast("long").alias("late"))
 
 
 def _valid():
