@@ -127,16 +127,37 @@ def header_rows(cells: DataFrame, keys=("file", "sheet"), look: int = 30) -> Dat
     return agg.select(*keys, F.when(better, F.col("best_row")).otherwise(F.lit(0)).cast("long").alias("header_row"))
 
 
+def _column_names(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, col_no, name) of the header cells. Where a promoted header stands over other columns than the data, its cells go to the columns that hold
+    data, one by one in their order, if there are as many of them."""
+    columns = rows.groupBy(*keys, "col_no").agg(  # one row per column
+        F.max(F.when(F.col("row_no") == F.col("header_row"), F.trim("txt"))).alias("name"), F.max("header_row").alias("header_row"),
+        F.bool_or((F.col("row_no") > F.col("header_row")) & (F.coalesce(F.trim("txt"), F.lit("")) != "")).alias("filled"))
+    head = F.array_sort(F.collect_list(F.when(F.coalesce("name", F.lit("")) != "", F.struct("col_no", "name"))))
+    sheets = columns.groupBy(*keys).agg(F.max("header_row").alias("header_row"), head.alias("head"), F.array_sort(F.collect_list(F.when(F.col("filled"), F.col("col_no")))).alias("data"))
+    beside = F.size(F.array_except(F.transform("head", lambda h: h["col_no"]), "data")) > 0
+    moved = F.transform("data", lambda c, i: F.struct(c.alias("col_no"), F.col("head")[i]["name"].alias("name")))
+    placed = F.when((F.col("header_row") > 0) & (F.size("head") == F.size("data")) & beside, moved).otherwise(F.col("head"))
+    return sheets.select(*keys, F.explode(placed).alias("c")).select(*keys, "c.col_no", "c.name")
+
+
 def promote_header(cells: DataFrame, keys=("file", "sheet"), look: int = 30) -> DataFrame:
-    """Data cells below the header with the header text as ``name`` (empty where the column has none); blank cells go."""
+    """Data cells below the header with the header text as ``name`` (empty where the column has none); blank cells go. A title block to the left of the data does not take the names along."""
     keys = list(keys)
     rows = cells.join(header_rows(cells, keys, look), keys)
-    named = rows.where("row_no = header_row").select(*keys, "col_no", F.trim("txt").alias("name"))
     data = rows.where("row_no > header_row").where(F.coalesce(F.trim("txt"), F.lit("")) != "")
-    return data.join(named, [*keys, "col_no"], "left").select(
+    return data.join(_column_names(rows, keys), [*keys, "col_no"], "left").select(
         *keys, (F.col("row_no") - F.col("header_row") - 1).alias("row_no"), "col_no", F.coalesce("name", F.lit("")).alias("name"), "txt")
 
 
+def header_warnings(cells: DataFrame, keys=("file", "sheet"), look: int = 30) -> DataFrame:
+    """(keys, code): ``no_header`` for the sheets in whose first ``look`` rows no cell names anything known; row 0 stands as their header."""
+    name = N.normalize_column_name(F.col("txt"))
+    known = (F.col("row_no") <= look) & N.any_hint(name, _SCHEMA_WORDS)
+    found = cells.groupBy(*keys).agg(F.coalesce(F.bool_or(known), F.lit(False)).alias("found"))
+    return found.where(~F.col("found")).select(*keys, F.lit("no_header").alias("code"))
+
+
 def sheet_select(columns: DataFrame, sizes: DataFrame) -> DataFrame:
     """Best sheet per file: columns(file, sheet, sheet_no, norm) and sizes(file, sheet, rows, cols)."""
     def joined(words):
