@@ -164,6 +164,36 @@ def gen_samples(spark, folder):
     return out.select("s_suppkey", F.col("day").cast("long").alias("day"), rounded("ret", 8).alias("ret"))
 
 
+# --- headers beside their data ------------------------------------------------------------------------
+def titled_sheets(spark, folder):
+    """Sheets of a hundred events below a title and a header; in every other one the data stand two columns to the right, every third one has no known name."""
+    e = table(spark, folder, "events")
+    f, i = F.floor(F.col("event_id") / 100), (F.col("event_id") % 100 + 2).cast("int")
+    base = F.when(f % 2 == 0, 2).otherwise(0)
+    cell = lambda row, col, txt: F.struct(row.alias("row_no"), col.cast("int").alias("col_no"), txt.alias("txt"))
+    texts = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), ((F.col("value") - 45) / 1000).cast("decimal(12,5)").cast("string")
+    body = e.select(f.alias("f"), F.explode(F.array(*(cell(i, base + k, t) for k, t in enumerate(texts)))).alias("c"))
+    head = F.when(F.col("f") % 3 == 2, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("Date"), F.lit("Return")))
+    top = e.select(f.alias("f")).distinct().select("f", F.explode(F.array(cell(F.lit(0), F.lit(0), F.lit("my export")), *(cell(F.lit(1), F.lit(k), head[k]) for k in (0, 1)))).alias("c"))
+    rows = body.unionByName(top)
+    return rows.select(F.concat(F.lit("sheet"), F.col("f").cast("string")).alias("file"), F.lit("S1").alias("sheet"), "c.*")
+
+
+_TITLED = """SELECT event_id//100 AS f, event_id%100 AS i, CASE WHEN (event_id//100)%2=0 THEN 2 ELSE 0 END AS base, strftime(ts, '%Y-%m-%d %H:%M:%S') AS d, CAST(CAST((value-45)/1000 AS DECIMAL(12,5)) AS VARCHAR) AS v FROM events"""
+
+
+@query("header_shift", f"""WITH t AS ({_TITLED}), c AS (SELECT f, i, (base + k)::BIGINT AS col_no, k, CASE k WHEN 0 THEN d ELSE v END AS txt FROM t, (SELECT unnest([0, 1]) AS k))
+   SELECT 'sheet'||f AS file, i + (f%3=2)::INT AS row_no, col_no, CASE WHEN f%3<>2 THEN CASE k WHEN 0 THEN 'Date' ELSE 'Return' END WHEN col_no=0 THEN 'my export' ELSE '' END AS name, txt FROM c
+   UNION ALL SELECT DISTINCT 'sheet'||f, 0, k, CASE k WHEN 0 THEN 'my export' ELSE '' END, CASE k WHEN 0 THEN 'x' ELSE 'y' END FROM t, (SELECT unnest([0, 1]) AS k) WHERE f%3=2""")
+def header_shift(spark, folder):
+    return FI.promote_header(titled_sheets(spark, folder)).select("file", F.col("row_no").cast("long").alias("row_no"), F.col("col_no").cast("long").alias("col_no"), "name", "txt")
+
+
+@query("header_warnings", f"WITH t AS ({_TITLED}) SELECT DISTINCT 'sheet'||f AS file, 'no_header' AS code FROM t WHERE f%3=2")
+def header_warnings(spark, folder):
+    return FI.header_warnings(titled_sheets(spark, folder)).select("file", "code")
+
+
 # --- streams -----------------------------------------------------------------------------------------
 @query("stream_price_upsert", ctes("v_px", up="SELECT asset_key, ts, close FROM (SELECT *, row_number() OVER (PARTITION BY asset_key, ts ORDER BY b DESC) rn FROM (SELECT asset_key, ts, close, 0 b FROM v_px WHERE ts<'2000-06-01' UNION ALL SELECT p.asset_key, p.ts, p.close*1.02::DOUBLE, 1 FROM v_px p JOIN (SELECT asset_key, max(ts) lt FROM v_px WHERE ts<'2000-06-01' GROUP BY 1) l USING (asset_key) WHERE p.ts>='2000-05-20' AND p.ts>=lt-INTERVAL 2 DAY)) WHERE rn=1") +
        f"SELECT asset_key, ts, {r('close')} FROM up")
