@@ -1,11 +1,13 @@
 """Class-based n-gram scores (Brown et al.): P(word | previous) = P(class | previous class) * P(word | class).
 
-Classes come from exchange clustering of the training corpus' word bigrams: in each round every unit moves to the class
-that raises the class-bigram likelihood most, by the counts of its neighbours' classes; a hashed half of the units moves
-at a time, so that two units do not swap past each other. A unit is one of the most frequent words, or all rarer words
-with one ending; so every word of the corpus has a class, the table of units has a fixed bound, and it alone is
-broadcast. Word counts, bigram counts and the vocabulary cover all training words; words beyond the broadcast table
-get their count by a join.
+1. The most frequent words (``UNIT_WORDS``) and one unit for all rarer words of an ending are clustered by exchange: units move to the class that
+   raises the class-bigram likelihood most, by the counts of their neighbours' classes. A hashed part of the units moves at a time; the likelihood of
+   the whole is compared, and a round that lowers it is taken back and the part halved. So it never falls.
+2. Every other training word gets a class of its own: the one that its own neighbours' classes make most likely. The classes lie in a
+   table (word, n, class) that grows with the corpus; endings only decide for words that training never saw.
+3. Class bigrams are counted over all training bigrams under these classes.
+
+Only tables of a fixed size are broadcast: units, and classes and counts of the ``CACHED`` most frequent words. Rarer words get theirs by a join.
 """
 from __future__ import annotations
 
@@ -17,24 +19,22 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathscreen.llm.chosen_path import tokens
 from pathscreen.llm.common import pieces
 from pathscreen.staging import stage
 
 CLASSES = 48        # besides the end, which is class 0
-UNIT_WORDS = 4096   # words that are units of their own
+UNIT_WORDS = 4096   # words that are exchanged one by one
 ENDINGS = 1024      # units of rarer words, by hashed last three bytes
-ROUNDS = 4
-COUNTED = 120_000   # words whose counts are broadcast for scoring
+ROUNDS = 10
+CACHED = 120_000    # words whose classes and counts are broadcast
 KEEP = 0.95         # weight of class bigrams against class unigrams
 END = b"\n"         # no word holds it
 FLUSH = 300_000     # distinct words or bigrams that a task holds before it emits them
-
-
-def ending(word: Column) -> Column:
-    return (F.crc32(F.substring(word, -3, 3)) % ENDINGS).cast("int")
+LEVELS, PARTS = 16, 4096  # frequency levels an octave, and hashed parts of one level
 
 
 class Units(dict):
@@ -44,9 +44,34 @@ class Units(dict):
         super().__init__({w: i for i, w in enumerate(words)})
         self.base = len(self)
 
-    def __missing__(self, word: bytes) -> int:
+    def ending(self, word: bytes) -> int:
         return self.base + zlib.crc32(word[-3:]) % ENDINGS
 
+    __missing__ = ending
+
+
+class Numbers(dict):
+    """Word numbers: the given words first, then new words in order of appearance."""
+
+    def __init__(self, given: list[bytes]):
+        super().__init__({w: i for i, w in enumerate(given)})
+        self.first, self.new = len(self), []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = self.first + len(self.new)
+        self.new.append(word)
+        return at
+
+    def forget(self) -> None:
+        for w in self.new:
+            del self[w]
+        self.new = []
+
+
+class Cached(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count: Counter = Counter()
@@ -87,24 +112,32 @@ def _count_pairs(units, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield out()
 
 
-def _move(classes: int, totals, half: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one unit each (unit, class, total n, own bigrams, counts by class to the left and right); gives its best class."""
-    pair, left, right = totals.value  # class bigrams, their sums by first and by second class
+def _f(x):
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-9)), 0.0)
+
 
-    def f(x):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9)), 0.0)
+def likelihood(bigrams: np.ndarray) -> float:
+    """The part of the class-bigram log likelihood that depends on the classes."""
+    return float(_f(bigrams).sum() - _f(bigrams.sum(axis=0)).sum() - _f(bigrams.sum(axis=1)).sum())
 
+
+def _move(classes: int, totals, turn: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one unit each (unit, class, counts by class to the left (side 0) and right (1), own bigrams (2)); gives its best class."""
+    pair, left, right = totals.value  # class bigrams, their sums by first and by second class
     for batch in batches:
         out = []
         for row in batch.to_pylist():
             at = row["class"]
-            if at == 0 or (row["unit"] + half) % 2:
+            if at == 0 or zlib.crc32(f"{row['unit']} {turn}".encode()) % parts:
                 out.append(at)
                 continue
-            l, r = np.zeros(classes), np.zeros(classes)
+            l, r, own = np.zeros(classes), np.zeros(classes), 0
             for x in row["near"]:
-                (l if x["side"] == 0 else r)[x["k"]] += x["n"]
-            own, n_first, n_second = row["own"], r.sum() + row["own"], l.sum() + row["own"]
+                if x["side"] == 2:
+                    own = x["n"]
+                else:
+                    (r if x["side"] else l)[x["k"]] += x["n"]
+            n_first, n_second = r.sum() + own, l.sum() + own
             # without the unit
             p = pair.copy()
             p[:, at] -= l
@@ -114,10 +147,10 @@ def _move(classes: int, totals, half: int, batches: Iterator[pa.RecordBatch]) ->
             a[at] -= n_first
             b[at] -= n_second
             # gain of adding it to each class k; its own bigrams join the pair (k, k)
-            gain = (f(p + l[:, None]) - f(p)).sum(axis=0) + (f(p + r[None, :]) - f(p)).sum(axis=1)
+            gain = (_f(p + l[:, None]) - _f(p)).sum(axis=0) + (_f(p + r[None, :]) - _f(p)).sum(axis=1)
             d = np.diagonal(p)
-            gain += f(d + l + r + own) - f(d + l) - f(d + r) + f(d)
-            gain -= f(a + n_first) - f(a) + f(b + n_second) - f(b)
+            gain += _f(d + l + r + own) - _f(d + l) - _f(d + r) + _f(d)
+            gain -= _f(a + n_first) - _f(a) + _f(b + n_second) - _f(b)
             gain[0] = -np.inf
             best = int(gain.argmax())
             out.append(best if gain[best] > gain[at] + 1e-9 else at)
@@ -128,132 +161,253 @@ def _class_table(spark, kind: list[int]) -> DataFrame:
     return F.broadcast(spark.createDataFrame(list(enumerate(kind)), "unit int, class int"))  # one row per unit, of which there are a fixed number
 
 
-def class_bigrams(pairs: DataFrame, kind: list[int], classes: int) -> np.ndarray:
+def _neighbours(pairs: DataFrame, kind: list[int], classes: int) -> tuple[DataFrame, np.ndarray]:
+    """(unit, class, side, k, n), written, and the class bigrams."""
     of = _class_table(pairs.sparkSession, kind)
-    rows = pairs.join(of.withColumnsRenamed({"unit": "a", "class": "x"}), "a").join(of.withColumnsRenamed({"unit": "b", "class": "y"}), "b").groupBy("x", "y").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros((classes + 1, classes + 1))
-    for r in rows:  # at most (classes + 1) squared
-        out[r.x, r.y] = r.n
-    return out
-
-
-def exchange(pairs: DataFrame, units: int, ended: int, classes: int = CLASSES, rounds: int = ROUNDS) -> list[int]:
-    """The class of every unit from ``pairs(a, b, n)``. The driver holds one number per unit and the class bigrams, both of fixed size."""
+    other = pairs.where("a != b")
+    sides = (other.join(of.withColumnsRenamed({"unit": "a", "class": "k"}), "a").select(F.col("b").alias("unit"), F.lit(0).alias("side"), "k", "n")
+             .unionByName(other.join(of.withColumnsRenamed({"unit": "b", "class": "k"}), "b").select(F.col("a").alias("unit"), F.lit(1).alias("side"), "k", "n"))
+             .unionByName(pairs.where("a = b").select(F.col("a").alias("unit"), F.lit(2).alias("side"), F.lit(0).alias("k"), "n")))
+    near = stage(sides.groupBy("unit", "side", "k").agg(F.sum("n").alias("n")).join(of, "unit"))
+    bigrams = np.zeros((classes + 1, classes + 1))
+    for r in near.where("side != 1").groupBy(F.when(F.col("side") == 2, F.col("class")).otherwise(F.col("k")).alias("x"), F.col("class").alias("y")).agg(F.sum("n").alias("n")).collect():
+        bigrams[r.x, r.y] = r.n  # at most (classes + 1) squared
+    return near, bigrams
+
+
+def exchange(pairs: DataFrame, units: int, ended: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[list[int], np.ndarray, list[float]]:
+    """(class of every unit, class bigrams, likelihood after each round) from ``pairs(a, b, n)``. The driver holds one number per unit and the class
+    bigrams, both of fixed size."""
     spark = pairs.sparkSession
     kind = [0 if u == ended else 1 + u % classes for u in range(units)]
-    for half in range(rounds * 2):
-        p = class_bigrams(pairs, kind, classes)
+    near, p = _neighbours(pairs, kind, classes)
+    reached, parts = [likelihood(p)], 2
+    for turn in range(rounds):
         totals = spark.sparkContext.broadcast((p, p.sum(axis=1), p.sum(axis=0)))
-        of = _class_table(spark, kind)
-        other = pairs.where("a != b")
-        sides = (other.join(of.withColumnsRenamed({"unit": "a", "class": "k"}), "a").select(F.col("b").alias("unit"), F.lit(0).alias("side"), "k", "n")
-                 .unionByName(other.join(of.withColumnsRenamed({"unit": "b", "class": "k"}), "b").select(F.col("a").alias("unit"), F.lit(1).alias("side"), "k", "n")))
-        near = sides.groupBy("unit", "side", "k").agg(F.sum("n").alias("n")).groupBy("unit").agg(F.collect_list(F.struct("side", "k", "n")).alias("near"))  # at most 2 entries per class
-        own = pairs.where("a = b").select(F.col("a").alias("unit"), F.col("n").alias("own"))
-        rows = near.join(own, "unit", "left").join(of, "unit").select("unit", "class", F.coalesce("own", F.lit(0)).alias("own"), "near")
-        for r in rows.mapInArrow(partial(_move, classes + 1, totals, half), "unit int, class int").collect():  # one small row per unit
-            kind[r.unit] = r["class"]
-    return kind
-
-
-class Model:
-    """What a task needs to score a text; every part has a fixed bound."""
-
-    def __init__(self, units: Units, kind: list[int], bigrams: np.ndarray, mass: np.ndarray, types: np.ndarray, logs: dict[bytes, float], ends: int, n: int, v: int):
-        self.units, self.kind, self.logs, self.ends, self.n, self.v = units, np.array(kind), logs, ends, n, v
-        total = max(1.0, bigrams.sum())
-        single = (bigrams.sum(axis=0) + 1) / (total + len(bigrams))
-        rows = bigrams.sum(axis=1, keepdims=True)
-        seen = np.divide(bigrams, rows, out=np.tile(single, (len(bigrams), 1)), where=rows > 0)
-        self.step = np.log10(KEEP * seen + (1 - KEEP) * single)
-        self.below = np.log10(mass + types + 1)  # a class keeps one place for words never seen
-
-    def score(self, text: str | None) -> tuple[int, int, float, float, list[bytes]]:
-        """(tokens, known, base score, score, words whose log10(count + 1) and being known are still to be added)."""
-        found = tokens(text)
-        units = np.fromiter(map(self.units.__getitem__, found), np.int64, len(found))
-        end = self.kind[self.units[END]]
-        kinds = np.concatenate(([end], self.kind[units] if len(units) else np.zeros(0, np.int64), [end])).astype(np.int64)
-        get, rest = self.logs.get, []
-        known, logs = int(self.ends > 0), math.log10(self.ends + 1)
-        for w in found:
-            c = get(w)
-            if c is None:
-                rest.append(w)
+        rows = near.groupBy("unit", "class").agg(F.collect_list(F.struct("side", "k", "n")).alias("near"))  # at most 2 entries per class and one more
+        moved = list(kind)
+        for r in rows.mapInArrow(partial(_move, classes + 1, totals, turn, parts), "unit int, class int").collect():  # one small row per unit
+            moved[r.unit] = r["class"]
+        if moved != kind:
+            then, q = _neighbours(pairs, moved, classes)
+            if likelihood(q) > reached[-1]:
+                kind, near, p = moved, then, q
             else:
-                known += 1
-                logs += c
-        n = len(found) + 1
-        base = logs - n * math.log10(self.n + self.v + 1)
-        return n, known, base, float(logs + self.step[kinds[:-1], kinds[1:]].sum() - self.below[kinds[1:]].sum()), rest
+                parts *= 2
+        reached.append(likelihood(p))
+    return kind, p, reached
 
 
-def _score(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    m = model.value
+def _near_words(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per word that is no unit of its own: counts (n) by code: class of the left neighbour's unit, or CLASSES + 1 more for the right one's."""
+    units, kind = shared.value
+    wide = 2 * (CLASSES + 1)
+    numbers, own = Numbers(list(units)), np.array(kind[:units.base], np.int64)
+    held: list[np.ndarray] = []
+
+    def out():
+        codes, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        word, starts = np.unique(codes // wide, return_index=True)
+        offsets = pa.array(np.append(starts, len(codes)).astype(np.int32))
+        words = pa.array(numbers.new, pa.binary()).take(pa.array(word - numbers.first))
+        numbers.forget()
+        return pa.RecordBatch.from_arrays([words, pa.ListArray.from_arrays(offsets, pa.array((codes % wide).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))], names=["word", "codes", "n"])
+
+    new = np.zeros(0, np.int64)
     for batch in pieces(batches):
-        rows = [m.score(t) for t in batch.column("text").to_pylist()]
-        rest = []
-        for r in rows:
-            c = Counter(r[4])
-            rest.append([{"word": w, "tf": n} for w, n in c.items()])
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))), pa.array(rest, kind)],
-                                         names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
-
-
-def train(train_docs: DataFrame) -> tuple[DataFrame, Model]:
-    """(all word counts (word, n), the model) of the whole texts of ``train_docs(text)``."""
-    spark = train_docs.sparkSession
-    texts = train_docs.select(F.col("text").cast("string").alias("text"))
+        flat = [numbers[END]]
+        for text in batch.column("text").to_pylist():
+            flat.extend(map(numbers.__getitem__, tokens(text)))
+            flat.append(numbers[END])
+        ids = np.array(flat, np.int64)
+        new = np.concatenate([new, np.fromiter((kind[units.ending(w)] for w in numbers.new[len(new):]), np.int64)])
+        of = np.concatenate([own, new])[ids]
+        rare = np.flatnonzero(ids >= numbers.first)  # a batch begins and ends with the end
+        held.append(ids[rare] * wide + of[rare - 1])
+        held.append(ids[rare] * wide + CLASSES + 1 + of[rare + 1])
+        if len(numbers.new) > FLUSH or sum(map(len, held)) > 20 * FLUSH:
+            yield out()
+            new = new[:0]
+    if sum(map(len, held)):
+        yield out()
+
+
+def _assign(weights: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n, class) from rows of ``_near_words`` sorted by word: the class with the largest sum of weights over the word's neighbours."""
+    wide = len(weights)
+
+    def out(words: pa.Array, counts: np.ndarray):
+        best = 1 + (counts @ weights).argmax(axis=1)
+        return pa.RecordBatch.from_arrays([words, pa.array(counts[:, :wide // 2].sum(axis=1).astype(np.int64)), pa.array(best.astype(np.int32))], names=["word", "n", "class"])
+
+    last, carry = None, np.zeros(wide)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = batch.column("word")
+        new = np.concatenate([[words[0].as_py() != last], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)]).astype(bool)
+        group = np.cumsum(new) - int(new[0])
+        if new[0] and last is not None:
+            yield out(pa.array([last], words.type), carry[None, :])
+        codes, n = batch.column("codes"), batch.column("n")
+        at = np.repeat(group, np.diff(codes.offsets.to_numpy())) * wide + codes.flatten().to_numpy()
+        counts = np.bincount(at, n.flatten().to_numpy().astype(float), minlength=(group[-1] + 1) * wide).reshape(-1, wide)
+        if not new[0]:
+            counts[0] += carry
+        firsts = np.searchsorted(group, np.arange(group[-1] + 1))
+        last, carry = words[len(words) - 1].as_py(), counts[-1].copy()
+        if len(counts) > 1:
+            yield out(words.take(pa.array(firsts[:-1])), counts[:-1])
+    if last is not None:
+        yield out(pa.array([last], pa.binary()), carry[None, :])
+
+
+def assigned(texts: DataFrame, units: Units, kind: list[int], bigrams: np.ndarray) -> DataFrame:
+    """(word, n, class) of every word that is no unit of its own. A class's weight for a word is the log probability of the
+    word's neighbours given the class, which to first order is what the word adds to the likelihood there."""
+    def given(rows: np.ndarray) -> np.ndarray:
+        """log probability of the other class (second axis) given the word's class (first axis); a class that was hardly seen gives the overall shares."""
+        overall = (rows.sum(axis=0) + 1) / (rows.sum() + len(rows))
+        return np.log((rows + overall) / (rows.sum(axis=1, keepdims=True) + 1))
+
+    weights = np.concatenate([given(bigrams.T).T, given(bigrams).T])[:, 1:]
+    shared = texts.sparkSession.sparkContext.broadcast((units, kind))
+    near = texts.mapInArrow(partial(_near_words, shared), "word binary, codes array<int>, n array<long>")
+    return near.repartition("word").sortWithinPartitions("word").mapInArrow(partial(_assign, weights), "word binary, n long, class int")
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of at most ``most`` words of ``counts(word, n)``, the most frequent ones; in the last level of frequencies those of the lowest hashes."""
+    level, part = F.floor(F.log2("n") * LEVELS).cast("int"), F.pmod(F.crc32("word"), F.lit(PARTS)).cast("int")
+    held = 0
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # at most 64 octaves
+        if held + r.words > most:
+            break
+        held += r.words
+    else:
+        return counts
+    for q in counts.where(level == r.level).groupBy(part.alias("part")).agg(F.count("*").alias("words")).orderBy("part").collect():  # at most PARTS rows
+        if held + q.words > most:
+            break
+        held += q.words
+    return counts.where((level > r.level) | (level == r.level) & (part < q.part))
+
+
+class Reader:
+    """What a task needs to read a text as classes; every part has a fixed bound."""
+
+    def __init__(self, cached: list, units: Units, kind: list[int]):
+        self.at = Cached({bytes(r.word): i for i, r in enumerate(cached)})
+        self.kind = np.array([r["class"] for r in cached] + [-1], np.int64)
+        self.logs = np.array([math.log10(r.n + 1) for r in cached] + [0.0])
+        self.units, self.unit_kind = units, kind
+
+
+def _read(reader, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text: tokens and known words without the end, log10(count + 1) of cached words, class bigrams (codes, times) of which both sides are cached,
+    and every other word with its place, the classes before and after it (-1: not cached) and the class of its ending."""
+    m, wide = reader.value, CLASSES + 1
+    for batch in pieces(batches):
+        texts = batch.column("text").to_pylist()
+        sizes, known, logs, codes, times, rest = [], [], [], [], [], []
+        for text in texts:
+            found = tokens(text)
+            at = np.fromiter(map(m.at.__getitem__, found), np.int64, len(found))
+            kinds = np.zeros(len(found) + 2, np.int64)
+            kinds[1:-1] = m.kind[at]
+            other = np.flatnonzero(at < 0)
+            a, b = kinds[:-1], kinds[1:]
+            both = (a >= 0) & (b >= 0)
+            n = np.bincount(a[both] * wide + b[both])
+            some = np.flatnonzero(n)
+            sizes.append(len(found))
+            known.append(len(found) - len(other))
+            logs.append(float(m.logs[at].sum()))
+            codes.append(some)
+            times.append(n[some])
+            rest.append((other, kinds[other], kinds[other + 2], [found[i] for i in other.tolist()]))
+        words = [w for r in rest for w in r[3]]
+        own = np.fromiter((m.unit_kind[m.units.ending(w)] for w in words), np.int32, len(words))
+        flat = [pa.array(np.concatenate([r[i] for r in rest]).astype(np.int32)) for i in range(3)]
+        lists = lambda parts, values: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), values)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(logs),
+             lists(codes, pa.array(np.concatenate(codes).astype(np.int32))), lists(times, pa.array(np.concatenate(times).astype(np.int64))),
+             lists([r[0] for r in rest], pa.StructArray.from_arrays([flat[0], flat[1], flat[2], pa.array(words, pa.binary()), pa.array(own)], names=["place", "before", "after", "word", "ending"]))],
+            names=["doc_id", "held_out", "words", "known", "logs", "codes", "times", "rest"])
+
+
+def _steps(value: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes, n = batch.column("codes"), batch.column("times")
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(codes.offsets.to_numpy()))
+        total = np.bincount(rows, value[codes.flatten().to_numpy()] * n.flatten().to_numpy(), minlength=batch.num_rows)
+        keep = [name for name in batch.schema.names if name not in ("codes", "times")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in keep), pa.array(total.astype(float))], names=[*keep, "steps"])
+
+
+def learned(texts: DataFrame) -> tuple[DataFrame, Units, list[int]]:
+    """The table (word, n, class) of all words of ``texts(text)``, END for the end included; units and their classes, for words it lacks."""
+    spark = texts.sparkSession
     counts = stage(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
-    ranks = stage(counts.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("level")).agg(F.count("*").alias("words"))).orderBy(F.desc("level")).collect()  # at most 16 * 64 rows
-
-    def first(most: int) -> int:
-        """The lowest level down to which there are at most ``most`` words."""
-        held, low = 0, 64 * 16
-        for r in ranks:
-            held += r.words
-            if held > most:
-                break
-            low = r.level
-        return low
-
-    level = F.floor(F.log2("n") * 16)
-    frequent = {bytes(r.word): r.n for r in counts.where((level >= first(COUNTED)) | (F.col("word") == END)).collect()}  # at most COUNTED + 1
-    least = first(UNIT_WORDS)
-    own = sorted((w for w, n in frequent.items() if w == END or math.floor(math.log2(n) * 16) >= least), key=lambda w: (-frequent[w], w))
-    units = Units(own if END in own else [*own, END])
-    shared = spark.sparkContext.broadcast(units)
-    pairs = stage(texts.mapInArrow(partial(_count_pairs, shared), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    kind = exchange(pairs, units.base + ENDINGS, units[END])
-    bigrams = class_bigrams(pairs, kind, CLASSES)
-    numbers = F.broadcast(spark.createDataFrame([(bytearray(w), i) for w, i in units.items()], "word binary, number int"))
-    by_unit = counts.join(numbers, "word", "left").groupBy(F.coalesce("number", F.lit(units.base) + ending(F.col("word"))).alias("unit")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()  # one row per unit
-    mass, types = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    for r in by_unit:
-        mass[kind[r.unit]] += r.n
-        types[kind[r.unit]] += r.types
-    logs = {w: math.log10(n + 1) for w, n in frequent.items()}
-    return counts, Model(units, kind, bigrams, mass, types, logs, frequent.get(END, 0), sum(int(r.n) for r in by_unit), sum(r.types for r in by_unit))
+    frequent = {bytes(r.word): r.n for r in most_frequent(counts, UNIT_WORDS).unionByName(counts.where(F.col("word") == END)).collect()}  # at most UNIT_WORDS + 1
+    units = Units(sorted(frequent.keys() | {END}, key=lambda w: (-frequent.get(w, 0), w)))
+    pairs = stage(texts.mapInArrow(partial(_count_pairs, spark.sparkContext.broadcast(units)), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    kind, bigrams, _ = exchange(pairs, units.base + ENDINGS, units[END])
+    first = spark.createDataFrame([(bytearray(w), n, kind[units[w]]) for w, n in frequent.items()], "word binary, n long, class int")
+    return stage(assigned(texts, units, kind, bigrams).unionByName(first)), units, kind
 
 
 def class_scores(docs: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text of ``docs(doc_id, text)``.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every whole text of ``docs(doc_id, text)``.
 
     The model learns from the rows where ``held_out`` is false. Null or empty texts are the end token alone. base_score: add-one unigrams. score:
-    log10 probability by the class bigrams; a class keeps one place for words that were never seen. No training rows: counts are
-    0 and scores are those of the smoothing alone. Repeated rows count each; an empty table gives an empty result; other
-    columns are not read. Runs jobs.
+    log10 probability by the class bigrams; a class keeps one place for words that were never seen. perplexity: 10 to the power of -score per token.
+    No training rows: counts are 0 and scores are those of the smoothing alone. Repeated rows count each; words of equal frequency are
+    ordered by hash, so a flat vocabulary is clustered as well; an empty table gives an empty result; other columns are not read. Runs jobs.
     """
+    spark, wide = docs.sparkSession, CLASSES + 1
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counts, model = train(rows.where(~F.col("held_out")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(partial(_score, shared), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,tf:long>>")
-    scored = stage(scored.withColumn("row", F.monotonically_increasing_id()))  # written, so the number of a row stays
-    rest = scored.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.tf").join(counts, "word")
-    added = rest.groupBy("row").agg(F.sum("tf").alias("known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("logs"))
-    out = scored.drop("rest").join(added, "row", "left")
-    more = F.coalesce("logs", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-                      (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    vocabulary, units, kind = learned(rows.where(~F.col("held_out")).select("text"))
+    cached = spark.sparkContext.broadcast(Reader(most_frequent(vocabulary, CACHED).collect(), units, kind))  # at most CACHED rows
+    doc_id = rows.schema["doc_id"].dataType.simpleString()
+    read = rows.mapInArrow(partial(_read, cached), f"doc_id {doc_id}, held_out boolean, words long, known long, logs double, codes array<int>, times array<long>, "
+                           "rest array<struct<place:int,before:int,after:int,word:binary,ending:int>>")
+    read = stage(read.withColumn("row", F.monotonically_increasing_id()))  # written, so the number of a row stays
+
+    rest = read.select("row", "held_out", F.explode("rest").alias("x")).select("row", "held_out", "x.*").join(vocabulary, "word", "left")
+    rest = rest.select("row", "held_out", "place", "before", "after", F.coalesce("class", "ending").alias("own"), F.coalesce("n", F.lit(0)).alias("n"))
+    previous = F.lag("own").over(Window.partitionBy("row").orderBy("place"))  # one document's words; the one before is not cached either, so it is here
+    into = F.when(F.col("before") >= 0, F.col("before")).otherwise(previous) * wide + F.col("own")
+    both = F.when(F.col("after") >= 0, F.array(into, F.col("own") * wide + F.col("after"))).otherwise(F.array(into))
+    rest = stage(rest.select("row", "held_out", "n", both.alias("codes")))
+
+    pairs = (read.where(~F.col("held_out")).select(F.explode(F.arrays_zip("codes", "times")).alias("x")).select(F.col("x.codes").alias("code"), F.col("x.times").alias("n"))
+             .unionByName(rest.where(~F.col("held_out")).select(F.explode("codes").alias("code"), F.lit(1).cast("long").alias("n"))))
+    bigrams = np.zeros(wide * wide)
+    for r in pairs.groupBy("code").agg(F.sum("n").alias("n")).collect():  # at most (CLASSES + 1) squared
+        bigrams[r.code] = r.n
+    mass, types, ends = np.zeros(wide), np.zeros(wide), 0
+    for r in vocabulary.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types"), F.max(F.when(F.col("word") == END, F.col("n"))).alias("ends")).collect():  # a row per class
+        mass[r["class"]], types[r["class"]], ends = r.n, r.types, max(ends, r.ends or 0)
+    total, v = int(mass.sum()), int(types.sum())
+    value = (transitions(bigrams.reshape(wide, wide)) - np.log10(mass + types + 1)).ravel()  # by the code of a bigram; each token is the second of one
+
+    ones = rest.select("row", "n", "codes", F.transform("codes", lambda _: F.lit(1).cast("long")).alias("times"))
+    ones = ones.mapInArrow(partial(_steps, value), "row long, n long, steps double")
+    more = ones.groupBy("row").agg(F.sum((F.col("n") > 0).cast("long")).alias("more_known"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"), F.sum("steps").alias("more_steps"))
+    out = read.select("row", "doc_id", "held_out", "words", "known", "logs", "codes", "times").mapInArrow(
+        partial(_steps, value), f"row long, doc_id {doc_id}, held_out boolean, words long, known long, logs double, steps double").join(more, "row", "left")
+    n_tokens, logs = F.col("words") + 1, F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.lit(math.log10(ends + 1))
+    score = logs + F.col("steps") + F.coalesce("more_steps", F.lit(0.0))
+    return out.select("doc_id", "held_out", n_tokens.alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
+                      F.lit(total).cast("long").alias("train_tokens"), (logs - n_tokens * math.log10(total + v + 1)).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / n_tokens).alias("perplexity"))
+
+
+def transitions(bigrams: np.ndarray) -> np.ndarray:
+    """log10 probability of the second class after the first, mixed with that of the second alone."""
+    single = (bigrams.sum(axis=0) + 1) / (max(1.0, bigrams.sum()) + len(bigrams))
+    rows = bigrams.sum(axis=1, keepdims=True)
+    seen = np.divide(bigrams, rows, out=np.tile(single, (len(bigrams), 1)), where=rows > 0)
+    return np.log10(KEEP * seen + (1 - KEEP) * single)
