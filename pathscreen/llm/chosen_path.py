@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from pathscreen.llm.common import pieces, text_key
+from pathscreen.llm.common import pieces, text_key, unused
 from pathscreen.llm.linking import components
 from pathscreen.staging import stage
 
@@ -311,11 +311,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each near-duplicate group, with all its columns; of rows that repeat id and text one stays."""
+    """One document of each near-duplicate group, with all its columns; of rows that repeat id and text one stays.
+
+    Null and empty texts are no one's duplicates: one row of each id stays. A row without id stays only where its group has none with an id. An empty table gives an
+    empty result; other columns, whatever their names, pass through and decide which of repeated rows stays.
+    """
+    own_name, own_key, row = unused(docs.columns, "_name", "_text_key", "_row")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
     kept = stage(near_duplicates(docs, width, percent).where("stays").select(name.alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct())
-    rows = docs.withColumn("_text_key", text_key(F.col("text"))).withColumn("_name", name)
-    rows = rows.join(kept, (rows._name == kept._kept_id) & (rows._text_key == kept._kept_key), "left_semi")
+    kept = kept.toDF(*unused(docs.columns, "_kept_id", "_kept_key"))
+    rows = docs.withColumn(own_key, text_key(F.col("text"))).withColumn(own_name, name)
+    rows = rows.join(kept, (F.col(own_name) == F.col(kept.columns[0])) & (F.col(own_key) == F.col(kept.columns[1])), "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"]
-    one = Window.partitionBy("_name", "_text_key").orderBy(*others)  # as the join's partitioning: the text moves once
-    return rows.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*docs.columns)
+    one = Window.partitionBy(own_name, own_key).orderBy(*others)  # as the join's partitioning: the text moves once
+    return rows.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).select(*docs.columns)

@@ -50,6 +50,18 @@ class Units(dict):
     __missing__ = ending
 
 
+class Seen(dict):
+    """Units of words that a task has met."""
+
+    def __init__(self, units: Units):
+        super().__init__(units)
+        self.units = units
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = self.units.ending(word)
+        return at
+
+
 class Numbers(dict):
     """Word numbers: the given words first, then new words in order of appearance."""
 
@@ -90,8 +102,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_pairs(units, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = units.value
-    end, wide = known[END], known.base + ENDINGS
+    known = Seen(units.value)
+    end, wide = known[END], units.value.base + ENDINGS
     held: list[np.ndarray] = []
 
     def out():
@@ -104,6 +116,8 @@ def _count_pairs(units, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         for text in batch.column("text").to_pylist():
             flat.extend(map(known.__getitem__, tokens(text)))
             flat.append(end)
+        if len(known) > FLUSH:
+            known = Seen(units.value)
         ids = np.array(flat, np.int64)
         held.append(ids[:-1] * wide + ids[1:])
         if sum(map(len, held)) > 20 * FLUSH:

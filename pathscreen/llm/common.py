@@ -14,6 +14,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, made longer than every column's, so that none of them is one of ``columns``."""
+    return [name + "_" * max(map(len, columns), default=0) for name in names]
+
+
 def words(text: Column) -> Column:
     """Runs of characters other than space and U+0009-U+000D; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pathscreen.llm.common import words
+from pathscreen.llm.common import unused, words
 from pathscreen.staging import stage
 
 WEIGHTS = (5, 2, 1)       # of the sources in code point order, repeating
@@ -91,13 +91,14 @@ def mix_plan(docs: DataFrame, seed: int = 3) -> DataFrame:
 def in_training_order(docs: DataFrame, seed: int = 3, position: str = "_position") -> DataFrame:
     """One row of ``docs`` per copy that the mix takes, with its training time, sorted by ranges of it.
 
-    Cases as in ``mix_plan``; other columns pass through."""
-    plan = mix_plan(docs, seed)
+    Cases as in ``mix_plan``; other columns, whatever their names, pass through, but for one named like ``position``, which is replaced."""
+    plan, docs = mix_plan(docs, seed), docs.drop(position)
+    key, nth, p_key, p_nth, at = unused([*docs.columns, position], "_key", "_nth", "_p_key", "_p_nth", "_p_positions")
     same = Window.partitionBy("_p_key").orderBy("_p_source", "_p_doc_id", "_p_row")
     plan = plan.select(*(F.col(c).alias(f"_p_{c}") for c in ("doc_id", "source", "key", "row", "positions"))).withColumn("_p_nth", F.row_number().over(same))
-    plan = stage(plan.where(F.size("_p_positions") > 0).select("_p_key", "_p_nth", "_p_positions"))
+    plan = stage(plan.where(F.size("_p_positions") > 0).select("_p_key", "_p_nth", "_p_positions")).toDF(p_key, p_nth, at)
     # rows of one key are numbered alike on both sides; the window's partitioning also serves the join, so the text moves once before the sort
-    rows = docs.withColumn("_key", _key(seed)).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("source", "doc_id")))
-    rows = rows.join(plan, (rows._key == plan._p_key) & (rows._nth == plan._p_nth))
-    copies = rows.select(*[rows[c] for c in docs.columns], F.explode("_p_positions").alias(position))
+    rows = docs.withColumn(key, _key(seed)).withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy("source", "doc_id")))
+    rows = rows.join(plan, (F.col(key) == F.col(p_key)) & (F.col(nth) == F.col(p_nth)))
+    copies = rows.select(*docs.columns, F.explode(at).alias(position))
     return copies.repartitionByRange(F.col(position), F.col("doc_id")).sortWithinPartitions(position, "doc_id")

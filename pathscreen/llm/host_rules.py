@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathscreen.llm.common import words
+from pathscreen.llm.common import unused, words
 from pathscreen.staging import stage
 
 HOST_LIMIT = 0.6       # largest shrunk failure rate that a host may have
@@ -91,11 +91,14 @@ def host_quality(docs: DataFrame, host: str = "source", limit: float = HOST_LIMI
     Runs jobs: measured rows are written once to the shared folder, the verdicts as well, so the planner knows the
     size of the verdicts and broadcasts them only under its own limit; otherwise the join shuffles and a hot host is
     split by the adaptive skew join. A null or empty text has no words and fails ``short``; a null host is a host of
-    its own; repeated rows each count; an empty table gives an empty result; other columns pass through unread.
+    its own; repeated rows each count; an empty table gives an empty result; other columns pass through
+    unread, but for those named like the four results, which are replaced.
     """
+    docs = docs.drop("_measures", "_base_failed", "_host_rejected", "_kept")
+    own, = unused(docs.columns, "_host")
     measured = stage(docs.withColumn("_measures", measures(F.col("text"))))
-    verdicts = stage(host_verdicts(measured, host, limit).select(F.col("host").alias("_host"), F.col("host_rejected").alias("_host_rejected")))
+    verdicts = stage(host_verdicts(measured, host, limit).select(F.col("host").alias(own), F.col("host_rejected").alias("_host_rejected")))
     failed = flags(F.col("_measures"))
     base = failed["short"] | failed["repeat"]
-    out = measured.join(verdicts, measured[host].eqNullSafe(verdicts["_host"]), "left").drop("_host")
+    out = measured.join(verdicts, measured[host].eqNullSafe(verdicts[own]), "left").drop(own)
     return out.withColumn("_base_failed", base).withColumn("_kept", ~base & ~F.col("_host_rejected"))

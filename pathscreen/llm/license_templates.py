@@ -160,9 +160,10 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``_licenses``: n_words and places (label, first word, end, by template or by phrase).
 
     One narrow pass over whole texts. Null or empty texts have no words and no places; repeated rows are scanned each; an empty
-    table gives an empty result; other columns pass through.
+    table gives an empty result; other columns pass through, one named like the result is replaced.
     """
     from functools import partial
     from pyspark.sql.pandas.types import to_arrow_type
+    docs = docs.drop(RESULT)
     schema = T.StructType([*docs.schema.fields, T.StructField(RESULT, RESULT_TYPE)])
     return docs.mapInArrow(partial(_scan, to_arrow_type(RESULT_TYPE), text), schema)

@@ -131,7 +131,8 @@ def license_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``_license_texts``: n_words and places (label, first word, end, whole text or notice).
 
     Words are those of ``words``. One narrow pass over whole texts. Null or empty texts have no words and no places; repeated rows are
-    scanned each; an empty table gives an empty result; other columns pass through.
+    scanned each; an empty table gives an empty result; other columns pass through, one named like the result is replaced.
     """
+    docs = docs.drop(RESULT)
     schema = T.StructType([*docs.schema.fields, T.StructField(RESULT, RESULT_TYPE)])
     return docs.mapInArrow(partial(_scan, to_arrow_type(RESULT_TYPE), text), schema)

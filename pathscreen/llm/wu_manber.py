@@ -120,10 +120,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
 
     ``items(item_id, text)``. Runs a job over the benchmark. Null or empty texts have no words and no spans; items
     without words match nothing; an empty benchmark finds nothing; repeated rows are searched each; repeated items count
-    once by id; other columns pass through.
+    once by id; other columns pass through, one named like the result is replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_type
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop(RESULT)
     pairs = stage(item_windows(items))
     blocks = -(-pairs.count() // BLOCK)
     none = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast(RESULT_TYPE["spans"].dataType).alias("spans"), F.array().cast("array<string>").alias("items"))
