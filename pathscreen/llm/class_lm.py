@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -22,7 +21,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pathscreen.llm.chosen_path import tokens
 from pathscreen.llm.common import pieces
 from pathscreen.staging import stage
 
@@ -33,7 +31,9 @@ ROUNDS = 10
 CACHED = 120_000    # words whose classes and counts are broadcast
 KEEP = 0.95         # weight of class bigrams against class unigrams
 END = b"\n"         # no word holds it
-FLUSH = 300_000     # distinct words or bigrams that a task holds before it emits them
+FLUSH = 300_000     # rows of a batch of pairs
+PIECE = 16_000_000  # bytes of text that a task holds as words
+SHARES = 64         # partitions of the units
 LEVELS, PARTS = 16, 4096  # frequency levels an octave, and hashed parts of one level
 
 
@@ -50,80 +50,49 @@ class Units(dict):
     __missing__ = ending
 
 
-class Seen(dict):
-    """Units of words that a task has met."""
-
-    def __init__(self, units: Units):
-        super().__init__(units)
-        self.units = units
-
+class Cached(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = at = self.units.ending(word)
-        return at
-
-
-class Numbers(dict):
-    """Word numbers: the given words first, then new words in order of appearance."""
-
-    def __init__(self, given: list[bytes]):
-        super().__init__({w: i for i, w in enumerate(given)})
-        self.first, self.new = len(self), []
+        return -1
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = self.first + len(self.new)
-        self.new.append(word)
-        return at
 
-    def forget(self) -> None:
-        for w in self.new:
-            del self[w]
-        self.new = []
+def encoded(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(word number of every token, the different words, tokens of each text). Words are those of ``tokens``; null and empty texts have none."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    sizes, words = np.diff(split.offsets.to_numpy()).astype(np.int64), split.flatten()
+    some = pc.not_equal(words, "")  # white space at either end of a text leaves an empty word
+    if pc.all(some).as_py() is False:
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes), some.to_numpy(zero_copy_only=False), len(sizes)).astype(np.int64)
+        words = words.filter(some)
+    found = words.dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.cast(pa.binary()), sizes
 
 
-class Cached(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
+def with_ends(values: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """The values of texts of these sizes with ``end`` before the first and after each."""
+    return np.insert(values, np.concatenate([[0], np.cumsum(sizes)]), end)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count: Counter = Counter()
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], names=["word", "n"])
-
-    for batch in pieces(batches):
-        for text in batch.column("text").to_pylist():
-            count.update(tokens(text))
-            count[END] += 1
-        if len(count) > FLUSH:
-            yield out()
-            count.clear()
-    yield out()
+    for batch in pieces(batches, most=PIECE):
+        ids, words, sizes = encoded(batch.column("text"))
+        n = np.bincount(ids, minlength=len(words))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.array(np.append(n, len(sizes)))], names=["word", "n"])
 
 
 def _count_pairs(units, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = Seen(units.value)
-    end, wide = known[END], units.value.base + ENDINGS
-    held: list[np.ndarray] = []
-
-    def out():
-        codes, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array((codes // wide).astype(np.int32)), pa.array((codes % wide).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
-
-    for batch in pieces(batches):
-        flat = [end]
-        for text in batch.column("text").to_pylist():
-            flat.extend(map(known.__getitem__, tokens(text)))
-            flat.append(end)
-        if len(known) > FLUSH:
-            known = Seen(units.value)
-        ids = np.array(flat, np.int64)
-        held.append(ids[:-1] * wide + ids[1:])
-        if sum(map(len, held)) > 20 * FLUSH:
-            yield out()
-    if held:
-        yield out()
+    known = units.value
+    end, wide = known[END], known.base + ENDINGS
+    counts = np.zeros(wide * wide, np.int32)  # a fixed size, whatever the input
+    for batch in pieces(batches, most=PIECE):
+        ids, words, sizes = encoded(batch.column("text"))
+        of = np.fromiter(map(known.__getitem__, words.to_pylist()), np.int64, len(words))
+        flat = with_ends(of[ids], sizes, end)
+        codes, n = np.unique(flat[:-1] * wide + flat[1:], return_counts=True)
+        counts[codes] += n.astype(np.int32)
+    codes = np.flatnonzero(counts)
+    for i in range(0, len(codes), FLUSH):
+        part = codes[i:i + FLUSH]
+        yield pa.RecordBatch.from_arrays([pa.array((part // wide).astype(np.int32)), pa.array((part % wide).astype(np.int32)), pa.array(counts[part].astype(np.int64))], names=["a", "b", "n"])
 
 
 def _f(x):
@@ -135,22 +104,39 @@ def likelihood(bigrams: np.ndarray) -> float:
     return float(_f(bigrams).sum() - _f(bigrams.sum(axis=0)).sum() - _f(bigrams.sum(axis=1)).sum())
 
 
-def _move(classes: int, totals, turn: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one unit each (unit, class, counts by class to the left (side 0) and right (1), own bigrams (2)); gives its best class."""
-    pair, left, right = totals.value  # class bigrams, their sums by first and by second class
+def _of(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(side, other unit, count) of the unit in row i of ``adjacent``."""
+    near = batch.column("near")
+    a, b = near.offsets[i].as_py(), near.offsets[i + 1].as_py()
+    return tuple(near.values.field(name).slice(a, b - a).to_numpy() for name in ("side", "other", "n"))
+
+
+def _bigrams(classes: int, kind, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class bigrams (code, n) of a task's rows of ``adjacent``."""
+    of, total = kind.value, np.zeros(classes * classes)
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            at = row["class"]
-            if at == 0 or zlib.crc32(f"{row['unit']} {turn}".encode()) % parts:
-                out.append(at)
+        for i, unit in enumerate(batch.column("unit").to_pylist()):
+            side, other, n = _of(batch, i)
+            first = side > 0  # the unit's own bigrams as the first of both; those as the second are counted at the other unit
+            at = of[unit] * classes
+            total[at:at + classes] += np.bincount(of[other[first]], n[first], classes)
+    codes = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(total[codes].astype(np.int64))], names=["code", "n"])
+
+
+def _move(classes: int, shared, turn: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best class of each unit of this turn's part, by its rows of ``adjacent``."""
+    of, pair = shared.value  # classes of the units, class bigrams
+    left, right = pair.sum(axis=1), pair.sum(axis=0)
+    for batch in batches:
+        units, out = [], []
+        for i, unit in enumerate(batch.column("unit").to_pylist()):
+            at = int(of[unit])
+            if at == 0 or zlib.crc32(f"{unit} {turn}".encode()) % parts:
                 continue
-            l, r, own = np.zeros(classes), np.zeros(classes), 0
-            for x in row["near"]:
-                if x["side"] == 2:
-                    own = x["n"]
-                else:
-                    (r if x["side"] else l)[x["k"]] += x["n"]
+            side, other, n = _of(batch, i)
+            l, r = (np.bincount(of[other[side == x]], n[side == x], classes) for x in (0, 1))
+            own = float(n[side == 2].sum())
             n_first, n_second = r.sum() + own, l.sum() + own
             # without the unit
             p = pair.copy()
@@ -161,90 +147,85 @@ def _move(classes: int, totals, turn: int, parts: int, batches: Iterator[pa.Reco
             a[at] -= n_first
             b[at] -= n_second
             # gain of adding it to each class k; its own bigrams join the pair (k, k)
-            gain = (_f(p + l[:, None]) - _f(p)).sum(axis=0) + (_f(p + r[None, :]) - _f(p)).sum(axis=1)
+            f = _f(p)
+            gain = (_f(p + l[:, None]) - f).sum(axis=0) + (_f(p + r[None, :]) - f).sum(axis=1)
             d = np.diagonal(p)
             gain += _f(d + l + r + own) - _f(d + l) - _f(d + r) + _f(d)
             gain -= _f(a + n_first) - _f(a) + _f(b + n_second) - _f(b)
             gain[0] = -np.inf
             best = int(gain.argmax())
-            out.append(best if gain[best] > gain[at] + 1e-9 else at)
-        yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(out, pa.int32())], names=["unit", "class"])
-
-
-def _class_table(spark, kind: list[int]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(list(enumerate(kind)), "unit int, class int"))  # one row per unit, of which there are a fixed number
+            if gain[best] > gain[at] + 1e-9:
+                units.append(unit)
+                out.append(best)
+        yield pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(out, pa.int32())], names=["unit", "class"])
 
 
-def _neighbours(pairs: DataFrame, kind: list[int], classes: int) -> tuple[DataFrame, np.ndarray]:
-    """(unit, class, side, k, n), written, and the class bigrams."""
-    of = _class_table(pairs.sparkSession, kind)
+def adjacent(pairs: DataFrame) -> DataFrame:
+    """(unit, near), written: all neighbours of a unit, to its left (side 0), to its right (1) and itself (2). A unit has at most one of each unit and side."""
     other = pairs.where("a != b")
-    sides = (other.join(of.withColumnsRenamed({"unit": "a", "class": "k"}), "a").select(F.col("b").alias("unit"), F.lit(0).alias("side"), "k", "n")
-             .unionByName(other.join(of.withColumnsRenamed({"unit": "b", "class": "k"}), "b").select(F.col("a").alias("unit"), F.lit(1).alias("side"), "k", "n"))
-             .unionByName(pairs.where("a = b").select(F.col("a").alias("unit"), F.lit(2).alias("side"), F.lit(0).alias("k"), "n")))
-    near = stage(sides.groupBy("unit", "side", "k").agg(F.sum("n").alias("n")).join(of, "unit"))
-    bigrams = np.zeros((classes + 1, classes + 1))
-    for r in near.where("side != 1").groupBy(F.when(F.col("side") == 2, F.col("class")).otherwise(F.col("k")).alias("x"), F.col("class").alias("y")).agg(F.sum("n").alias("n")).collect():
-        bigrams[r.x, r.y] = r.n  # at most (classes + 1) squared
-    return near, bigrams
+    sides = (other.select(F.col("b").alias("unit"), F.lit(0).cast("tinyint").alias("side"), F.col("a").alias("other"), "n")
+             .unionByName(other.select(F.col("a").alias("unit"), F.lit(1).cast("tinyint").alias("side"), F.col("b").alias("other"), "n"))
+             .unionByName(pairs.where("a = b").select(F.col("a").alias("unit"), F.lit(2).cast("tinyint").alias("side"), F.col("b").alias("other"), "n")))
+    return stage(sides.repartition(SHARES, "unit").groupBy("unit").agg(F.collect_list(F.struct("side", "other", "n")).alias("near")))
 
 
 def exchange(pairs: DataFrame, units: int, ended: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[list[int], np.ndarray, list[float]]:
-    """(class of every unit, class bigrams, likelihood after each round) from ``pairs(a, b, n)``. The driver holds one number per unit and the class
-    bigrams, both of fixed size."""
-    spark = pairs.sparkSession
-    kind = [0 if u == ended else 1 + u % classes for u in range(units)]
-    near, p = _neighbours(pairs, kind, classes)
+    """(class of every unit, class bigrams, likelihood after each round) from ``pairs(a, b, n)``. Neighbours are grouped by unit once; a round reads them
+    twice without a shuffle. The driver holds one number per unit and the class bigrams, both of fixed size."""
+    spark, near = pairs.sparkSession, adjacent(pairs)
+
+    def bigrams(kind: np.ndarray) -> np.ndarray:
+        out = np.zeros((classes + 1) ** 2)
+        counted = near.mapInArrow(partial(_bigrams, classes + 1, spark.sparkContext.broadcast(kind)), "code int, n long")
+        for r in counted.groupBy("code").agg(F.sum("n").alias("n")).collect():  # at most (classes + 1) squared
+            out[r.code] = r.n
+        return out.reshape(classes + 1, classes + 1)
+
+    kind = np.array([0 if u == ended else 1 + u % classes for u in range(units)])
+    p = bigrams(kind)
     reached, parts = [likelihood(p)], 2
     for turn in range(rounds):
-        totals = spark.sparkContext.broadcast((p, p.sum(axis=1), p.sum(axis=0)))
-        rows = near.groupBy("unit", "class").agg(F.collect_list(F.struct("side", "k", "n")).alias("near"))  # at most 2 entries per class and one more
-        moved = list(kind)
-        for r in rows.mapInArrow(partial(_move, classes + 1, totals, turn, parts), "unit int, class int").collect():  # one small row per unit
+        moved = kind.copy()
+        shared = spark.sparkContext.broadcast((kind, p))
+        for r in near.mapInArrow(partial(_move, classes + 1, shared, turn, parts), "unit int, class int").collect():  # at most one small row per unit
             moved[r.unit] = r["class"]
-        if moved != kind:
-            then, q = _neighbours(pairs, moved, classes)
+        if (moved != kind).any():
+            q = bigrams(moved)
             if likelihood(q) > reached[-1]:
-                kind, near, p = moved, then, q
+                kind, p = moved, q
             else:
                 parts *= 2
         reached.append(likelihood(p))
-    return kind, p, reached
+    return kind.tolist(), p, reached
+
+
+def packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A binary value of the bytes of ``values[starts[i]:starts[i + 1]]`` for each i."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, how many per row) of a column of ``packed``."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0]:at[-1]].view(kind), np.diff(at) // np.dtype(kind).itemsize
 
 
 def _near_words(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per word that is no unit of its own: counts (n) by code: class of the left neighbour's unit, or CLASSES + 1 more for the right one's."""
+    """One row per piece and word that is no unit of its own: packed codes (1 byte) and counts (4 bytes). Code: class of the left neighbour's unit, or
+    CLASSES + 1 more for the right one's."""
     units, kind = shared.value
-    wide = 2 * (CLASSES + 1)
-    numbers, own = Numbers(list(units)), np.array(kind[:units.base], np.int64)
-    held: list[np.ndarray] = []
-
-    def out():
-        codes, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
+    classes, wide = np.array(kind, np.int64), 2 * (CLASSES + 1)
+    for batch in pieces(batches, most=PIECE):
+        ids, words, sizes = encoded(batch.column("text"))
+        of = np.fromiter(map(units.__getitem__, words.to_pylist()), np.int64, len(words))
+        around = with_ends(classes[of][ids], sizes, 0)
+        rare = np.flatnonzero((of >= units.base)[ids])
+        place = rare + 1 + np.repeat(np.arange(len(sizes)), sizes)[rare]  # in ``around``
+        codes, n = np.unique(np.concatenate([ids[rare] * wide + around[place - 1], ids[rare] * wide + CLASSES + 1 + around[place + 1]]), return_counts=True)
         word, starts = np.unique(codes // wide, return_index=True)
-        offsets = pa.array(np.append(starts, len(codes)).astype(np.int32))
-        words = pa.array(numbers.new, pa.binary()).take(pa.array(word - numbers.first))
-        numbers.forget()
-        return pa.RecordBatch.from_arrays([words, pa.ListArray.from_arrays(offsets, pa.array((codes % wide).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))], names=["word", "codes", "n"])
-
-    new = np.zeros(0, np.int64)
-    for batch in pieces(batches):
-        flat = [numbers[END]]
-        for text in batch.column("text").to_pylist():
-            flat.extend(map(numbers.__getitem__, tokens(text)))
-            flat.append(numbers[END])
-        ids = np.array(flat, np.int64)
-        new = np.concatenate([new, np.fromiter((kind[units.ending(w)] for w in numbers.new[len(new):]), np.int64)])
-        of = np.concatenate([own, new])[ids]
-        rare = np.flatnonzero(ids >= numbers.first)  # a batch begins and ends with the end
-        held.append(ids[rare] * wide + of[rare - 1])
-        held.append(ids[rare] * wide + CLASSES + 1 + of[rare + 1])
-        if len(numbers.new) > FLUSH or sum(map(len, held)) > 20 * FLUSH:
-            yield out()
-            new = new[:0]
-    if sum(map(len, held)):
-        yield out()
+        starts = np.append(starts, len(codes))
+        yield pa.RecordBatch.from_arrays([words.take(pa.array(word)), packed((codes % wide).astype("u1"), starts), packed(n.astype("<i4"), starts)], names=["word", "codes", "n"])
 
 
 def _assign(weights: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +245,8 @@ def _assign(weights: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[
         group = np.cumsum(new) - int(new[0])
         if new[0] and last is not None:
             yield out(pa.array([last], words.type), carry[None, :])
-        codes, n = batch.column("codes"), batch.column("n")
-        at = np.repeat(group, np.diff(codes.offsets.to_numpy())) * wide + codes.flatten().to_numpy()
-        counts = np.bincount(at, n.flatten().to_numpy().astype(float), minlength=(group[-1] + 1) * wide).reshape(-1, wide)
+        (codes, sizes), (n, _) = unpacked(batch.column("codes"), "u1"), unpacked(batch.column("n"), "<i4")
+        counts = np.bincount(np.repeat(group, sizes) * wide + codes, n, minlength=(group[-1] + 1) * wide).reshape(-1, wide)
         if not new[0]:
             counts[0] += carry
         firsts = np.searchsorted(group, np.arange(group[-1] + 1))
@@ -287,7 +267,7 @@ def assigned(texts: DataFrame, units: Units, kind: list[int], bigrams: np.ndarra
 
     weights = np.concatenate([given(bigrams.T).T, given(bigrams).T])[:, 1:]
     shared = texts.sparkSession.sparkContext.broadcast((units, kind))
-    near = texts.mapInArrow(partial(_near_words, shared), "word binary, codes array<int>, n array<long>")
+    near = texts.mapInArrow(partial(_near_words, shared), "word binary, codes binary, n binary")
     return near.repartition("word").sortWithinPartitions("word").mapInArrow(partial(_assign, weights), "word binary, n long, class int")
 
 
@@ -322,41 +302,41 @@ def _read(reader, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Per text: tokens and known words without the end, log10(count + 1) of cached words, class bigrams (codes, times) of which both sides are cached,
     and every other word with its place, the classes before and after it (-1: not cached) and the class of its ending."""
     m, wide = reader.value, CLASSES + 1
-    for batch in pieces(batches):
-        texts = batch.column("text").to_pylist()
-        sizes, known, logs, codes, times, rest = [], [], [], [], [], []
-        for text in texts:
-            found = tokens(text)
-            at = np.fromiter(map(m.at.__getitem__, found), np.int64, len(found))
-            kinds = np.zeros(len(found) + 2, np.int64)
-            kinds[1:-1] = m.kind[at]
-            other = np.flatnonzero(at < 0)
-            a, b = kinds[:-1], kinds[1:]
-            both = (a >= 0) & (b >= 0)
-            n = np.bincount(a[both] * wide + b[both])
+    for batch in pieces(batches, most=PIECE):
+        ids, found, sizes = encoded(batch.column("text"))
+        different = found.to_pylist()
+        at = np.fromiter(map(m.at.__getitem__, different), np.int64, len(different))
+        ending = np.fromiter((0 if i >= 0 else m.unit_kind[m.units.ending(w)] for w, i in zip(different, at.tolist())), np.int32, len(different))
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        kinds = with_ends(m.kind[at][ids], sizes, 0)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        other = np.flatnonzero((at < 0)[ids])
+        place = other + 1 + text[other]  # in ``kinds``
+        rests = np.bincount(text[other], minlength=len(sizes))
+        a, b = kinds[:-1], kinds[1:]
+        steps = np.where((a >= 0) & (b >= 0), a * wide + b, wide * wide)
+        codes, times = [], []
+        for i in range(len(sizes)):
+            n = np.bincount(steps[ends[i] + i:ends[i + 1] + i + 1], minlength=wide * wide + 1)[:-1]
             some = np.flatnonzero(n)
-            sizes.append(len(found))
-            known.append(len(found) - len(other))
-            logs.append(float(m.logs[at].sum()))
             codes.append(some)
             times.append(n[some])
-            rest.append((other, kinds[other], kinds[other + 2], [found[i] for i in other.tolist()]))
-        words = [w for r in rest for w in r[3]]
-        own = np.fromiter((m.unit_kind[m.units.ending(w)] for w in words), np.int32, len(words))
-        flat = [pa.array(np.concatenate([r[i] for r in rest]).astype(np.int32)) for i in range(3)]
-        lists = lambda parts, values: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), values)
+        lists = lambda parts, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(parts)]).astype(np.int32)), values)
+        many = [len(c) for c in codes]
+        rest = pa.StructArray.from_arrays([pa.array((other - ends[text[other]]).astype(np.int32)), pa.array(kinds[place - 1].astype(np.int32)), pa.array(kinds[place + 1].astype(np.int32)),
+                                           found.take(pa.array(ids[other])), pa.array(ending[ids[other]])], names=["place", "before", "after", "word", "ending"])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(logs),
-             lists(codes, pa.array(np.concatenate(codes).astype(np.int32))), lists(times, pa.array(np.concatenate(times).astype(np.int64))),
-             lists([r[0] for r in rest], pa.StructArray.from_arrays([flat[0], flat[1], flat[2], pa.array(words, pa.binary()), pa.array(own)], names=["place", "before", "after", "word", "ending"]))],
+            [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes), pa.array(sizes - rests), pa.array(np.bincount(text, m.logs[at][ids], len(sizes))),
+             lists(many, pa.array(np.concatenate(codes).astype(np.int32))), lists(many, pa.array(np.concatenate(times).astype(np.int64))), lists(rests, rest)],
             names=["doc_id", "held_out", "words", "known", "logs", "codes", "times", "rest"])
 
 
 def _steps(value: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        codes, n = batch.column("codes"), batch.column("times")
+        codes = batch.column("codes")
+        n = batch.column("times").flatten().to_numpy() if "times" in batch.schema.names else 1
         rows = np.repeat(np.arange(batch.num_rows), np.diff(codes.offsets.to_numpy()))
-        total = np.bincount(rows, value[codes.flatten().to_numpy()] * n.flatten().to_numpy(), minlength=batch.num_rows)
+        total = np.bincount(rows, value[codes.flatten().to_numpy()] * n, minlength=batch.num_rows)
         keep = [name for name in batch.schema.names if name not in ("codes", "times")]
         yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in keep), pa.array(total.astype(float))], names=[*keep, "steps"])
 
@@ -395,7 +375,8 @@ def class_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     previous = F.lag("own").over(Window.partitionBy("row").orderBy("place"))  # one document's words; the one before is not cached either, so it is here
     into = F.when(F.col("before") >= 0, F.col("before")).otherwise(previous) * wide + F.col("own")
     both = F.when(F.col("after") >= 0, F.array(into, F.col("own") * wide + F.col("after"))).otherwise(F.array(into))
-    rest = stage(rest.select("row", "held_out", "n", both.alias("codes")))
+    rest = stage(rest.select("row", "held_out", "n", both.alias("codes")).groupBy("row", "held_out").agg(  # the rows of a document are together already
+        F.sum((F.col("n") > 0).cast("long")).alias("more_known"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"), F.flatten(F.collect_list("codes")).alias("codes")))
 
     pairs = (read.where(~F.col("held_out")).select(F.explode(F.arrays_zip("codes", "times")).alias("x")).select(F.col("x.codes").alias("code"), F.col("x.times").alias("n"))
              .unionByName(rest.where(~F.col("held_out")).select(F.explode("codes").alias("code"), F.lit(1).cast("long").alias("n"))))
@@ -408,9 +389,7 @@ def class_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     total, v = int(mass.sum()), int(types.sum())
     value = (transitions(bigrams.reshape(wide, wide)) - np.log10(mass + types + 1)).ravel()  # by the code of a bigram; each token is the second of one
 
-    ones = rest.select("row", "n", "codes", F.transform("codes", lambda _: F.lit(1).cast("long")).alias("times"))
-    ones = ones.mapInArrow(partial(_steps, value), "row long, n long, steps double")
-    more = ones.groupBy("row").agg(F.sum((F.col("n") > 0).cast("long")).alias("more_known"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"), F.sum("steps").alias("more_steps"))
+    more = rest.drop("held_out").mapInArrow(partial(_steps, value), "row long, more_known long, more_logs double, more_steps double")
     out = read.select("row", "doc_id", "held_out", "words", "known", "logs", "codes", "times").mapInArrow(
         partial(_steps, value), f"row long, doc_id {doc_id}, held_out boolean, words long, known long, logs double, steps double").join(more, "row", "left")
     n_tokens, logs = F.col("words") + 1, F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.lit(math.log10(ends + 1))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pathscreen.llm import class_lm
@@ -100,3 +101,12 @@ def test_flat_vocabulary(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.permutation(1000))) for i in range(8)], "doc_id long, text string")
     words, units, _ = class_lm.learned(docs.select("text"))
     assert words.count() == 1001 and 250 < units.base <= 301
+
+
+def test_encoded_words():
+    texts = ["", None, "  a B\tc d \x1c e\x1df\x85 i\x0bj\x0ck\r\nl ", " Ä É ", "z", "a a"]
+    ids, words, sizes = class_lm.encoded(pa.array(texts))
+    found = words.to_pylist()
+    assert [found[i] for i in ids] == [w for t in texts for w in tokens(t)] and sizes.tolist() == [len(tokens(t)) for t in texts]
+    assert class_lm.with_ends(ids, sizes, -1).tolist() == [-1, *(x for t in texts for x in [*(found.index(w) for w in tokens(t)), -1])]
+    assert [len(x) for x in class_lm.encoded(pa.array([], pa.string()))] == [0, 0, 0]
