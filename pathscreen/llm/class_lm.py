@@ -32,7 +32,7 @@ CACHED = 120_000    # words whose classes and counts are broadcast
 KEEP = 0.95         # weight of class bigrams against class unigrams
 END = b"\n"         # no word holds it
 FLUSH = 300_000     # rows of a batch of pairs
-PIECE = 16_000_000  # bytes of text that a task holds as words
+PIECE = 4_000_000   # bytes of text that a task holds as words
 SHARES = 64         # partitions of the units
 LEVELS, PARTS = 16, 4096  # frequency levels an octave, and hashed parts of one level
 
