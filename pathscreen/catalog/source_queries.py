@@ -13,7 +13,7 @@ from pathscreen.functions.exprs import d
 from pathscreen.operators import metrics as M, scan
 from pathscreen.operators.metrics import ID
 from pathscreen.session import checkpoint_dir
-from pathscreen.sources import files as FI, prices as P, samples, sinks
+from pathscreen.sources import big_files, files as FI, prices as P, samples, sinks
 from pathscreen.staging import stage
 from pathscreen.streaming import drawdown, prices as SP, windows
 
@@ -42,6 +42,17 @@ def scan_delimited(spark, folder):
     return FI.scan_delimited(text_files(spark, folder))
 
 
+@query("scan_ranges", """SELECT doc_id, c::INT col_no, CASE c WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN coalesce(source,'') ELSE coalesce(text,'') END txt FROM documents, (VALUES (0),(1),(2)) t(c)""")
+def scan_ranges(spark, folder):
+    """All documents as quoted text files, whose cells hold line ends, read again in ranges."""
+    root = fresh_folder(spark, "documents")
+    (table(spark, folder, "documents").select("doc_id", "source", "text").write.option("header", True).option("quoteAll", True).option("escape", '"')
+     .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(root))
+    cells = stage(big_files.scan_ranges(spark, root, "*.csv"))
+    ids = cells.where("col_no = 0 AND row_no > 0").select("path", "row_no", F.col("txt").cast("long").alias("doc_id"))
+    return cells.join(ids, ["path", "row_no"]).select("doc_id", "col_no", "txt")
+
+
 @query("scan_format_route", """SELECT path, ext AS extension, CASE WHEN ext IN ('.xlsx','.xls','.xlsm') OR doc_id%7=0 THEN 'workbook' ELSE 'text' END kind FROM (SELECT doc_id, 'd'||doc_id||['.csv','.XLSX','.txt','','.tsv?x=1'][1+doc_id%5] path, ['.csv','.xlsx','.txt','','.tsv'][1+doc_id%5] ext FROM documents)""")
 def scan_format_route(spark, folder):
     t = table(spark, folder, "documents")
