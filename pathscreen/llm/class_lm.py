@@ -28,11 +28,12 @@ CLASSES = 48        # besides the end, which is class 0
 UNIT_WORDS = 4096   # words that are exchanged one by one
 ENDINGS = 1024      # units of rarer words, by hashed last three bytes
 ROUNDS = 10
-CACHED = 120_000    # words whose classes and counts are broadcast
+CACHED = 240_000    # words whose classes and counts are broadcast
 KEEP = 0.95         # weight of class bigrams against class unigrams
 END = b"\n"         # no word holds it
 FLUSH = 300_000     # rows of a batch of pairs
-PIECE = 4_000_000   # bytes of text that a task holds as words
+PIECE = 10_000_000  # bytes of text that a task holds as words while it counts
+READ = 4_000_000    # the same beside the cached words
 SHARES = 64         # partitions of the units
 LEVELS, PARTS = 16, 4096  # frequency levels an octave, and hashed parts of one level
 
@@ -302,7 +303,7 @@ def _read(reader, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Per text: tokens and known words without the end, log10(count + 1) of cached words, class bigrams (codes, times) of which both sides are cached,
     and every other word with its place, the classes before and after it (-1: not cached) and the class of its ending."""
     m, wide = reader.value, CLASSES + 1
-    for batch in pieces(batches, most=PIECE):
+    for batch in pieces(batches, most=READ):
         ids, found, sizes = encoded(batch.column("text"))
         different = found.to_pylist()
         at = np.fromiter(map(m.at.__getitem__, different), np.int64, len(different))
