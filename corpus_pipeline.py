@@ -65,7 +65,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("benchmark decontamination", decontamination), ("mixing", mixing), ("token output", token_output)]
-#: Near-duplicate links over words and ids of a tokenizer can't be stated in SQL. Tests cover the operators one by one, not the stages in a chain.
+#: Near-duplicate links over words and ids of a tokenizer can't be stated in SQL; ``tests/llm/test_pipeline.py`` holds every stage and ``run`` to plain Python.
 ORACLE_SQL = None
 
 
