@@ -1,7 +1,8 @@
 """Sinks: strict JSON reports, audit tables, minimal daily text."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pathscreen.functions.exprs import d, finite
 from pathscreen.operators import metrics as M, scan
@@ -39,9 +40,15 @@ def write_audit(rows: DataFrame, path: str, fmt: str = "csv", mode: str = "error
         rows.write.mode(mode).format(fmt).save(path)
 
 
+@F.pandas_udf(T.StringType())
+def _fixed(x: pd.Series, digits: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None or v != v else f"{v:.{k}f}" for v, k in zip(x, digits)], dtype=object)
+
+
 def number_text(x: Column, digits: int = 10) -> Column:
-    """Plain decimal text with a fixed number of digits, trailing zeros removed."""
-    text = F.format_string(f"%.{digits}f", x)
+    """Plain decimal text with a fixed number of digits, trailing zeros removed. Rounded from the exact binary value, as C and Python do; Java's formatter
+    rounds the shortest decimal text, which differs where that ends in a 5."""
+    text = _fixed(x.cast("double"), F.lit(digits))
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
