@@ -8,13 +8,14 @@ from pathscreen.catalog.views import ctes, v_ret, v_trd
 from pathscreen.operators import scan, trades as T
 from pathscreen.operators.metrics import ID
 from pathscreen.functions.exprs import d
+from pathscreen.staging import stage
 
 WORDS = ("Entry long", "Exit long", "进场", "平仓", "open", "TP hit")
 
 
 def v_ev(spark, folder):
     """Two event rows per trade, worded differently per strategy; one group never writes an exit word."""
-    t = v_trd(spark, folder)
+    t = stage(v_trd(spark, folder))  # masks and pairs read the events several times
     m = F.col(ID) % 3
     entry = F.when(m == 0, WORDS[0]).when(m == 1, WORDS[2]).otherwise(WORDS[4])
     exit_ = F.when(m == 0, WORDS[1]).when(m == 1, WORDS[3]).otherwise(WORDS[5])
@@ -55,7 +56,7 @@ LT = "SELECT *, strategy_id%2=0 is_pct, CASE WHEN strategy_id%2=0 THEN ret*1500
 def load_trades(spark, folder):
     raw = v_trd(spark, folder).withColumn("is_pct", F.col(ID) % 2 == 0)
     raw = raw.withColumn("ret", F.when(F.col("is_pct"), F.col("ret") * d(1500)).otherwise(F.col("ret") * d(30)))
-    kept, facts, _ = T.load_trades(raw)
+    kept, facts, _ = T.load_trades(stage(raw))
     return pick(kept.join(facts.select(ID, F.col("symbol").alias("first_symbol")), ID), [ID, "trade_no", "exit_ts", "first_symbol"], ["ret"])
 
 
@@ -64,7 +65,7 @@ DAYS = "(epoch_us(exit_ts)-epoch_us(entry_ts))::DOUBLE/86400000000.0::DOUBLE"
 
 @query("holding_stats", ctes("v_trd") + f"SELECT strategy_id, count(*) n, count(*) AS valid, {r(f'median({DAYS})', 6, 'holding_median')}, {r(f'avg({DAYS})', 6, 'holding_mean')} FROM v_trd GROUP BY 1 HAVING count(*)>=3")
 def holding_stats(spark, folder):
-    return pick(T.holding_stats(v_trd(spark, folder)), [ID, "n", "valid"], ["holding_median", "holding_mean"])
+    return pick(T.holding_stats(stage(v_trd(spark, folder))), [ID, "n", "valid"], ["holding_median", "holding_mean"])
 
 
 def v_seq(spark, folder):
@@ -88,7 +89,7 @@ OV = """SELECT strategy_id, count(*) trades, sum((entry_ts < mx)::BIGINT)::BIGIN
 
 @query("overlap_reject", ctes("v_trd", "v_ret", sq=SEQ, mx0=MIX, ov=OV) + "SELECT strategy_id, trades, coalesce(overlap_count,0) overlap_count, coalesce(overlap_count,0)>0 rejected FROM ov")
 def overlap_reject(spark, folder):
-    return T.overlap_check(v_mix(spark, folder))
+    return T.overlap_check(stage(v_mix(spark, folder)))
 
 
 DAILY = """SELECT strategy_id, day, coalesce(g,1)-1 ret FROM (SELECT strategy_id, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day FROM (SELECT strategy_id, min(entry_ts::DATE) a, max(exit_ts::DATE) b FROM us GROUP BY 1))
@@ -109,5 +110,5 @@ TOP = """SELECT strategy_id, count(*) n_trades, sum(CASE WHEN ret>0 THEN ret ELS
 @query("top_contributors", ctes("v_trd", t=TOP) + f"""SELECT strategy_id, n_trades, {r('t1/tot', 6, 'top1_share')}, {r('t3/tot', 6, 'top3_share')}, {r('t5/tot', 6, 'top5_share')}, {r('wo', 6, 'compound_without_top3')}, {r('win_rate')},
    CASE WHEN t3/tot<0.45 THEN 'high' WHEN t3/tot<0.7 THEN 'medium' ELSE 'low' END diversification, CASE WHEN t3/tot<0.45 THEN 'low' WHEN t3/tot<0.7 THEN 'medium' ELSE 'high' END dependency FROM t""")
 def top_contributors(spark, folder):
-    return pick(T.top_contributors(v_trd(spark, folder)), [ID, "n_trades"], ["top1_share", "top3_share", "top5_share", "compound_without_top3", "win_rate"],
+    return pick(T.top_contributors(stage(v_trd(spark, folder))), [ID, "n_trades"], ["top1_share", "top3_share", "top5_share", "compound_without_top3", "win_rate"],
                 ["diversification", "dependency"])

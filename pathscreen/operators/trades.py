@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pathscreen.functions.exprs import MICROS_PER_DAY, d, first_when, micros
 from pathscreen.operators import scan
 from pathscreen.operators.metrics import ID
+from pathscreen.staging import stage
 
 # Words that mark entry and exit rows.
 EXIT_WORDS = r"\b(exit|close|closed|cover)\b|出场|平仓|离场"
@@ -25,10 +26,12 @@ def event_masks(events: DataFrame, event: str = "event") -> DataFrame:
 
 
 def pair_first_entry(marked: DataFrame, min_share: float = 0.7, kept: tuple[str, ...] = ()) -> DataFrame:
-    """Exit rows, with their columns ``kept``, and the first entry time of their trade; dropped where under 70% of exits map."""
+    """Exit rows, with their columns ``kept``, and the first entry time of their trade; dropped where under 70% of exits map.
+
+    Runs a job: the pairs are staged, as the shares and the result read them."""
     entries = marked.where("is_entry AND ts IS NOT NULL").groupBy(ID, "trade_id").agg(F.min("ts").alias("entry_ts"))
     exits = marked.where("is_exit").select(ID, "trade_id", F.col("ts").alias("exit_ts"), "ret", *kept)
-    rows = exits.join(entries, [ID, "trade_id"], "left")
+    rows = stage(exits.join(entries, [ID, "trade_id"], "left"))
     share = rows.groupBy(ID).agg(F.avg(F.col("entry_ts").isNotNull().cast("double")).alias("_share"))
     rows = rows.join(share, ID)
     return rows.withColumn("entry_ts", F.when(F.col("_share") >= min_share, F.col("entry_ts"))).drop("_share")
@@ -84,10 +87,12 @@ def overlap_check(trades: DataFrame, chunk: str = scan.CHUNK) -> DataFrame:
 def trades_to_daily(trades: DataFrame, chunk: str = scan.CHUNK) -> DataFrame:
     """Spread each trade geometrically over its inclusive days; flat days return 0.
 
-    Strategies with overlapping trades or fewer than 3 valid ones have no daily path.
+    Strategies with overlapping trades or fewer than 3 valid ones have no daily path. Runs jobs: the valid trades and the
+    usable strategies are staged, as the check, the calendar and the growth read them.
     """
     valid = trades.where("entry_ts IS NOT NULL AND exit_ts >= entry_ts AND ret IS NOT NULL")
-    usable = overlap_check(valid, chunk).where("NOT rejected AND trades >= 3").select(ID)
+    valid = stage(valid.select(ID, "trade_no", "entry_ts", "exit_ts", "ret"))
+    usable = stage(overlap_check(valid, chunk).where("NOT rejected AND trades >= 3").select(ID))
     rows = valid.join(usable, ID, "left_semi").withColumn("first_day", F.to_date("entry_ts")).withColumn("last_day", F.to_date("exit_ts"))
     span = rows.groupBy(ID).agg(F.min("first_day").alias("_a"), F.max("last_day").alias("_b"))
     spine = span.select(ID, F.explode(F.sequence("_a", "_b")).alias("day"))  # bounded by the calendar
