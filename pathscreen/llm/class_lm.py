@@ -32,8 +32,9 @@ CACHED = 240_000    # words whose classes and counts are broadcast
 KEEP = 0.95         # weight of class bigrams against class unigrams
 END = b"\n"         # no word holds it
 FLUSH = 300_000     # rows of a batch of pairs
-PIECE = 10_000_000  # bytes of text that a task holds as words while it counts
+PIECE = 4_000_000   # bytes of text that a task holds as words while it counts
 READ = 4_000_000    # the same beside the cached words
+PAIRS = 2_000_000   # different pairs that a task holds before it hands them on
 SHARES = 64         # partitions of the units
 LEVELS, PARTS = 16, 4096  # frequency levels an octave, and hashed parts of one level
 
@@ -80,20 +81,27 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.array(np.append(n, len(sizes)))], names=["word", "n"])
 
 
+def _pair_rows(wide: int, codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(codes), FLUSH):
+        part = codes[i:i + FLUSH]
+        yield pa.RecordBatch.from_arrays([pa.array((part // wide).astype(np.int32)), pa.array((part % wide).astype(np.int32)), pa.array(n[i:i + FLUSH])], names=["a", "b", "n"])
+
+
 def _count_pairs(units, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = units.value
     end, wide = known[END], known.base + ENDINGS
-    counts = np.zeros(wide * wide, np.int32)  # a fixed size, whatever the input
+    codes, n = np.zeros(0, np.int32), np.zeros(0, np.int64)  # wide squared fits into 32 bits
     for batch in pieces(batches, most=PIECE):
         ids, words, sizes = encoded(batch.column("text"))
-        of = np.fromiter(map(known.__getitem__, words.to_pylist()), np.int64, len(words))
+        of = np.fromiter(map(known.__getitem__, words.to_pylist()), np.int32, len(words))
         flat = with_ends(of[ids], sizes, end)
-        codes, n = np.unique(flat[:-1] * wide + flat[1:], return_counts=True)
-        counts[codes] += n.astype(np.int32)
-    codes = np.flatnonzero(counts)
-    for i in range(0, len(codes), FLUSH):
-        part = codes[i:i + FLUSH]
-        yield pa.RecordBatch.from_arrays([pa.array((part // wide).astype(np.int32)), pa.array((part % wide).astype(np.int32)), pa.array(counts[part].astype(np.int64))], names=["a", "b", "n"])
+        new, times = np.unique(flat[:-1] * np.int32(wide) + flat[1:], return_counts=True)
+        codes, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, times]), len(codes)).astype(np.int64)
+        if len(codes) > PAIRS:
+            yield from _pair_rows(wide, codes, n)
+            codes, n = codes[:0], n[:0]
+    yield from _pair_rows(wide, codes, n)
 
 
 def _f(x):
@@ -327,7 +335,7 @@ def _read(reader, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rest = pa.StructArray.from_arrays([pa.array((other - ends[text[other]]).astype(np.int32)), pa.array(kinds[place - 1].astype(np.int32)), pa.array(kinds[place + 1].astype(np.int32)),
                                            found.take(pa.array(ids[other])), pa.array(ending[ids[other]])], names=["place", "before", "after", "word", "ending"])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes), pa.array(sizes - rests), pa.array(np.bincount(text, m.logs[at][ids], len(sizes))),
+            [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes), pa.array(sizes - rests), pa.array(np.bincount(text, m.logs[at][ids], len(sizes)).astype(float)),  # of no tokens at all, numpy counts in integers
              lists(many, pa.array(np.concatenate(codes).astype(np.int32))), lists(many, pa.array(np.concatenate(times).astype(np.int64))), lists(rests, rest)],
             names=["doc_id", "held_out", "words", "known", "logs", "codes", "times", "rest"])
 
