@@ -46,6 +46,12 @@ def test_gates_and_caps(spark):
     assert not doc.str.contains("NaN|Infinity").any()
 
 
+def test_branches_of_the_features_are_planned_one_by_one(spark):
+    p = stage(M.path(frame(spark, record(300, 7))))
+    plan = S.feature_table(p, sims=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not any(step in plan for step in ("Aggregate", "Window", "Generate"))
+
+
 def test_live_state_equals_the_batch_and_counts_late_rows():
     pdf = record(200, 8)
     us = pdf.ts.astype("int64").to_numpy() // 1000
