@@ -49,9 +49,16 @@ class Uploads:
 
 
 def typed_cells(cells: DataFrame) -> DataFrame:
-    """cells(file, row_no from 0, col_no, name, txt) with ``norm``, ``value``, ``is_pct`` and ``ts`` per cell, by the rules of its column."""
-    named = cells.withColumn("norm", N.normalize_column_name(F.col("name")))
-    return MP.parse_dates(MP.coerce_numeric(named, COLUMN, name=F.col("norm")), COLUMN)
+    """cells(file, row_no from 0, col_no, name, txt) with ``norm``, ``value``, ``is_pct`` and ``ts`` per cell, by the rules of its column.
+
+    Runs a job that stages the cells, as the rules and the cells read them. Names are normalized once a column."""
+    cells, keys, at = stage(cells), list(COLUMN), F.array_position("_names", F.col("name")).cast("int") - 1
+    names = cells.groupBy(*keys).agg(F.collect_set("name").alias("_names"))  # one, where the names come from a header
+    names = names.withColumn("_norms", F.transform("_names", N.normalize_column_name)).withColumn("_by_name", F.transform("_norms", MP.percent_name))
+    rules = stage(MP.number_rules(cells, keys).join(MP.date_rules(cells, keys), keys).join(names, keys))  # one row per column
+    rows = cells.join(rules, keys).withColumn("norm", F.get("_norms", at)).withColumn("is_pct", F.col("is_pct") | F.get("_by_name", at))
+    rows = rows.withColumn("value", MP.to_number(F.col("txt"), F.col("is_pct"), F.col("comma")))
+    return MP.with_dates(rows).drop("comma", "_day_first", "_names", "_norms", "_by_name")
 
 
 def column_profile(typed: DataFrame) -> DataFrame:

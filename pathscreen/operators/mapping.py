@@ -60,6 +60,12 @@ def _bare(txt: Column) -> Column:
     return F.replace(F.replace(F.trim(txt), F.lit("%"), F.lit("")), F.lit(" "), F.lit(""))
 
 
+def to_double(text: Column) -> Column:
+    """The double a text holds. Times and dates with two separators hold none and are not tried, as each failure is an exception in Java."""
+    dated = F.contains(text, F.lit(":")) | text.rlike(r"^\d+[-/.]\d+[-/.]")
+    return F.when(~dated, text.try_cast("double"))
+
+
 def number_rules(cells: DataFrame, keys=("file",), txt: str = "txt") -> DataFrame:
     """Per column: do most values carry a percent sign, are most decimal commas."""
     t = F.trim(F.col(txt))
@@ -70,16 +76,19 @@ def number_rules(cells: DataFrame, keys=("file",), txt: str = "txt") -> DataFram
 
 def to_number(txt: Column, is_pct: Column, comma: Column) -> Column:
     bare = _bare(txt)
-    num = F.when(comma, F.replace(bare, F.lit(","), F.lit("."))).otherwise(F.replace(bare, F.lit(","), F.lit(""))).try_cast("double")
+    num = to_double(F.when(comma, F.replace(bare, F.lit(","), F.lit("."))).otherwise(F.replace(bare, F.lit(","), F.lit(""))))
     return F.when(is_pct, num / d(100)).otherwise(num)
 
 
+def percent_name(name: Column) -> Column:
+    return (F.contains(name, F.lit("pct")) | F.contains(name, F.lit("percent"))) & ~F.contains(name, F.lit("ratio"))
+
+
 def coerce_numeric(cells: DataFrame, keys=("file",), txt: str = "txt", name: Column | None = None) -> DataFrame:
     """Numeric value per cell; percent by sign or by column name ("ratio" names are never percent)."""
     rules = number_rules(cells, keys, txt)
     rows = cells.join(rules, list(keys))
-    by_name = F.lit(False) if name is None else ((F.contains(name, F.lit("pct")) | F.contains(name, F.lit("percent"))) & ~F.contains(name, F.lit("ratio")))
-    rows = rows.withColumn("is_pct", F.col("is_pct") | by_name)
+    rows = rows.withColumn("is_pct", F.col("is_pct") | (F.lit(False) if name is None else percent_name(name)))
     return rows.withColumn("value", to_number(F.col(txt), F.col("is_pct"), F.col("comma"))).drop("comma")
 
 
@@ -117,13 +126,22 @@ def parse_dates(cells: DataFrame, keys=("file",), txt: str = "txt", resolution:
 
     Where day and month are both numbers before the year, a column is day first if some first number is above 12 and no
     second one is; otherwise month first."""
-    rows = cells.withColumn("_num", F.trim(F.col(txt)).try_cast("double"))
+    return with_dates(cells.join(date_rules(cells, keys, txt, resolution), list(keys)), txt).drop("_day_first")
+
+
+def date_rules(cells: DataFrame, keys=("file",), txt: str = "txt", resolution: int = scan.RESOLUTION) -> DataFrame:
+    """Per column: ``unit`` of its dates and whether they are day first (``_day_first``)."""
+    rows = cells.withColumn("_num", to_double(F.trim(F.col(txt))))
     med = scan.exact_quantiles(rows.withColumn("_abs", F.abs("_num")), list(keys), "_abs", {"_med": 0.5}, resolution)
-    above = lambda i: F.coalesce(F.max(F.regexp_extract(F.trim(F.col(txt)), _DAY_MONTH, i).try_cast("int")) > 12, F.lit(False))
+    above = lambda i: F.coalesce(F.max(F.when(F.trim(F.col(txt)).rlike(_DAY_MONTH), F.regexp_extract(F.trim(F.col(txt)), _DAY_MONTH, i).try_cast("int"))) > 12, F.lit(False))
     share = rows.groupBy(*keys).agg(F.avg(F.col("_num").isNotNull().cast("double")).alias("_share"), (above(1) & ~above(2)).alias("_day_first"))
-    rules = share.join(med, list(keys), "left").select(
+    return share.join(med, list(keys), "left").select(
         *keys, "_day_first", F.when(F.col("_share") > 0.8, F.coalesce(date_unit(F.col("_med")), F.lit("text"))).otherwise("text").alias("unit"))
-    rows = rows.join(rules, list(keys))
+
+
+def with_dates(cells: DataFrame, txt: str = "txt") -> DataFrame:
+    """``ts`` per cell from the text and the columns of ``date_rules``."""
+    rows = cells.withColumn("_num", to_double(F.trim(F.col(txt))))
     whole = F.trim(F.col(txt)).try_cast("long")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
@@ -138,7 +156,7 @@ def parse_dates(cells: DataFrame, keys=("file",), txt: str = "txt", resolution:
         (F.col("unit") == "s", after(epoch, F.col("_num") * d(1_000_000))), (F.col("unit") == "ms", after(epoch, F.col("_num") * d(1_000))),
         (F.col("unit") == "us", after(epoch, whole.cast("double"))), (F.col("unit") == "ns", after(epoch, F.floor(F.when(F.abs("_num") < d(2.5e20), F.col("_num")) / d(1000)).cast("double"))),
         (None, F.regexp_replace(iso_text(text, F.col("_day_first")), r"\s*(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")))
-    return rows.withColumn("ts", ts).drop("_num", "_day_first")
+    return rows.withColumn("ts", ts).drop("_num")
 
 
 # --- series ---------------------------------------------------------------------------------------
