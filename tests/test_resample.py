@@ -109,3 +109,14 @@ def test_partial_overlap_is_marked(spark):
     px, mp = market(spark, 200)
     out = B.compare(frame(spark, record(400, 6)), px, mp).toPandas()
     assert out.partial[0]
+
+
+def test_simulated_bars_are_dealt_by_their_number(spark, monkeypatch):
+    ret = pd.concat([record(150, 1, 1), record(150, 2, 2)]).assign(asset_key="a")
+    joined = stage(frame(spark, ret.assign(aret=ret.ret * 0.5 + 0.001)))
+    whole = R.random_control_bars(joined, 16).toPandas().sort_values("strategy_id")
+    monkeypatch.setattr(R, "TASK_ROWS", 500)
+    pos = R.positions(joined, 16)
+    assert "REPARTITION_BY_NUM" in pos._jdf.queryExecution().executedPlan().toString() and pos.rdd.getNumPartitions() == 10  # 300 bars x 16 / 500
+    split = R.random_control_bars(joined, 16).toPandas().sort_values("strategy_id")
+    assert np.allclose(whole[["strat_calmar", "random_calmar_p50", "random_p"]], split[["strat_calmar", "random_calmar_p50", "random_p"]])
