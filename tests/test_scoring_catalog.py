@@ -52,6 +52,18 @@ def test_branches_of_the_features_are_planned_one_by_one(spark):
     assert "Join" in plan and not any(step in plan for step in ("Aggregate", "Window", "Generate"))
 
 
+def test_parts_of_the_rules_are_planned_one_by_one(spark, monkeypatch):
+    plans = {}
+    for name in ("with_pillars", "_gates", "_verdict"):
+        def part(f, name=name, real=getattr(S, name)):
+            plans[name] = f._jdf.queryExecution().optimizedPlan().toString()
+            return real(f)
+        monkeypatch.setattr(S, name, part)
+    out = score(spark, record(300, 7), [(1, None, "other", 1, False, False)])
+    assert out.count() == 1 and len(plans) == 3
+    assert not any(step in plan for plan in plans.values() for step in ("Join", "Project"))
+
+
 def test_live_state_equals_the_batch_and_counts_late_rows():
     pdf = record(200, 8)
     us = pdf.ts.astype("int64").to_numpy() // 1000
