@@ -11,6 +11,7 @@ from pathscreen.functions.exprs import d, first_when, micros, pearson
 from pathscreen.functions import names as N
 from pathscreen.operators import metrics as M, scan
 from pathscreen.operators.metrics import ID
+from pathscreen.staging import stage
 
 
 # --- names ------------------------------------------------------------------------------------
@@ -130,11 +131,14 @@ def parse_dates(cells: DataFrame, keys=("file",), txt: str = "txt", resolution:
 
 
 def date_rules(cells: DataFrame, keys=("file",), txt: str = "txt", resolution: int = scan.RESOLUTION) -> DataFrame:
-    """Per column: ``unit`` of its dates and whether they are day first (``_day_first``)."""
-    rows = cells.withColumn("_num", to_double(F.trim(F.col(txt))))
-    med = scan.exact_quantiles(rows.withColumn("_abs", F.abs("_num")), list(keys), "_abs", {"_med": 0.5}, resolution)
-    above = lambda i: F.coalesce(F.max(F.when(F.trim(F.col(txt)).rlike(_DAY_MONTH), F.regexp_extract(F.trim(F.col(txt)), _DAY_MONTH, i).try_cast("int"))) > 12, F.lit(False))
-    share = rows.groupBy(*keys).agg(F.avg(F.col("_num").isNotNull().cast("double")).alias("_share"), (above(1) & ~above(2)).alias("_day_first"))
+    """Per column: ``unit`` of its dates and whether they are day first (``_day_first``). Runs a job: the ranks read the numbers
+    several times, and a text inlined in them would be read anew for each use."""
+    t = F.trim(F.col(txt))
+    part = lambda i: F.when(t.rlike(_DAY_MONTH), F.regexp_extract(t, _DAY_MONTH, i).try_cast("int"))
+    rows = stage(cells.select(*keys, F.abs(to_double(t)).alias("_abs"), part(1).alias("_d1"), part(2).alias("_d2")))
+    med = scan.exact_quantiles(rows, list(keys), "_abs", {"_med": 0.5}, resolution)
+    above = lambda c: F.coalesce(F.max(c) > 12, F.lit(False))
+    share = rows.groupBy(*keys).agg(F.avg(F.col("_abs").isNotNull().cast("double")).alias("_share"), (above("_d1") & ~above("_d2")).alias("_day_first"))
     return share.join(med, list(keys), "left").select(
         *keys, "_day_first", F.when(F.col("_share") > 0.8, F.coalesce(date_unit(F.col("_med")), F.lit("text"))).otherwise("text").alias("unit"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pathscreen.functions.exprs import d, first_when
 from pathscreen.operators import scan
+from pathscreen.staging import stage
 
 # Column names per role.
 DATE_NAMES = ("exit_date", "exit_dt", "exit_time", "close_time", "closed_time", "close_datetime", "date", "bar_dt", "datetime", "timestamp",
@@ -80,7 +81,9 @@ def date_quality(cells: DataFrame, key: str = "file", txt: str = "txt", ts: str
 
 
 def return_unit_hint(values: DataFrame, key: str = "file", value: str = "value") -> DataFrame:
-    q = scan.exact_quantiles(values.withColumn("_a", F.abs(value)), [key], "_a", {"p95_abs": 0.95})
+    """Percent, decimal or ambiguous by the size of the values. Runs a job: the ranks read the values several times, and the rule
+    that makes a number of a text would be worked out anew for each use."""
+    q = scan.exact_quantiles(stage(values.select(key, F.abs(value).alias("_a"))), [key], "_a", {"p95_abs": 0.95})
     return q.withColumn("unit", F.when(F.col("p95_abs") > 2, "percent").when(F.col("p95_abs") <= 1, "decimal").otherwise("ambiguous"))
 
 

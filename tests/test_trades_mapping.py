@@ -107,3 +107,12 @@ def test_personal_values(spark):
     df = spark.createDataFrame([("a", "write to me@x.org"), ("a", "fine"), ("b", "call +49 170 123 45 67"), ("c", "nothing")], "g string, t string")
     out = Q.pii_values(df, "g", "t").orderBy("column").toPandas()
     assert out.kind.tolist() == ["email", "phone", None]
+
+
+def test_texts_are_read_once_before_ranks(spark):
+    rules = MP.date_rules(cells(spark, ["2024-01-02", "45293", "n/a"]))
+    hint = Q.return_unit_hint(MP.coerce_numeric(cells(spark, ["1.2%", "-0.5%", "0.3%"])))
+    for df in (rules, hint):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" in plan and "txt" not in plan and "replace(" not in plan
+    assert rules.toPandas().unit[0] == "text" and hint.toPandas().unit[0] == "decimal"
