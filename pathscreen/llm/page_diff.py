@@ -1,8 +1,9 @@
 """HTML main text by markup and nearest-URL page differencing.
 
-Markup is cut into blocks. Blocks in menus, headers, footers, sidebars, forms, notices, adverts or comments go. If the page marks
-its article, the article's blocks are the text. A page that marks none is paired with the page of the nearest URL path on its
-host that marks none either; the lines of both are aligned by longest common subsequence and the shared ones go.
+Markup is cut into blocks, the lines of a page. Every page is paired with the page of the nearest URL path on its host; the lines
+of both are aligned by longest common subsequence and the shared ones go. A check by markup follows: blocks in menus, headers,
+footers, sidebars, forms, notices, adverts or comments go though no other page has them, and if the page marks its article, the
+article's blocks are the text, also those that another page repeats.
 """
 from __future__ import annotations
 
@@ -41,6 +42,7 @@ BESIDES = {"site", "page", "global", "main", "primary", "secondary", "top", "bot
            "module", "section", "container", "wrapper", "wrap", "inner", "outer", "sticky", "fixed", "mobile", "desktop", "buttons", "wall", "overlay", "posts", "articles", "form", "item", "items",
            "icon", "button", "toggle", "link", "body", "text", "thread", "reply"}
 TITLES = {"header", "masthead"}  # no surroundings within an article, as the element of that name
+MAIN, OPEN, OUT = range(3)  # a block in the article, in neither the article nor surroundings, in surroundings
 NO, NAME, CARDS, SURE = range(4)  # surroundings: none, by name, by the name of matter with articles of its own, by element or role
 
 
@@ -66,15 +68,14 @@ def _around(roles: set[str], names: set[str], titles: bool) -> int:
     return found
 
 
-def blocks(page: str) -> tuple[list[str], list[str], bool]:
-    """(blocks of the article, blocks outside of it and of all that surrounds it, whether an article is marked).
+def marked_lines(page: str) -> tuple[list[str], list[int], bool]:
+    """(all blocks in page order, for each what the markup says of it: ``MAIN``, ``OPEN`` or ``OUT``, whether an article is marked).
 
     An article within surroundings that only a name tells is the article if no other is marked; if the name is that of cards or
-    comments, only if the page has nothing else.
+    comments, only if the page has nothing else. ``OPEN`` blocks are outside of it and of all that surrounds it.
     """
-    found: dict[int, list[str]] = {NO: [], NAME: [], CARDS: []}  # blocks of articles, by the surroundings they stand in
+    found: list[tuple[str, int | None, bool]] = []  # block, surroundings of the article it is in (None: in no article), whether it is surroundings itself
     marks: set[int] = set()
-    other: list[str] = []
     held: list[str] = []
     stack: list[tuple[str, int | None, int]] = []  # container, surroundings of the article it is in (None: in no article), surroundings within that
     inside: int | None = None
@@ -85,8 +86,8 @@ def blocks(page: str) -> tuple[list[str], list[str], bool]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
-            if text and not around and not own:
-                (other if inside is None else found[inside]).append(text)
+            if text:
+                found.append((text, inside, bool(around or own)))
 
     cut = _CUT.search(page)
     size = cut.start() if cut else len(page)
@@ -134,10 +135,17 @@ def blocks(page: str) -> tuple[list[str], list[str], bool]:
                 marks.add(inside)
             stack.append((name, inside, around))
     end_block()
-    for level in (NO, NAME):
-        if level in marks:
-            return found[level], other, True
-    return (found[CARDS], other, True) if CARDS in marks and not other else ([], other, False)
+    level = next((k for k in (NO, NAME) if k in marks), None)
+    if level is None and CARDS in marks and all(out or at_ is not None for _, at_, out in found):
+        level = CARDS
+    said = [OUT if out else OPEN if at_ is None else MAIN if at_ == level else OUT for _, at_, out in found]
+    return [text for text, _, _ in found], said, level is not None
+
+
+def blocks(page: str) -> tuple[list[str], list[str], bool]:
+    """(blocks of the article, blocks outside of it and of all that surrounds it, whether an article is marked); see ``marked_lines``."""
+    texts, said, marked = marked_lines(page)
+    return [t for t, k in zip(texts, said) if k == MAIN], [t for t, k in zip(texts, said) if k == OPEN], marked
 
 
 def common(a: list, b: list) -> set[int]:
@@ -172,8 +180,8 @@ def _page_key() -> Column:
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "html"):
-        found = (blocks(p or "") for p in batch.column("html").to_pylist())
-        out = [[] if marked else [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t in other] for _, other, marked in found]
+        found = (marked_lines(p or "")[0] for p in batch.column("html").to_pylist())
+        out = [[xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t in texts] for texts in found]
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), batch.column("path"), pa.array(out, pa.list_(pa.int64()))], names=["key", "host", "path", "lines"])
 
 
@@ -200,7 +208,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """(key, gone): for pages without a marked article, the numbers of the lines that the nearest page of their host shares.
+    """(key, gone): the numbers of the lines of each page, surroundings and article alike, that the nearest page of its host shares.
 
     Pages are numbered in the order of host and path by ranges, so a host of any size is spread; each meets the page before
     and the page after it by number and is aligned with the one whose path has more in common with its own.
@@ -226,18 +234,23 @@ def shared_lines(pages: DataFrame) -> DataFrame:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "html"):
-        texts, shared = [], []
+        texts, shared, repeated, restored = [], [], [], []
         for page, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-            main, other, marked = blocks(page or "")
+            lines, said, marked = marked_lines(page or "")
             drop = set(gone or ())
-            texts.append("\n\n".join(main if marked else [t for i, t in enumerate(other) if i not in drop]))
-            shared.append(0 if marked else len(drop))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(shared, pa.int64())],
-                                         names=["page_id", "url", "text", "n_chars", "n_shared"])
+            # differencing leaves the lines that the nearest page lacks; the check by markup takes out what surrounds and gives back a marked article
+            kept = [i for i, k in enumerate(said) if (k == MAIN if marked else k == OPEN and i not in drop)]
+            texts.append("\n\n".join(lines[i] for i in kept))
+            shared.append(0 if marked else sum(said[i] == OPEN for i in drop))
+            repeated.append(len(drop))
+            restored.append(len(drop.intersection(kept)))
+        columns = [pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], shared, repeated, restored))]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], names=["page_id", "url", "text", "n_chars", "n_shared", "n_repeated", "n_restored"])
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_shared (lines that differencing took out) of every row of ``pages(page_id, url, html)``.
+    """page_id, url, text, n_chars, n_shared (lines that only differencing took out), n_repeated (lines that the nearest page has
+    too), n_restored (of these, lines of a marked article, which stay) of every row of ``pages(page_id, url, html)``.
 
     Null or empty html: the empty text. Null urls and urls without a host: no pair, nothing is taken out as shared. Repeated rows
     get equal results and are not paired with each other; paths that tie go by the page's hash; an empty table gives
@@ -247,4 +260,4 @@ def main_texts(pages: DataFrame) -> DataFrame:
     gone = stage(shared_lines(plain)).withColumnRenamed("key", "_key")
     rows = plain.withColumn("key", _page_key()).join(gone, F.col("key") == F.col("_key"), "left").select("page_id", "url", "html", "gone")
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long, n_shared long")
+    return rows.mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long, n_shared long, n_repeated long, n_restored long")

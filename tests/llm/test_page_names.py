@@ -38,3 +38,11 @@ def test_pages_pair_by_what_is_marked(spark):
     pages = [(i, f"http://h{i}.x/a/{k}", plain % (x, 10 * i + k)) for i, x in enumerate(extra) for k in (1, 2)]
     out = page_diff.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {(r.page_id, r.url[-1], r.text, r.n_shared) for r in out} == {(i, str(k), f"Own {10 * i + k}", 2) for i in range(len(extra)) for k in (1, 2)}
+
+
+def test_pages_that_mark_an_article_are_paired_too(spark):
+    page = "<nav>Home</nav><p>Teaser %d</p><article><h1>Title %d</h1><p>Same words</p></article><footer>All rights</footer>"
+    pages = [(k, f"http://h.x/a/{k}", page % (k, k)) for k in (1, 2)] + [(3, "http://other.x/a/1", page % (1, 1))]
+    out = page_diff.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.text) for r in out} == {(i, f"Title {k}\n\nSame words") for i, k in ((1, 1), (2, 2), (3, 1))}
+    assert {(r.page_id, r.n_shared, r.n_repeated, r.n_restored) for r in out} == {(1, 0, 3, 1), (2, 0, 3, 1), (3, 0, 0, 0)}
