@@ -1,7 +1,7 @@
 """HTML main text by markup and nearest-URL page differencing.
 
-Markup is cut into blocks, the lines of a page. Every page is paired with the page of the nearest URL path on its host; the lines
-of both are aligned by longest common subsequence and the shared ones go. A check by markup follows: blocks in menus, headers,
+Markup is cut into blocks, the lines of a page. Every page is paired with the page of the nearest URL path on its host that
+marks an article as it does, or marks none as it does; the lines of both are aligned by longest common subsequence and the shared ones go. A check by markup follows: blocks in menus, headers,
 footers, sidebars, forms, notices, adverts or comments go though no other page has them, and if the page marks its article, the
 article's blocks are the text, also those that another page repeats.
 """
@@ -180,9 +180,12 @@ def _page_key() -> Column:
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "html"):
-        found = (marked_lines(p or "")[0] for p in batch.column("html").to_pylist())
-        out = [[xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t in texts] for texts in found]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), batch.column("path"), pa.array(out, pa.list_(pa.int64()))], names=["key", "host", "path", "lines"])
+        out, marks = [], []
+        for texts, _, marked in (marked_lines(p or "") for p in batch.column("html").to_pylist()):
+            out.append([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t in texts])
+            marks.append(marked)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), pa.array(marks, pa.bool_()), batch.column("path"), pa.array(out, pa.list_(pa.int64()))],
+                                         names=["key", "host", "marked", "path", "lines"])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,26 +211,26 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """(key, gone): the numbers of the lines of each page, surroundings and article alike, that the nearest page of its host shares.
+    """(key, gone): the numbers of the lines of each page, surroundings and article alike, that the nearest page of its host and kind shares.
 
-    Pages are numbered in the order of host and path by ranges, so a host of any size is spread; each meets the page before
+    The pages of a host that mark an article and those that mark none are two kinds: their layouts differ. Pages are numbered in the order of host, kind and path by ranges, so a host of any size is spread; each meets the page before
     and the page after it by number and is aligned with the one whose path has more in common with its own.
     """
     host, path = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1)), F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)", 1)
     open_ = pages.where(F.col("html").isNotNull() & F.col("url").isNotNull())
     rows = open_.select(_page_key().alias("key"), host.alias("host"), path.alias("path"), "html").where("host != ''")
-    rows = stage(rows.mapInArrow(_lines, "key binary, host string, path string, lines array<long>").where(F.size("lines") > 0).dropDuplicates(["key"]))
-    spread = rows.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
-    placed = stage(spread.mapInArrow(_numbered, "key binary, host string, path string, lines array<long>, shard int, at long"))
+    rows = stage(rows.mapInArrow(_lines, "key binary, host string, marked boolean, path string, lines array<long>").where(F.size("lines") > 0).dropDuplicates(["key"]))
+    spread = rows.repartitionByRange("host", "marked", "path", "key").sortWithinPartitions("host", "marked", "path", "key")
+    placed = stage(spread.mapInArrow(_numbered, "key binary, host string, marked boolean, path string, lines array<long>, shard int, at long"))
     base = placed.groupBy("shard").agg(F.count("*").alias("n"))
     base = base.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))  # one row per shard
-    placed = placed.join(base, "shard").withColumn("at", F.col("at") + F.col("base")).select("key", "host", "path", "lines", "at")
+    placed = placed.join(base, "shard").withColumn("at", F.col("at") + F.col("base")).select("key", "host", "marked", "path", "lines", "at")
 
     def near(step: int, name: str) -> DataFrame:
-        return placed.select((F.col("at") + step).alias("at"), F.col("host").alias(f"host_{name}"), F.col("path").alias(f"path_{name}"), F.col("lines").alias(f"lines_{name}"))
+        return placed.select((F.col("at") + step).alias("at"), F.col("host").alias(f"host_{name}"), F.col("marked").alias(f"marked_{name}"), F.col("path").alias(f"path_{name}"), F.col("lines").alias(f"lines_{name}"))
 
     met = placed.join(near(1, "b"), "at", "left").join(near(-1, "a"), "at", "left")
-    same = {n: F.col(f"host_{n}").eqNullSafe(F.col("host")) for n in "ba"}
+    same = {n: F.col(f"host_{n}").eqNullSafe(F.col("host")) & F.col(f"marked_{n}").eqNullSafe(F.col("marked")) for n in "ba"}
     met = met.select("key", "path", "lines", *(F.when(same[n], F.col(f"{c}_{n}")).alias(f"{c}_{n}") for n in "ba" for c in ("path", "lines")))
     return met.mapInArrow(_shared, "key binary, gone array<long>").where(F.size("gone") > 0)
 
