@@ -105,6 +105,22 @@ def test_event_control(spark):
     assert out.random_sims[0] == 64 and out.random_events[0] == 46 and out.method[0] == "event_window"
 
 
+def test_simulated_entries_are_not_broadcast(spark, monkeypatch):
+    px, mp = market(spark)
+    t, plans = trades(spark), []
+    ret = B.one_return_per_time(t.select("strategy_id", F.col("exit_ts").alias("ts"), "ret"))
+    bars = stage(R.event_bars(B.asset_side(B.asset_bars(px), B.overlap_windows(ret, px, mp))))
+
+    def staged(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(R, "stage", staged)
+    assert R.event_draws(t, bars, 16).count() == 46 * 16
+    fanned = [plan for plan in plans if "explode" in plan]
+    assert len(fanned) == 1 and "SortMergeJoin" in fanned[0] and "Broadcast" not in fanned[0]
+
+
 def test_partial_overlap_is_marked(spark):
     px, mp = market(spark, 200)
     out = B.compare(frame(spark, record(400, 6)), px, mp).toPandas()
