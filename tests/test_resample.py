@@ -121,6 +121,13 @@ def test_simulated_entries_are_not_broadcast(spark, monkeypatch):
     assert len(fanned) == 1 and "SortMergeJoin" in fanned[0] and "Broadcast" not in fanned[0]
 
 
+def test_drawn_steps_and_paths_are_not_broadcast(spark):
+    p = stage(M.path(frame(spark, record(90, 1, 1))))
+    for out in (R.monte_carlo_sims(p, 40), R.mc_bands(p, 40)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
 def test_partial_overlap_is_marked(spark):
     px, mp = market(spark, 200)
     out = B.compare(frame(spark, record(400, 6)), px, mp).toPandas()
