@@ -56,6 +56,12 @@ def has_hint(name: Column, hint) -> Column:
     return F.contains(F.concat(F.lit("_"), name, F.lit("_")), F.concat(F.lit("_"), hint, F.lit("_")))
 
 
+def first_hint(name: Column, hints) -> Column:
+    """Place of the first hint that the name has, from 1; 0 for none. A lambda over the one name keeps the plan short."""
+    words = F.concat(F.lit("_"), name, F.lit("_"))
+    return F.array_position(F.transform(F.array(*[F.lit(f"_{h}_") for h in hints]), lambda h: F.contains(words, h)), True)
+
+
 def any_hint(name: Column, hints) -> Column:
     out = has_hint(name, hints[0])
     for h in hints[1:]:

@@ -55,8 +55,9 @@ def typed_cells(cells: DataFrame) -> DataFrame:
     cells, keys, at = stage(cells), list(COLUMN), F.array_position("_names", F.col("name")).cast("int") - 1
     names = cells.groupBy(*keys).agg(F.collect_set("name").alias("_names"))  # one, where the names come from a header
     names = names.withColumn("_norms", F.transform("_names", N.normalize_column_name)).withColumn("_by_name", F.transform("_norms", MP.percent_name))
-    rules = stage(MP.number_rules(cells, keys).join(MP.date_rules(cells, keys), keys).join(names, keys))  # one row per column
-    rows = cells.join(rules, keys).withColumn("norm", F.get("_norms", at)).withColumn("is_pct", F.col("is_pct") | F.get("_by_name", at))
+    # one row per column, joined by sort and merge: by the size of their compressed files the planner would send rules and cells through the driver
+    rules = stage(MP.number_rules(cells, keys).hint("merge").join(MP.date_rules(cells, keys), keys).hint("merge").join(names, keys))
+    rows = cells.where("file IS NOT NULL AND col_no IS NOT NULL").hint("merge").join(rules, keys, "left").withColumn("norm", F.get("_norms", at)).withColumn("is_pct", F.col("is_pct") | F.get("_by_name", at))
     rows = rows.withColumn("value", MP.to_number(F.col("txt"), F.col("is_pct"), F.col("comma")))
     return MP.with_dates(rows).drop("comma", "_day_first", "_names", "_norms", "_by_name")
 
@@ -65,8 +66,8 @@ def column_profile(typed: DataFrame) -> DataFrame:
     """Facts per column: rows of its file, columns of its file, share of rows with a date and with a number, median magnitude."""
     size = typed.groupBy("file").agg((F.max("row_no") + 1).alias("rows"), F.count_distinct("col_no").alias("cols"))
     facts = typed.groupBy(*COLUMN).agg(F.min("norm").alias("norm"), F.count("ts").alias("dates"), F.count("value").alias("numbers"), F.bool_or("is_pct").alias("is_pct"))
-    median = scan.exact_quantiles(typed.withColumn("_abs", F.abs("value")), COLUMN, "_abs", {"median_abs": 0.5})
-    return facts.join(size, "file").join(median, list(COLUMN), "left").select(
+    median = scan.exact_quantiles(typed.withColumn("_abs", F.abs("value")), COLUMN, "_abs", {"median_abs": 0.5}, staged=True)
+    return facts.join(size, "file").hint("merge").join(median, list(COLUMN), "left").select(
         *COLUMN, "norm", "rows", "cols", (F.col("dates") / F.col("rows")).alias("date_share"), (F.col("numbers") / F.col("rows")).alias("numeric_share"), "median_abs", "is_pct")
 
 
@@ -158,16 +159,19 @@ def load_uploads(cells: DataFrame) -> Uploads:
 
 def _log_roles(typed: DataFrame, columns: DataFrame) -> DataFrame:
     """One row per trade log: its columns and unit. The event column is the first whose words tell exits from entries, else the first by name."""
-    names = MP.detect_trade_log(columns)
-    own = names.join(columns.drop("rows", "cols"), (names.file == columns.file) & (F.col("col_no") == F.col("pnl_col"))).select(names.file, "median_abs", F.col("is_pct").alias("signed"))
-    roles = MP.detect_trade_log(columns, medians=own.select("file", "median_abs")).join(own.select("file", "signed"), "file", "left")
-    events = columns.where(N.any_hint(F.col("norm"), N.EVENT_HINTS)).select("file", "col_no").join(roles.where("event_log").select("file"), "file")
+    # staged step by step, and tables of a row per file or column joined by sort and merge: one plan of all of it, and what it broadcasts, weigh on the driver
+    names = stage(MP.detect_trade_log(columns))
+    own = names.select("file", F.col("pnl_col").alias("col_no")).hint("merge").join(columns.select("file", "col_no", "median_abs", "is_pct"), ["file", "col_no"])
+    own = stage(own.select("file", "median_abs", F.col("is_pct").alias("signed")))
+    roles = MP.detect_trade_log(columns, medians=own.select("file", "median_abs")).hint("merge").join(own.select("file", "signed"), "file", "left")
+    events = columns.where(N.any_hint(F.col("norm"), N.EVENT_HINTS)).select("file", "col_no").hint("merge").join(names.where("event_log").select("file"), "file")
     text = F.lower(F.trim("txt"))
-    words = typed.join(events, ["file", "col_no"]).groupBy("file", "col_no").agg(
+    words = typed.select("file", "col_no", "txt").join(events, ["file", "col_no"], "left_semi").groupBy("file", "col_no").agg(
         F.bool_or(text.rlike(T.EXIT_WORDS)).alias("exits"), F.bool_or(text.rlike(T.ENTRY_WORDS)).alias("entries"), F.bool_or(~text.rlike(T.ENTRY_WORDS)).alias("others"))
     best = words.groupBy("file").agg(F.min(F.struct((~(F.col("exits") | F.col("entries") & F.col("others"))).alias("mute"), "col_no"))["col_no"].alias("event_best"))
     hinted = lambda hints, name: MP.match_hint(columns, hints).select("file", F.col("col_no").alias(name))
-    roles = roles.join(best, "file", "left").join(hinted(N.TRADE_HINTS, "trade_col"), "file", "left").join(hinted(N.SYMBOL_HINTS, "symbol_col"), "file", "left")
+    for more in (best, hinted(N.TRADE_HINTS, "trade_col"), hinted(N.SYMBOL_HINTS, "symbol_col")):
+        roles = roles.hint("merge").join(more, "file", "left")
     percent = F.coalesce("signed", F.lit(False)) | F.col("unit").startswith("percent")
     return roles.withColumn("event_col", F.coalesce("event_best", "event_col")).withColumn("percent", percent).withColumn("divide", percent & ~F.coalesce("signed", F.lit(False))).drop("event_best")
 
@@ -179,7 +183,8 @@ def _trade_logs(typed: DataFrame, profile: DataFrame) -> TradeLogs:
     refused = roles.where("unit IN ('absolute_only', 'refused')").select(c("file").alias(ID), F.when(c("unit") == "refused", "unit_refused").otherwise(c("unit")).alias("code"))
 
     roles_of = ("entry_col", "exit_col", "pnl_col", "event_col", "trade_col", "symbol_col")
-    cells = typed.select("file", "row_no", "col_no", "txt", "value", "ts").join(usable.select("file", "event_log", "divide", *roles_of), "file")
+    # a left join, as its left side, the cells, is never broadcast; cells of other files have no role
+    cells = typed.select("file", "row_no", "col_no", "txt", "value", "ts").join(usable.select("file", "event_log", "divide", *roles_of), "file", "left")
     cells = cells.where(F.greatest(*(F.coalesce((c("col_no") == c(r)).cast("int"), F.lit(0)) for r in roles_of)) == 1)
     cell = lambda role, what: F.max(F.when(c("col_no") == c(role), c(what)))
     rows = stage(cells.groupBy(c("file").alias(ID), "row_no", "event_log", c("divide").alias("is_pct")).agg(
@@ -205,7 +210,9 @@ def _trade_logs(typed: DataFrame, profile: DataFrame) -> TradeLogs:
     symbol = rows.groupBy(ID).agg(F.min_by("symbol", F.when(c("symbol").isNotNull(), c("row_no"))).alias("symbol"))
     size = profile.groupBy(c("file").alias(ID)).agg(F.max("rows").alias("rows"))
     named = roles.select(c("file").alias(ID), "event_log", "unit", "percent", c("pnl").alias("value_column"), c("exit").alias("date_column"))
-    meta = span.join(named, ID).join(size, ID).join(facts.select(ID, "clipped"), ID).join(symbol, ID, "left").join(used, ID, "left").join(T.holding_stats(trades).drop("n"), ID, "left")
+    meta = span
+    for part, how in ((named, "inner"), (size, "inner"), (facts.select(ID, "clipped"), "inner"), (symbol, "left"), (used, "left"), (stage(T.holding_stats(trades)).drop("n"), "left")):
+        meta = meta.hint("merge").join(part, ID, how)  # a row per log on either side
     meta = stage(meta.select(ID, F.lit("trade_log").alias("input_type"), F.lit("closed_trade").alias("caliber"), "value_column", "date_column", "symbol", "n",
                              (F.coalesce("used", "rows") - c("n")).alias("n_dropped"), F.coalesce("n_ignored", F.lit(0)).alias("n_ignored"), "start", "end", M.span_years_expr("start", "end").alias("span_years"),
                              M.ppy_expr(c("n"), "start", "end").alias("ppy"), F.lit("per-trade").alias("bar_freq"), "unit", "percent", "event_log", "clipped",

@@ -29,9 +29,8 @@ def dedupe_column_names(columns: DataFrame) -> DataFrame:
 
 def match_hint(columns: DataFrame, hints, name: str = "norm") -> DataFrame:
     """Per file the column of the first hint that occurs, hints in priority order."""
-    ranked = F.array(*[F.struct(F.lit(i).alias("hint_rank"), F.lit(h).alias("hint")) for i, h in enumerate(hints)])
-    rows = columns.select("file", "col_no", F.col(name).alias("_n"), F.explode(ranked).alias("h")).where(N.has_hint(F.col("_n"), F.col("h.hint")))
-    best = F.min(F.struct(F.col("h.hint_rank").alias("r"), "col_no", F.col("h.hint").alias("hint"), F.col("_n").alias("n")))
+    rows = columns.select("file", "col_no", F.col(name).alias("_n"), N.first_hint(F.col(name), hints).alias("_r")).where("_r > 0")
+    best = F.min(F.struct(F.col("_r").alias("r"), "col_no", F.element_at(F.array(*map(F.lit, hints)), F.col("_r").cast("int")).alias("hint"), F.col("_n").alias("n")))
     return rows.groupBy("file").agg(best.alias("b")).select("file", F.col("b.hint").alias("hint"), F.col("b.col_no").alias("col_no"), F.col("b.n").alias("column"))
 
 
@@ -136,7 +135,7 @@ def date_rules(cells: DataFrame, keys=("file",), txt: str = "txt", resolution: i
     t = F.trim(F.col(txt))
     part = lambda i: F.when(t.rlike(_DAY_MONTH), F.regexp_extract(t, _DAY_MONTH, i).try_cast("int"))
     rows = stage(cells.select(*keys, F.abs(to_double(t)).alias("_abs"), part(1).alias("_d1"), part(2).alias("_d2")))
-    med = scan.exact_quantiles(rows, list(keys), "_abs", {"_med": 0.5}, resolution)
+    med = scan.exact_quantiles(rows, list(keys), "_abs", {"_med": 0.5}, resolution, staged=True)
     above = lambda c: F.coalesce(F.max(c) > 12, F.lit(False))
     share = rows.groupBy(*keys).agg(F.avg(F.col("_abs").isNotNull().cast("double")).alias("_share"), (above("_d1") & ~above("_d2")).alias("_day_first"))
     return share.join(med, list(keys), "left").select(
@@ -239,19 +238,12 @@ def forward_looking_scan(columns: DataFrame, name: str = "norm", file: str = "fi
 def detect_trade_log(columns: DataFrame, name: str = "norm", medians: DataFrame | None = None) -> DataFrame:
     """Roles of a trade log per file: entry, exit, event and PnL column (names and, as *_col, numbers) and how its unit is decided."""
     n = F.col(name)
-
-    def ranked(hints, ok=None):
-        best = None
-        for i, h in enumerate(hints):
-            hit = N.has_hint(n, h) if ok is None else N.has_hint(n, h) & ok
-            item = F.when(hit, F.struct(F.lit(i).alias("r"), "col_no", n.alias("n")))
-            best = item if best is None else F.coalesce(best, item)
-        return F.min(best)
-
-    per_trade = ~N.any_hint(n, N.NOT_PNL)
-    roles = columns.groupBy("file").agg(
-        ranked(N.ENTRY_HINTS).alias("en"), ranked(N.EXIT_HINTS).alias("ex"), ranked(N.EVENT_HINTS).alias("ev"),
-        ranked(N.PCT_HINTS, per_trade).alias("pp"), ranked(N.DEC_HINTS, per_trade & ~n.rlike("usd")).alias("pd"))
+    per_trade = N.first_hint(n, N.NOT_PNL) == 0
+    # the hints' places are columns, as each is read more than once
+    places = {"en": N.first_hint(n, N.ENTRY_HINTS), "ex": N.first_hint(n, N.EXIT_HINTS), "ev": N.first_hint(n, N.EVENT_HINTS),
+              "pp": F.when(per_trade, N.first_hint(n, N.PCT_HINTS)), "pd": F.when(per_trade & ~n.rlike("usd"), N.first_hint(n, N.DEC_HINTS))}
+    rows = columns.select("file", "col_no", n.alias("n"), *(place.alias(f"_{role}") for role, place in places.items()))
+    roles = rows.groupBy("file").agg(*(F.min(F.when(F.col(f"_{role}") > 0, F.struct(F.col(f"_{role}").alias("r"), "col_no", "n"))).alias(role) for role in places))
     c = F.col
     event_log = c("en").isNull() & c("ex").isNotNull() & c("ev").isNotNull()
     both = c("en").isNotNull() & c("ex").isNotNull() & (c("en.col_no") != c("ex.col_no"))

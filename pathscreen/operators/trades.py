@@ -31,7 +31,8 @@ def pair_first_entry(marked: DataFrame, min_share: float = 0.7, kept: tuple[str,
     Runs a job: the pairs are staged, as the shares and the result read them."""
     entries = marked.where("is_entry AND ts IS NOT NULL").groupBy(ID, "trade_id").agg(F.min("ts").alias("entry_ts"))
     exits = marked.where("is_exit").select(ID, "trade_id", F.col("ts").alias("exit_ts"), "ret", *kept)
-    rows = stage(exits.join(entries, [ID, "trade_id"], "left"))
+    # by sort and merge: there are as many entries as exits, and their compressed file looks small enough to broadcast
+    rows = stage(exits.hint("merge").join(entries, [ID, "trade_id"], "left"))
     share = rows.groupBy(ID).agg(F.avg(F.col("entry_ts").isNotNull().cast("double")).alias("_share"))
     rows = rows.join(share, ID)
     return rows.withColumn("entry_ts", F.when(F.col("_share") >= min_share, F.col("entry_ts"))).drop("_share")
@@ -70,9 +71,9 @@ def holding_stats(trades: DataFrame, resolution: int = scan.RESOLUTION) -> DataF
     days = (micros("exit_ts") - micros("entry_ts")).cast("double") / d(MICROS_PER_DAY)
     rows = trades.withColumn("days", F.when(F.col("entry_ts") <= F.col("exit_ts"), days))
     agg = rows.groupBy(ID).agg(F.count(F.lit(1)).alias("n"), F.count("days").alias("valid"), F.avg("days").alias("holding_mean"))
-    med = scan.exact_quantiles(rows, [ID], "days", {"holding_median": 0.5}, resolution)
+    med = scan.exact_quantiles(rows, [ID], "days", {"holding_median": 0.5}, resolution, staged=True)
     need = F.greatest(F.lit(3), F.floor(d(0.7) * F.col("n")))
-    return agg.where(F.col("valid") >= need).join(med, ID).select(ID, "n", "valid", "holding_median", "holding_mean")
+    return agg.where(F.col("valid") >= need).hint("merge").join(med, ID).select(ID, "n", "valid", "holding_median", "holding_mean")
 
 
 def overlap_check(trades: DataFrame, chunk: str = scan.CHUNK) -> DataFrame:
